@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomtext.llm.packing import pack_documents
+from loomtext.llm.sharding import assign_shards
 from loomtext.llm.token_count import count_tokens
 from loomtext.llm.word_bpe import encode_decode
 
@@ -31,8 +32,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes."""
+    placed = assign_shards(_read(spark, sf_dir, "documents"), 16)
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_bpe_codec, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op3_bpe_codec, op8_best_fit_packing, op9_flow_resharding)}
 
 
 def oracle_sql() -> dict[str, str]:
