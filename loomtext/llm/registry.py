@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomtext.llm.packing import pack_documents
 from loomtext.llm.sharding import assign_shards
+from loomtext.llm.simhash import near_copies
 from loomtext.llm.token_count import count_tokens
 from loomtext.llm.word_bpe import encode_decode
 
@@ -38,8 +39,13 @@ def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash fingerprint and component of near copies."""
+    return near_copies(_read(spark, sf_dir, "documents"), width=4, seed=42, distance=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_bpe_codec, op8_best_fit_packing, op9_flow_resharding)}
+    return {f.__name__: f for f in (op1_token_counts, op3_bpe_codec, op8_best_fit_packing, op9_flow_resharding, op10_simhash_components)}
 
 
 def oracle_sql() -> dict[str, str]:
