@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomtext.llm.packing import pack_documents
+from loomtext.llm.quality import judged
 from loomtext.llm.sharding import assign_shards
 from loomtext.llm.simhash import near_copies
 from loomtext.llm.token_count import count_tokens
+from loomtext.llm.toxicity import toxicity
 from loomtext.llm.word_bpe import encode_decode
 
 
@@ -23,6 +25,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and the verdict of weak supervision for every document."""
+    told = judged(_read(spark, sf_dir, "documents"))
+    counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return told.select(*counts, "base_failed", "kept", "quality")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from two thirds of the labels."""
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded by the 49k word vocabulary."""
     return encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -45,7 +59,16 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_bpe_codec, op8_best_fit_packing, op9_flow_resharding, op10_simhash_components)}
+    found = (
+        op1_token_counts,
+        op2_weak_quality,
+        op3_bpe_codec,
+        op5_toxicity,
+        op8_best_fit_packing,
+        op9_flow_resharding,
+        op10_simhash_components,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
