@@ -32,13 +32,13 @@ RULES: list[tuple[str, int, str]] = [
     ("symbol_words", -1, "n_symbols >= 0.3 * n_words and n_symbols > 0"),
     ("bangs", -1, "n_bangs >= 0.25 * n_words and n_bangs > 0"),
     ("capitals", -1, "n_upper >= 0.4 * word_chars and n_upper > 0"),
-    ("repeats", -1, "n_repeat_words >= 0.3 * n_words and n_repeat_words > 0"),
+    ("repeats", -1, "n_repeat_words >= 0.45 * n_words and n_repeat_words > 0"),
     ("same_lines", -1, "n_dup_lines >= 0.3 * n_lines and n_dup_lines >= 3"),
     ("few_distinct", -1, "n_distinct * sqrt(greatest(n_words / 500.0D, 1.0D)) <= 0.2 * n_words"),
     ("short_lines", -1, "n_words <= 2 * n_lines"),
     ("long_words", -1, "n_long >= 0.2 * n_words and n_long > 0"),
     ("clean", 1, "n_words > 0 and n_symbols <= 0.02 * word_chars and n_bangs <= 0.1 * n_words"),
-    ("calm", 1, "n_words > 0 and n_upper <= 0.25 * word_chars and n_repeat_words <= 0.2 * n_words and n_dup_lines <= greatest(2, 0.2 * n_lines)"),
+    ("calm", 1, "n_words > 0 and n_upper <= 0.25 * word_chars and n_repeat_words <= 0.35 * n_words and n_dup_lines <= greatest(2, 0.2 * n_lines)"),
     ("prose", 1, "n_words >= 4 * n_lines and word_chars between 2.5 * n_words and 15 * n_words"),
 ]
 
