@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loomtext.llm.fingerprints import fingerprints
 from loomtext.llm.packing import pack_documents
 from loomtext.llm.quality import judged
 from loomtext.llm.sharding import assign_shards
@@ -32,6 +33,11 @@ def op2_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select(*counts, "base_failed", "kept", "quality")
 
 
+def op4_lookup_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text, and their likeness."""
+    return fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learned from two thirds of the labels."""
     return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -63,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_token_counts,
         op2_weak_quality,
         op3_bpe_codec,
+        op4_lookup_fingerprints,
         op5_toxicity,
         op8_best_fit_packing,
         op9_flow_resharding,
