@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomtext.llm.fingerprints import fingerprints
 from loomtext.llm.packing import pack_documents
+from loomtext.llm.privacy import span_report
 from loomtext.llm.quality import judged
 from loomtext.llm.sharding import assign_shards
 from loomtext.llm.simhash import near_copies
@@ -48,6 +49,11 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that reveal it in every document."""
+    return span_report(_read(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
     return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -71,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_bpe_codec,
         op4_lookup_fingerprints,
         op5_toxicity,
+        op6_disclosing_terms,
         op8_best_fit_packing,
         op9_flow_resharding,
         op10_simhash_components,
