@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomtext.llm.fingerprints import fingerprints
 from loomtext.llm.packing import pack_documents
+from loomtext.llm.preferences import SQL as PREFERENCES_SQL, answers_swapped, format_preferences
 from loomtext.llm.privacy import span_report
 from loomtext.llm.quality import judged
 from loomtext.llm.sharding import assign_shards
@@ -54,6 +55,11 @@ def op6_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_report(_read(spark, sf_dir, "documents"))
 
 
+def op7_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with its last answer and with another one's, as prompt and masked completions."""
+    return format_preferences(*answers_swapped(_read(spark, sf_dir, "conversations"))).withColumnRenamed("pair_id", "conv_id")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
     return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -78,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_lookup_fingerprints,
         op5_toxicity,
         op6_disclosing_terms,
+        op7_preference_pairs,
         op8_best_fit_packing,
         op9_flow_resharding,
         op10_simhash_components,
@@ -87,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    return {"op7_preference_pairs": PREFERENCES_SQL}
