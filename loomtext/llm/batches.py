@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 
-def in_parts(texts: list[str | None], chars: int = 2_000_000) -> Iterator[list[str | None]]:
-    """The texts in runs of about `chars` characters; a longer text is a run of its own, whole."""
+#: Rows turned into Python strings at once.
+ROWS = 128
+
+
+def in_parts(texts: pa.Array | list[str | None], chars: int = 2_000_000) -> Iterator[list[str | None]]:
+    """The texts in runs of about `chars` characters; a longer text is a run of its own, whole.
+
+    An Arrow column is turned into strings as the runs go on, not at once.
+    """
     part: list[str | None] = []
     held = 0
-    for text in texts:
-        part.append(text)
-        held += len(text or "")
-        if held >= chars:
-            yield part
-            part, held = [], 0
+    for start in range(0, len(texts), ROWS):
+        piece = texts[start : start + ROWS]
+        for text in piece.to_pylist() if isinstance(piece, pa.Array) else piece:
+            part.append(text)
+            held += len(text or "")
+            if held >= chars:
+                yield part
+                part, held = [], 0
     if part:
         yield part

@@ -89,13 +89,13 @@ def cut_pieces(docs: DataFrame, file: str, size: int, end_id: int, keep_ids: boo
         for batch in batches:
             doc_ids = iter(batch.column("doc_id").to_pylist())
             rows: list[tuple] = []
-            for part in in_parts(batch.column("text").to_pylist()):
+            for part in in_parts(batch.column("text")):
                 for doc_id, chunks in zip(doc_ids, own.encode_chunks(part)):
                     ids = b"".join(chunks) + end
                     for piece, at in enumerate(range(0, len(ids), 4 * size)):
                         own_ids = ids[at : at + 4 * size]
-                        rows.append((doc_id, piece, at // 4, len(own_ids) // 4, zlib.crc32(own_ids), own_ids))
-            columns = list(zip(*rows)) or [[]] * 6
+                        rows.append((doc_id, piece, at // 4, len(own_ids) // 4, zlib.crc32(own_ids), *[own_ids] * keep_ids))
+            columns = list(zip(*rows)) or [[]] * (5 + keep_ids)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
             if keep_ids:

@@ -67,7 +67,7 @@ def fingerprint_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [fingerprints(p, width, seed) for p in in_parts(batch.column("text").to_pylist())]
+            parts = [fingerprints(p, width, seed) for p in in_parts(batch.column("text"))]
             fp = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fp)], names=["doc_id", "text_hash", "fp"])
 

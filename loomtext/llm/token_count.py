@@ -149,9 +149,10 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFra
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(model_file)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            tokens = [n for part in in_parts(texts) for n in counter.count_batch(part)]
-            sizes = [len(t.encode()) if t else 0 for t in texts]
+            tokens, sizes = [], []
+            for part in in_parts(batch.column("text")):
+                tokens += counter.count_batch(part)
+                sizes += [len(t.encode()) if t else 0 for t in part]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([t > limit for t in tokens], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],

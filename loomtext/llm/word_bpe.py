@@ -14,7 +14,6 @@ import hashlib
 import json
 import re
 import unicodedata
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import Any, NamedTuple
@@ -28,7 +27,7 @@ from loomtext.llm.batches import in_parts
 from loomtext.llm.bpe import PairTable
 
 #: Chunks that a worker remembers before it starts again.
-MEMO = 300_000
+MEMO = 400_000
 #: Python's split() takes these for white space, the vocabulary's pattern doesn't.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 _SPACES = regex.compile(r"\s+")
@@ -49,13 +48,26 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+class Numbers(dict):
+    """Numbers for strings, in the order of first look-up; `fresh` lists the strings that got theirs since it was emptied."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.fresh.append(key)
+        return n
+
+
 class WordCodec:
     """Encoder and decoder of one tokenizer file.
 
-    `view` turns a chunk's ids into what is remembered and returned for it.
+    `view` turns the ids of many chunks, behind one another, and the chunks' ends into what is remembered for each.
     """
 
-    def __init__(self, file: str, view: Callable[[WordCodec, list[int]], Any]) -> None:
+    def __init__(self, file: str, view: Callable[[WordCodec, np.ndarray, np.ndarray], list]) -> None:
         self.view = view
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
@@ -63,36 +75,57 @@ class WordCodec:
         self.end = model["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in [*vocab.items(), *self.added.items()]}
+        by_id = {i: t for t, i in [*vocab.items(), *self.added.items()]}
+        self.tokens = [by_id.get(i, "") for i in range(max(by_id) + 1)]
+        self.decimals = list(map(str, range(len(self.tokens))))
         pairs = [(vocab[a], vocab[b], rank, vocab[a + b]) for rank, (a, b) in enumerate(map(tuple, model["merges"]))]
         self.rules = PairTable(pairs)
         letters = byte_letters()
         self.inner = np.asarray([vocab[c] for c in letters], np.int64)
         self.final = np.asarray([vocab[c + self.end] for c in letters], np.int64)
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(split).findall
+        self.words = regex.compile(split + r"|\n").findall
         self.specials = re.compile("|".join(map(re.escape, self.added))) if self.added else None
-        self.memo: dict[str, Any] = {}
+        self._forget()
 
-    def _normal(self, chunk: str) -> str:
+    def _forget(self) -> None:
+        self.chunks, self.views = Numbers(), []
+
+    @staticmethod
+    def normal(text: str) -> str:
         """NFC, then each character lowered by itself (no rule for final sigma)."""
-        if chunk.isascii():
-            return chunk.lower()
-        return unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-
-    def merge_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each pre-token: its bytes, the last one with the word-end mark, merged in batch."""
-        if not words:
-            return []
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return text.lower()
+
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pre-tokens and how many each has: its bytes, the last one with the word-end mark, merged in batch."""
         coded = [w.encode() for w in words]
         flat = np.frombuffer(b"".join(coded), np.uint8)
         lens = np.fromiter(map(len, coded), np.int64, len(coded))
         symbols = self.inner[flat]
         last = np.cumsum(lens) - 1
         symbols[last] = self.final[flat[last]]
-        ids, many = self.rules.merge(symbols, lens)
-        ids, ends = ids.tolist(), np.cumsum(many).tolist()
-        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+        return self.rules.merge(symbols, lens)
+
+    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks behind one another, and each chunk's end. A chunk that begins with a line feed is an added token."""
+        numbers = Numbers()
+        numbers["\n"] = 0
+        where = {k: c[1:] for k, c in enumerate(chunks) if c[0] == "\n"}
+        plain = ["" if k in where else c for k, c in enumerate(chunks)] if where else chunks
+        row = np.fromiter(map(numbers.__getitem__, self.words("\n".join(plain))), np.int64)
+        ids, many = self._merged(numbers.fresh)
+        start = np.concatenate([[0, 0], np.cumsum(many)])
+        many = np.concatenate([[0], many])
+        chunk = np.cumsum(row == 0)  # line feeds so far
+        lens = many[row]
+        flat = ids[np.arange(lens.sum()) + np.repeat(start[row] - (np.cumsum(lens) - lens), lens)]
+        ends = np.cumsum(np.bincount(chunk, weights=lens, minlength=len(chunks)).astype(np.int64))
+        for k in sorted(where, reverse=True):
+            flat = np.insert(flat, ends[k], self.added[where[k]])
+            ends[k:] += 1
+        return flat, ends
 
     def decode(self, ids: list[int] | tuple[int, ...]) -> str:
         """The tokens' strings with a space between them: the file names no decoder."""
@@ -100,51 +133,50 @@ class WordCodec:
 
     def cut(self, text: str) -> list[str]:
         """Chunks of a text without added tokens in it."""
+        text = self.normal(text)
         if any(c in text for c in _SEPARATORS):
             return [c for c in _SPACES.split(text) if c]
         return text.split()
 
     def encode_chunks(self, texts: list[str | None]) -> list[list[Any]]:
         """Views of each text's chunks; those not remembered are merged in one batch."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo, view = self.memo, self.view
-        cut: list[list[str]] = []
+        if len(self.chunks) > MEMO:
+            self._forget()
+        number = self.chunks.__getitem__
+        rows: list[list[int]] = []
         for text in texts:
             if not text:
-                cut.append([])
+                rows.append([])
             elif self.specials and "<|" in text and self.specials.search(text):
                 row, at = [], 0
                 for m in self.specials.finditer(text):
-                    row += self.cut(text[at : m.start()])
-                    row.append(f"\n{m[0]}")  # no chunk has a line feed: the key of an added token
-                    memo.setdefault(row[-1], self.view(self, [self.added[m[0]]]))
+                    row += [*self.cut(text[at : m.start()]), f"\n{m[0]}"]
                     at = m.end()
-                cut.append(row + self.cut(text[at:]))
+                rows.append(list(map(number, row + self.cut(text[at:]))))
             else:
-                cut.append(self.cut(text))
-        fresh = list({c for row in cut for c in row if c not in memo})
-        words = [self.words(self._normal(c)) for c in fresh]
-        each = list(dict.fromkeys(w for row in words for w in row))
-        ids = dict(zip(each, self.merge_words(each)))
-        for chunk, row in zip(fresh, words):
-            memo[chunk] = view(self, ids[row[0]] if len(row) == 1 else [i for w in row for i in ids[w]])
-        get = memo.__getitem__
-        return [list(map(get, row)) for row in cut]
-
-
-def shown(own: WordCodec, ids: list[int]) -> Shown:
+                rows.append(list(map(number, self.cut(text))))
+        if self.chunks.fresh:
+            self.views += self.view(self, *self._encoded(self.chunks.fresh))
+            self.chunks.fresh = []
+        get = self.views.__getitem__
+        return [list(map(get, row)) for row in rows]
+
+
+def shown(own: WordCodec, ids: np.ndarray, ends: np.ndarray) -> list[Shown]:
     """The decimal ids and the decoded tokens, each joined by one space."""
-    return Shown(len(ids), " ".join(map(str, ids)), own.decode(ids))
+    ids, ends = ids.tolist(), ends.tolist()
+    decimals, tokens = [own.decimals[i] for i in ids], [own.tokens[i] for i in ids]
+    return [Shown(b - a, " ".join(decimals[a:b]), " ".join(tokens[a:b])) for a, b in zip([0, *ends], ends)]
 
 
-def packed(_: WordCodec, ids: list[int]) -> bytes:
+def packed(_: WordCodec, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
     """Little-endian unsigned 32-bit ids."""
-    return array("I", ids).tobytes()
+    data, at = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+    return [data[a:b] for a, b in zip([0, *at], at)]
 
 
 @lru_cache(maxsize=4)
-def codec(file: str, view: Callable[[WordCodec, list[int]], Any]) -> WordCodec:
+def codec(file: str, view: Callable[[WordCodec, np.ndarray, np.ndarray], list]) -> WordCodec:
     """One per Python worker and view, kept between tasks."""
     return WordCodec(file, view)
 
@@ -161,7 +193,7 @@ def encode_decode(docs: DataFrame, file: str, keep_ids: bool = False) -> DataFra
         own = codec(file, shown)
         for batch in batches:
             many, of_ids, of_text, ids, decoded = [], [], [], [], []
-            for part in in_parts(batch.column("text").to_pylist()):
+            for part in in_parts(batch.column("text")):
                 for row in own.encode_chunks(part):
                     many.append(sum([c.n for c in row]))
                     of_ids.append(hashlib.sha256(" ".join([c.ids for c in row]).encode()).hexdigest())
