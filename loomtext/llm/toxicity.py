@@ -19,7 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loomtext.llm.batches import in_parts
 from loomtext.llm.scratch import materialise
@@ -163,10 +163,10 @@ def score_rows(docs: DataFrame, model: Model) -> DataFrame:
         number[model.slots] = np.arange(len(model.slots))
         at = columns.index("text")
         for batch in batches:
-            scores = [score(model, known, number, part) for part in in_parts(batch.column(at).to_pylist())]
+            scores = [score(model, known, number, part) for part in in_parts(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *scores]))], names=[*columns, "__score"])
 
-    schema = docs.schema.add("__score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
