@@ -42,8 +42,14 @@ def score_tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(spaced, "([0-9])(-)", "$1 $2 "), "[ \\t-\\r]+"), lambda t: t != "")
 
 
-def _grams(items: Column, n: int) -> Column:
-    return F.when(F.size(items) >= n, F.transform(F.sequence(F.lit(0), F.size(items) - n), lambda i: F.array_join(F.slice(items, i + 1, F.lit(n)), "\x01"))).otherwise(F.array().cast("array<string>"))
+def _grams(items: Column, kind: str, orders: list[int]) -> Column:
+    """array<struct<kind, order, g>>: the n-grams of each order."""
+
+    def of_order(w: Column, n: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), "\x01"))
+        return F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("order"), F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>")).alias("g"))
+
+    return let(items, lambda w: F.array(*[of_order(w, n) for n in orders]))
 
 
 def _matches(pairs: DataFrame, keys: list[str], items: dict[str, Column], orders: list[tuple[str, int]]) -> DataFrame:
@@ -51,7 +57,8 @@ def _matches(pairs: DataFrame, keys: list[str], items: dict[str, Column], orders
     each = pairs.withColumn("__pair", F.monotonically_increasing_id())
     sides = []
     for side in ("prediction", "reference"):
-        grams = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("order"), _grams(items[f"{side}_{kind}"], n).alias("g")) for kind, n in orders])
+        kinds = dict.fromkeys(kind for kind, _ in orders)
+        grams = F.concat(*[_grams(items[f"{side}_{kind}"], kind, [n for k, n in orders if k == kind]) for kind in kinds])
         sides.append(each.select("__pair", *keys, F.inline(grams)).select("__pair", *keys, "kind", "order", F.explode("g").alias("gram"), *[F.lit(int(s == side)).alias(s) for s in ("prediction", "reference")]))
     counted = sides[0].unionAll(sides[1]).groupBy("__pair", *keys, "kind", "order", "gram").agg(F.sum("prediction").alias("p"), F.sum("reference").alias("r"))
     return counted.groupBy(*keys, "kind", "order").agg(F.sum(F.least("p", "r")).alias("hits"), F.sum("p").alias("guessed"), F.sum("r").alias("given"))

@@ -1 +1 @@
-"""Streaming."""
+"""Operators over streams of files."""
