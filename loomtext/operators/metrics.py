@@ -47,21 +47,21 @@ def _grams(items: Column, kind: str, orders: list[int]) -> Column:
 
     def of_order(w: Column, n: int) -> Column:
         grams = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), "\x01"))
-        return F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("order"), F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>")).alias("g"))
+        return F.struct(F.lit(kind).alias("__kind"), F.lit(n).alias("__order"), F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>")).alias("__grams"))
 
     return let(items, lambda w: F.array(*[of_order(w, n) for n in orders]))
 
 
 def _matches(pairs: DataFrame, keys: list[str], items: dict[str, Column], orders: list[tuple[str, int]]) -> DataFrame:
-    """(*keys, kind, order, hits, guessed, given): clipped n-gram counts of each pair (prediction, reference), summed by keys."""
+    """(*keys, __kind, __order, hits, guessed, given): clipped n-gram counts of each pair (prediction, reference), summed by keys."""
     each = pairs.withColumn("__pair", F.monotonically_increasing_id())
     sides = []
     for side in ("prediction", "reference"):
         kinds = dict.fromkeys(kind for kind, _ in orders)
         grams = F.concat(*[_grams(items[f"{side}_{kind}"], kind, [n for k, n in orders if k == kind]) for kind in kinds])
-        sides.append(each.select("__pair", *keys, F.inline(grams)).select("__pair", *keys, "kind", "order", F.explode("g").alias("gram"), *[F.lit(int(s == side)).alias(s) for s in ("prediction", "reference")]))
-    counted = sides[0].unionAll(sides[1]).groupBy("__pair", *keys, "kind", "order", "gram").agg(F.sum("prediction").alias("p"), F.sum("reference").alias("r"))
-    return counted.groupBy(*keys, "kind", "order").agg(F.sum(F.least("p", "r")).alias("hits"), F.sum("p").alias("guessed"), F.sum("r").alias("given"))
+        sides.append(each.select("__pair", *keys, F.inline(grams)).select("__pair", *keys, "__kind", "__order", F.explode("__grams").alias("__gram"), *[F.lit(int(s == side)).alias(s) for s in ("prediction", "reference")]))
+    counted = sides[0].unionAll(sides[1]).groupBy("__pair", *keys, "__kind", "__order", "__gram").agg(F.sum("prediction").alias("p"), F.sum("reference").alias("r"))
+    return counted.groupBy(*keys, "__kind", "__order").agg(F.sum(F.least("p", "r")).alias("hits"), F.sum("p").alias("guessed"), F.sum("r").alias("given"))
 
 
 def bleu(pairs: DataFrame, group: str) -> DataFrame:
@@ -72,7 +72,7 @@ def bleu(pairs: DataFrame, group: str) -> DataFrame:
     """
     items = {f"{s}_word": score_tokens(F.col(s)) for s in ("prediction", "reference")}
     by_order = _matches(pairs, [group], items, [("word", n) for n in range(1, MAX_ORDER + 1)])
-    wide = by_order.groupBy(group).agg(*[F.max(F.when(F.col("order") == n, F.col(c))).alias(f"{c}{n}") for n in range(1, MAX_ORDER + 1) for c in ("hits", "guessed", "given")])
+    wide = by_order.groupBy(group).agg(*[F.max(F.when(F.col("__order") == n, F.col(c))).alias(f"{c}{n}") for n in range(1, MAX_ORDER + 1) for c in ("hits", "guessed", "given")])
     halvings, logs = F.lit(0), F.lit(0.0)
     for n in range(1, MAX_ORDER + 1):
         hits, guessed = F.coalesce(F.col(f"hits{n}"), F.lit(0)), F.coalesce(F.col(f"guessed{n}"), F.lit(0))
