@@ -34,7 +34,7 @@ class PairTable:
             return np.full(len(left), _NONE), np.zeros(len(left), np.int64)
         keys = left * self.base + right
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = (self.keys[at] == keys) & (left >= 0) & (right >= 0)
+        hit = (self.keys[at] == keys) & (left >= 0) & (right >= 0) & (right < self.base)  # else a key stands for another pair
         return np.where(hit, self.ranks[at], _NONE), self.merged[at]
 
     def _heap(self, symbols: list[int]) -> list[int]:
