@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from loomtext.llm.batches import in_parts
+from loomtext.llm.batches import give_back, in_parts
 from loomtext.llm.scratch import materialise
 
 ORDERS = (3, 4, 5)
@@ -30,6 +30,8 @@ POSITIVES, NEGATIVES = 2500, 4000
 MIN_ROWS = 3
 MIN_RATIO = 1.0
 SLOTS = 50_000
+#: The log odds of a score of 0.
+NEVER = -40.0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,7 +74,7 @@ def fit(texts: list[str | None], toxic: list[int], rounds: int = 150, penalty: f
     pos, neg = y.sum(), len(y) - y.sum()
     if not pos or not neg:
         share = pos / len(y) if len(y) else 0.0
-        return Model(np.zeros(0, np.int64), np.zeros(0), math.log(share / (1 - share)) if 0 < share < 1 else math.copysign(30.0, share - 0.5))
+        return Model(np.zeros(0, np.int64), np.zeros(0), math.log(share / (1 - share)) if 0 < share < 1 else -NEVER if share else NEVER)
     rows, slots = [], []
     start = 0
     for part in in_parts(texts):
@@ -144,11 +146,12 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
         model = fit([r[1] for r in rows], [r[2] for r in rows])
         slots = np.append(model.slots, -1)
         yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(np.append(model.weights, model.intercept))], names=["slot", "weight"])
+        give_back()
 
     sample = labelled_sample(docs, labels, positives, negatives)
     found = sample.coalesce(1).mapInArrow(learn, "slot long, weight double").collect()
     by_slot = {r["slot"]: r["weight"] for r in found}
-    intercept = by_slot.pop(-1)
+    intercept = by_slot.pop(-1, NEVER)  # an empty sample makes no task
     slots = np.asarray(sorted(by_slot), np.int64)
     return Model(slots, np.asarray([by_slot[s] for s in slots.tolist()]), intercept)
 
@@ -165,6 +168,7 @@ def score_rows(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             scores = [score(model, known, number, part) for part in in_parts(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *scores]))], names=[*columns, "__score"])
+        give_back()
 
     schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
     return docs.mapInArrow(run, schema)
