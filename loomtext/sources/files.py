@@ -97,3 +97,28 @@ def checked_write(rows: DataFrame, path: str, broken: Column) -> None:
 def with_defaults(stored: DataFrame, defaults: dict[str, object]) -> DataFrame:
     """Stored settings, null where unset, with defaults in their place."""
     return stored.select(*[F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in stored.columns])
+
+
+def honorifics(spark: SparkSession, path: str) -> DataFrame:
+    """(latin, english, register, kind, plain_form) of JSON lines: glosses between ;, `-` or nothing for no plain form."""
+    rows = json_lines(spark, path, "latin string, english string, register string, kind string, plain string")
+    listed = F.filter(F.transform(F.split("english", ";"), lambda x: F.trim(x)), lambda x: x != "")
+    plain = F.nullif(F.nullif(F.trim("plain"), F.lit("")), F.lit("-"))
+    return rows.select("latin", listed.alias("english"), "register", "kind", plain.alias("plain_form"))
+
+
+def database_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
+    """A table of a relational database by JDBC; the driver's jar must be on the class path."""
+    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+
+
+def file_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(name, bytes) of the files under a folder, contents unread."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    return rows.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.col("length").alias("bytes"))
+
+
+def shipped_size(sizes: DataFrame, budget: int, forbidden: str) -> DataFrame:
+    """(bytes, files, forbidden, ok): total size against a budget, and files that may not ship."""
+    told = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("files"), F.count_if(F.rlike("name", F.lit(forbidden))).alias("forbidden"))
+    return told.withColumn("ok", (F.col("bytes") <= budget) & (F.col("forbidden") == 0))
