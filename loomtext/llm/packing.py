@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from loomtext.llm.batches import in_parts
+from loomtext.llm.batches import give_back, in_parts
 from loomtext.llm.scratch import materialise
 from loomtext.llm.word_bpe import codec, packed
 
@@ -101,6 +101,7 @@ def cut_pieces(docs: DataFrame, file: str, size: int, end_id: int, keep_ids: boo
             if keep_ids:
                 arrays.append(pa.array([memoryview(x).cast("I").tolist() for x in columns[5]], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids])
+        give_back()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(run, _PIECE + ", ids array<int>" * keep_ids)

@@ -128,8 +128,8 @@ def examined(docs: DataFrame) -> DataFrame:
 def disclosing_terms(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     """(term, removed): terms that disclose an entity, or None if no term met one often enough."""
     lines = rows.select(F.inline("contexts")).groupBy("entity", "sort", "terms").agg(F.count(F.lit(1)).alias("n"))
-    met = lines.select("entity", "sort", "n", F.explode("terms").alias("term"))
-    joint = met.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.approx_count_distinct("sort", 0.01).alias("support"))
+    met = lines.select("entity", "sort", "n", F.explode("terms").alias("term")).groupBy("entity", "term", "sort").agg(F.sum("n").alias("n"))
+    joint = met.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("support"))
     joint = materialise(joint.where(F.col("support") >= SUPPORT), "joint")
     if joint.isEmpty():
         return None

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomtext.llm.batches import in_parts
+from loomtext.llm.batches import give_back, in_parts
 from loomtext.llm.components import connected_components
 from loomtext.llm.scratch import materialise
 
@@ -70,6 +70,7 @@ def fingerprint_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
             parts = [fingerprints(p, width, seed) for p in in_parts(batch.column("text"))]
             fp = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fp)], names=["doc_id", "text_hash", "fp"])
+        give_back()
 
     text = docs["text"].cast("string")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
