@@ -211,3 +211,16 @@ def csv_cell(cell: Column) -> Column:
 def char_recovery(expected: Column, got: Column) -> Column:
     """Share of characters recovered: 1 less edits by length, 0 at least."""
     return F.greatest(F.lit(0.0), 1 - F.levenshtein(expected, got) / F.nullif(F.length(expected), F.lit(0)))
+
+
+#: Tokens of a text by name of the counter; a subword tokenizer can be added as a column function.
+TOKEN_COUNTERS: dict[str, Callable[[Column], Column]] = {
+    "words": lambda text: F.size(F.split(one_line(text), " ")),
+    "marks": lambda text: F.size(tokens(text)),
+    "bytes": lambda text: F.octet_length(text),
+}
+
+
+def over_max_tokens(sides: list[Column], most: int, counter: str = "bytes") -> Column:
+    """`over_max_tokens` if a side has more tokens than a model takes, else null."""
+    return F.when(F.greatest(*[TOKEN_COUNTERS[counter](s) for s in sides], F.lit(0)) > most, "over_max_tokens")

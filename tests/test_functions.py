@@ -89,3 +89,9 @@ def test_script_fuzz_against_tokens(spark):
     r = random.Random(3)
     words = ["".join(r.choice("abdehgiklmnorstuvyz'") for _ in range(r.randrange(1, 12))) for _ in range(300)]
     assert all(w is not None for w in column(spark, words, S.to_thaana))
+
+
+def test_token_counters(spark):
+    texts = ["a well-known é.", "x"]
+    assert column(spark, texts, X.TOKEN_COUNTERS["words"]) == [3, 1] and column(spark, texts, X.TOKEN_COUNTERS["marks"]) == [4, 1]
+    assert column(spark, texts, lambda c: X.over_max_tokens([c, F.lit("y")], 10)) == ["over_max_tokens", None]
