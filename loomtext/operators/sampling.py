@@ -67,23 +67,38 @@ def nearest_rank(values: Column, q: float) -> Column:
     return F.get(values, F.least(F.size(values) - 1, F.floor(F.size(values) * q).cast("int")))
 
 
+def running(rows: DataFrame, group: str, value: str, amount: Column) -> DataFrame:
+    """`rows` with `upto`: the sum of `amount` over the rows of the group up to this one, in the order of value.
+
+    Rows are range-partitioned by group and value, so that a hot group spreads; sums inside a range get what lies before.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.withColumn("__amount", amount).repartitionByRange(n, group, value).withColumn("__range", F.spark_partition_id())
+    sums = ranged.groupBy(group, "__range").agg(F.sum("__amount").alias("__sum"))
+    so_far = F.sum("__sum").over(Window.partitionBy(group).orderBy("__range")) - F.col("__sum")
+    before = sums.select(F.col(group).alias("__group"), F.col("__range").alias("__of"), so_far.alias("__before"))
+    inside = F.sum("__amount").over(Window.partitionBy("__range", group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    met = ranged.withColumn("__inside", inside).join(before, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__range") == F.col("__of")))
+    return met.withColumn("upto", F.col("__inside") + F.col("__before")).drop("__amount", "__range", "__group", "__of", "__before", "__inside")
+
+
 def quantiles(rows: DataFrame, group: str, value: str, qs: dict[str, float]) -> DataFrame:
     """(group, n, mean, *qs): nearest-rank quantiles of each group from counts of distinct values.
 
     Equal values are counted before they meet, and cumulated by value; no list of a group's rows is built.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(group).orderBy(value)
-    totals = counts.groupBy(group).agg(F.sum("c").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"))
-    placed = counts.withColumn("last", F.sum("c").over(upto)).join(totals, group)
-    found = [F.min(F.when(F.col("last") > F.least(F.col("n") - 1, F.floor(F.col("n") * q)), F.col(value))).alias(k) for k, q in qs.items()]
+    totals = counts.groupBy(F.col(group).alias("__of")).agg(F.sum("c").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"))
+    placed = running(counts, group, value, F.col("c")).join(totals, F.col(group).eqNullSafe(F.col("__of")))
+    found = [F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * q)), F.col(value))).alias(k) for k, q in qs.items()]
     return placed.groupBy(group).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), *found)
 
 
 def empirical_cdf(rows: DataFrame, group: str, value: str) -> DataFrame:
     """(group, value, percent): for each row in the order of value, the percent of rows up to it."""
-    w = Window.partitionBy(group)
-    return rows.select(group, value, (100.0 * F.row_number().over(w.orderBy(value)) / F.count(F.lit(1)).over(w)).alias("percent"))
+    totals = rows.groupBy(F.col(group).alias("__of")).agg(F.count(F.lit(1)).alias("n"))
+    placed = running(rows.select(group, value), group, value, F.lit(1)).join(totals, F.col(group).eqNullSafe(F.col("__of")))
+    return placed.select(group, value, (100.0 * F.col("upto") / F.col("n")).alias("percent"))
 
 
 def first_examples(rows: DataFrame, group: str, order: str, k: int) -> DataFrame:

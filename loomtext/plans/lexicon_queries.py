@@ -10,8 +10,9 @@ from loomtext.plans.registry import WORDS, document_words, query, table
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 _LEXICON = f"select word as latin, count(*) as frequency from ({WORDS}) group by word having count(*) >= 2"
-#: Words to look up: those of documents whose id ends in 7.
-_ASKED = f"select distinct word from ({WORDS}) where doc_id % 10 = 7"
+#: Words to look up: those of conversations.
+_SAID = "select unnest(regexp_extract_all(lower(text), '[a-z'']+')) as word from conversations"
+_ASKED = f"select distinct word from ({_SAID})"
 _PARTS = "select p_name as latin, max(p_size)::bigint as frequency, case when split_part(p_name, ' ', 1) = split_part(p_name, ' ', 2) then [split_part(p_name, ' ', 1)] else [split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)] end as english from part group by p_name"
 
 
@@ -19,8 +20,13 @@ def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.vocabulary(document_words(spark, sf_dir))
 
 
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return turns.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0))).alias("word"))
+
+
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_words(spark, sf_dir).where("doc_id % 10 = 7").select("word").distinct()
+    return _said(spark, sf_dir).distinct()
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,11 +70,11 @@ def lookup_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.translate_words(_asked(spark, sf_dir), _lexicon(spark, sf_dir))
 
 
-@query(f"""with w as (select doc_id, word from ({WORDS}) where doc_id % 10 = 7), l as ({_LEXICON})
+@query(f"""with w as ({_SAID}), l as ({_LEXICON})
   select count(*) as n, count(distinct word) as types, count_if(latin is null)::bigint as misses, count(distinct case when latin is null then word end) as missed_types from w left join l on latin = word""")
 def unknown_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words without a headword, each time and once."""
-    counts = document_words(spark, sf_dir).where("doc_id % 10 = 7").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = _said(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     met = counts.join(_lexicon(spark, sf_dir), F.col("word") == F.col("latin"), "left")
     miss = F.col("latin").isNull()
     return met.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types"), F.coalesce(F.sum(F.when(miss, F.col("n"))), F.lit(0)).alias("misses"), F.count_if(miss).alias("missed_types"))
@@ -180,7 +186,7 @@ def mirror_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.mirror_pairs(g.join(n, "latin"))
 
 
-_REWRITES = "select c_custkey::varchar as old, case when c_custkey % 11 = 0 then '' when c_custkey < 4 then ((c_custkey + 1) % 4)::varchar else (c_custkey // 2 + 3)::varchar end as new from customer where c_custkey < 1000"
+_REWRITES = "select c_custkey::varchar as old, case when c_custkey % 11 = 0 then '' when c_custkey < 4 then ((c_custkey + 1) % 4)::varchar else (c_custkey // 2 + 3)::varchar end as new from customer"
 
 
 @query(f"""with recursive r as ({_REWRITES}), h(old, via, steps) as (select old, new, 1 from r union all select h.old, r.new, h.steps + 1 from h join r on r.old = h.via where h.steps < 40)
@@ -189,7 +195,7 @@ def rewrite_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where chains of rewritten keys end."""
     key = F.col("c_custkey")
     new = F.when(key % 11 == 0, "").when(key < 4, ((key + 1) % 4).cast("string")).otherwise((F.floor(key / 2) + 3).cast("string"))
-    return L.closure(table(spark, sf_dir, "customer").where("c_custkey < 1000").select(key.cast("string").alias("old"), new.alias("new")))
+    return L.closure(table(spark, sf_dir, "customer").select(key.cast("string").alias("old"), new.alias("new")))
 
 
 _LETTERS = ", ".join(f"('{c}', '{r}', {i})" for i, (c, r) in enumerate(T.CONSONANTS.items()))
@@ -210,11 +216,10 @@ def frequency_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.raise_frequency(rows, _lexicon(spark, sf_dir)).select("latin", "frequency", "freq_source")
 
 
-@query(f"select latin from ({_LEXICON}) where latin not in (select word from ({WORDS}) where doc_id % 2 = 0)")
+@query(f"select latin from ({_LEXICON}) where latin not in (select word from ({_SAID}))")
 def lost_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headwords that half of the documents don't have."""
-    half = document_words(spark, sf_dir).where("doc_id % 2 = 0").select(F.col("word").alias("latin"))
-    return L.lost_keys(_lexicon(spark, sf_dir), half)
+    """Headwords that conversations don't have."""
+    return L.lost_keys(_lexicon(spark, sf_dir), _said(spark, sf_dir).select(F.col("word").alias("latin")))
 
 
 @query("select p_partkey, array_to_string([p_name, p_type, p_brand], '+') as listed, case when p_size % 3 = 0 then 'noun' when p_size % 3 = 1 then 'verb' else p_type end as pos from part")
