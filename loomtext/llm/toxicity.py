@@ -30,6 +30,8 @@ POSITIVES, NEGATIVES = 2500, 4000
 MIN_ROWS = 3
 MIN_RATIO = 1.0
 SLOTS = 50_000
+#: Characters whose features are made at once, in the fit and in scoring.
+FIT_CHARS, SCORE_CHARS = 300_000, 1_000_000
 #: The log odds of a score of 0.
 NEVER = -40.0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -75,25 +77,28 @@ def fit(texts: list[str | None], toxic: list[int], rounds: int = 150, penalty: f
     if not pos or not neg:
         share = pos / len(y) if len(y) else 0.0
         return Model(np.zeros(0, np.int64), np.zeros(0), math.log(share / (1 - share)) if 0 < share < 1 else -NEVER if share else NEVER)
-    rows, slots = [], []
-    start = 0
-    for part in in_parts(texts):
+    size = 1 << BITS
+    in_pos, in_all, start = np.zeros(size), np.zeros(size, np.int64), 0
+    for part in in_parts(texts, FIT_CHARS):  # counts only: the features of all texts at once would need a task's whole memory
         row, slot = features(part)
-        rows.append(row + start)
-        slots.append(slot.astype(np.int32))
+        in_pos += np.bincount(slot, weights=y[row + start], minlength=size)
+        in_all += np.bincount(slot, minlength=size)
         start += len(part)
-    row, slot = np.concatenate(rows), np.concatenate(slots)
-    size = 1 << BITS
-    in_pos = np.bincount(slot, weights=y[row], minlength=size)
-    in_all = np.bincount(slot, minlength=size)
     ratio = np.log((in_pos + 1) / (pos + 2)) - np.log((in_all - in_pos + 1) / (neg + 2))
     strength = np.where((in_all >= MIN_ROWS) & (np.abs(ratio) >= MIN_RATIO), np.abs(ratio) * np.sqrt(in_all), 0.0)
     kept = np.flatnonzero(strength)
     kept = np.sort(kept[np.argsort(-strength[kept], kind="stable")[:SLOTS]])
-    number = np.full(size, -1, np.int64)
+    number = np.zeros(size, np.int64)
     number[kept] = np.arange(len(kept))
-    col = number[slot]
-    row, col = row[col >= 0], col[col >= 0]
+    known = np.zeros(size, bool)
+    known[kept] = True
+    rows, cols, start = [], [], 0
+    for part in in_parts(texts, FIT_CHARS):
+        row, slot = features(part, known)
+        rows.append(row + start)
+        cols.append(number[slot])
+        start += len(part)
+    row, col = np.concatenate(rows), np.concatenate(cols)
     scale = ratio[kept]
     weigh = np.where(y > 0, 0.5 / pos, 0.5 / neg)
     many = np.bincount(row, weights=scale[col] ** 2, minlength=len(y))
@@ -166,7 +171,7 @@ def score_rows(docs: DataFrame, model: Model) -> DataFrame:
         number[model.slots] = np.arange(len(model.slots))
         at = columns.index("text")
         for batch in batches:
-            scores = [score(model, known, number, part) for part in in_parts(batch.column(at))]
+            scores = [score(model, known, number, part) for part in in_parts(batch.column(at), SCORE_CHARS)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *scores]))], names=[*columns, "__score"])
         give_back()
 
