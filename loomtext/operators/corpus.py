@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loomtext.functions import tables as T, text as X
 
 TEST_SHARE, VALID_SHARE = 0.05, 0.05
-PREFIXES = {"dv-en": "translate Dhivehi to English: ", "en-dv": "translate English to Dhivehi: "}
+# Task prefixes, colon and space included.
+PREFIXES = {"dv-en": "translate Dhivehi Latin to English: ", "en-dv": "translate English to Dhivehi Latin: "}
 
 
 def mark_duplicates(rows: DataFrame, exact: Column, near: Column, order: str) -> DataFrame:

@@ -139,8 +139,8 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(said, ["conv_id", "turn"])
 
 
-_EMIT = f"""select conv_id, turn, 'translate Dhivehi to English: ' || latin as input, english as target, 'dv-en' as direction from ({_PAIRS})
-  union all select conv_id, turn, 'translate English to Dhivehi: ' || english, latin, 'en-dv' from ({_PAIRS})"""
+_EMIT = f"""select conv_id, turn, 'translate Dhivehi Latin to English: ' || latin as input, english as target, 'dv-en' as direction from ({_PAIRS})
+  union all select conv_id, turn, 'translate English to Dhivehi Latin: ' || english, latin, 'en-dv' from ({_PAIRS})"""
 
 
 @query(_EMIT)
