@@ -5,7 +5,8 @@ three subtables of cells, each with a count, the xor of digests and the xor of t
 what is left is peeled: a cell of count 1 or -1 whose check fits names a digest of one version only, which is then taken
 from its other cells. Subtables take turns, so that a digest is found in one cell at a time. Where cells are left over,
 the pair is tried again with sketches GROWTH times as large, until every pair is solved. Rows stay in the partition of
-their document, so that peeling needs no shuffle.
+their document, so that peeling needs no shuffle; the digests are kept there on disk, to be made anew from files where an
+executor is lost.
 
 Likeness of two fingerprints: paragraphs that both have, by those that either has; 1 if neither has any.
 
@@ -16,6 +17,7 @@ only loses its end and near_next is null; repeated rows give repeated results.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomtext.llm.neighbours import next_lower
@@ -23,7 +25,7 @@ from loomtext.llm.scratch import materialise
 
 CELLS = 24  # of the fingerprint; a multiple of 3
 GROWTH = 4
-SWEEPS = 4
+SWEEPS = 2
 _TABLES = 3
 
 
@@ -90,29 +92,36 @@ def _fields(entry: Column) -> list[Column]:
     return [entry[name].alias(name) for name in ("cell", "n", "key", "chk")]
 
 
-def differences(pairs: DataFrame, first: DataFrame | None = None) -> DataFrame:
-    """(row, against, only_a, only_b) for each of `pairs` (row, against, a, b), a and b arrays of distinct digests.
+def _pairs(rows: DataFrame, wanted: dict[str, Column]) -> DataFrame:
+    """(row, against, a, b): the own digests and those of each other text that is there and wanted."""
+    sides = F.array(*[F.when(F.col(k).isNotNull() & w, F.struct(F.lit(k).alias("against"), F.col(k).alias("b"))) for k, w in wanted.items()])
+    return rows.select("row", F.col("own").alias("a"), F.inline(F.filter(sides, lambda x: x.isNotNull())))
 
-    `first`, if given, has the pairs' subtracted cells of sketches of CELLS cells.
+
+def differences(rows: DataFrame, against: tuple[str, ...]) -> DataFrame:
+    """(row, against, only_a, only_b) for the pairs of `own` and each column of `against`, arrays of distinct digests.
+
+    `rows` is partitioned by row, and stays so: what is joined to it is one small row for each of its rows that waits. A
+    pair without differences has no row.
     """
     by = ["row", "against"]
-    size, solved, waiting = CELLS, None, pairs
+    size, solved = CELLS, None
+    waiting = _pairs(rows, {k: F.lit(True) for k in against})
     while True:
-        if size == CELLS and first is not None:
-            cells = first
-        else:
-            cells = subtract(sketch(waiting, "a", size, by), sketch(waiting, "b", size, by), by)
+        cells = subtract(sketch(waiting, "a", size, by), sketch(waiting, "b", size, by), by)
         told = peel(cells, size, by).groupBy(*by).agg(
             F.count(F.when((F.col("left") == 0) & (F.col("sign") > 0), 1)).alias("only_a"),
             F.count(F.when((F.col("left") == 0) & (F.col("sign") < 0), 1)).alias("only_b"),
             F.sum("left").alias("left"),
         )
-        told = materialise(told, f"peeled{size}")  # a pair without differences has no row
+        told = materialise(told, f"peeled{size}")
         done = told.where("left = 0").drop("left")
         solved = done if solved is None else solved.unionAll(done)
-        if told.where("left > 0").isEmpty():
+        left = told.where("left > 0")
+        if left.isEmpty():
             return solved
-        waiting = waiting.join(told.where("left > 0").select(*by), by, "left_semi")
+        flags = left.groupBy("row").agg(*[F.max((F.col("against") == k).cast("int")).alias(f"wait_{k}") for k in against])
+        waiting = _pairs(rows.join(flags, "row"), {k: F.col(f"wait_{k}") == 1 for k in against})
         size *= GROWTH
 
 
@@ -127,7 +136,9 @@ def versions(docs: DataFrame) -> DataFrame:
     """(row, doc_id, n_chars, edited_sha256, own, edited, next): each document with the digests of its three texts."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"))
+    # a plain column where it is long already: an alias would keep the two uses of one exchange from being seen as equal
+    doc_id = docs["doc_id"] if dict(docs.dtypes)["doc_id"] == "bigint" else docs["doc_id"].cast("long").alias("doc_id")
+    rows = docs.select(doc_id, text.alias("text"))
     numbered = rows.where("doc_id is not null")
     half = F.floor(F.length("text") / 2).cast("int")
     lengths = numbered.groupBy("doc_id").agg(F.max(half).alias("need")).select(F.col("doc_id").alias("id"), "need")
@@ -155,17 +166,9 @@ def versions(docs: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of `docs`."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialise(versions(docs), "versions").repartition(n, "row")
-    of = {k: sketch(rows, k, CELLS, ["row"]) for k in ("own", "edited", "next")}
-    by = ["row", "against"]
-    cells = None
-    for k in ("edited", "next"):
-        known = of["own"] if k == "edited" else sketch(rows.where("next is not null"), "own", CELLS, ["row"])
-        named = [c.withColumn("against", F.lit(k)) for c in (known, of[k])]
-        less = subtract(named[0], named[1], by)
-        cells = less if cells is None else cells.unionAll(less)
-    pairs = rows.select("row", F.col("own").alias("a"), F.inline(F.array(*[F.struct(F.lit(k).alias("against"), F.col(k).alias("b")) for k in ("edited", "next")])))
-    apart = differences(pairs.where("b is not null"), cells)
+    rows = materialise(versions(docs), "versions").repartition(n, "row").persist(StorageLevel.DISK_ONLY)
+    of = {k: sketch(rows, k, CELLS, ["row"]) for k in ("own", "edited")}
+    apart = differences(rows, ("edited", "next"))
     by_row = apart.groupBy("row").agg(*[
         F.max(F.when(F.col("against") == k, F.struct("only_a", "only_b"))).alias(f"apart_{k}") for k in ("edited", "next")
     ])
