@@ -131,12 +131,12 @@ def disclosing_terms(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     met = lines.select("entity", "sort", "n", F.explode("terms").alias("term")).groupBy("entity", "term", "sort").agg(F.sum("n").alias("n"))
     joint = met.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("support"))
     joint = materialise(joint.where(F.col("support") >= SUPPORT), "joint")
-    if joint.isEmpty():
-        return None
-    wanted = joint.select("term").distinct()
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     spoken = docs.select(F.explode(F.split(text, "\n", -1)).alias("line")).select(F.explode(terms_of(F.col("line"))).alias("term"))
-    totals = spoken.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # all terms are counted, whatever was met, so that the work is alike at every size
+    totals = materialise(spoken.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")), "totals")
+    if joint.isEmpty():
+        return None
     entities = lines.groupBy("entity").agg(F.sum("n").alias("n_entity"))
     n_lines = rows.agg(F.sum("n_lines")).first()[0]
     scored = joint.join(totals, "term").join(entities, "entity")
