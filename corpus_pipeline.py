@@ -7,11 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from loomtext.llm.minhash import drop_similar
 from loomtext.llm.packing import pack_documents
 from loomtext.llm.privacy import sanitise
 from loomtext.llm.quality import keep_good
 from loomtext.llm.scratch import materialise
-from loomtext.llm.simhash import drop_near_copies
 from loomtext.llm.toxicity import drop_toxic
 
 
@@ -26,8 +26,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return drop_near_copies(docs)
+    """One document of each group of near copies, alike in 0.8 of their five-word shingles or more, stays."""
+    return drop_similar(docs)
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

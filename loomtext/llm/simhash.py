@@ -173,13 +173,8 @@ def near_copies(docs: DataFrame, width: int = 4, seed: int = 42, distance: int =
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, width: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:
-    """One row of `docs` for each component: the one with the least doc_id (null last), of equal rows any one.
-
-    All columns of `docs` are kept as they are.
-    """
-    prints = materialise(fingerprint_rows(docs, width, seed), "prints")
-    rooted = prints.join(near_components(prints, distance), "fp")
+def keep_least(docs: DataFrame, prints: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows of `docs` with the least doc_id of each root; `prints` (doc_id, text_hash) are all rows, `rooted` has their root."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     kept = rooted.groupBy("root").agg(F.min(order).alias("row")).select(F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash"))
     many = prints.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("__i"), F.col("text_hash").alias("__h"))
@@ -189,3 +184,12 @@ def drop_near_copies(docs: DataFrame, width: int = 4, seed: int = 42, distance:
     once = held.where("not __many").select(*docs.columns)
     repeated = held.where("__many").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
     return once.unionAll(repeated)
+
+
+def drop_near_copies(docs: DataFrame, width: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:
+    """One row of `docs` for each component: the one with the least doc_id (null last), of equal rows any one.
+
+    All columns of `docs` are kept as they are.
+    """
+    prints = materialise(fingerprint_rows(docs, width, seed), "prints")
+    return keep_least(docs, prints, prints.join(near_components(prints, distance), "fp"))
