@@ -1,8 +1,8 @@
 """Operator 5: toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the character 3-, 4- and 5-grams that a text has, hashed to 2^22 slots; each is scaled by the log of the
-ratio of its (smoothed) shares in toxic and other texts, and a logistic regression with an L2 penalty is fitted over the
-scaled features. The fit sees a bounded sample of labelled rows: at most POSITIVES toxic and NEGATIVES other ones, those
+Features are the character 3-, 4- and 5-grams of a text, hashed to 2^22 slots, each with the log of 1 plus how often it
+occurs; each is scaled by the log of the ratio of its (smoothed) means in toxic and other texts, and a logistic regression
+with an L2 penalty is fitted over the scaled features until its gradient has gone. The fit sees a bounded sample of labelled rows: at most POSITIVES toxic and NEGATIVES other ones, those
 of least hash. Slots in fewer than MIN_ROWS sampled texts or with a small log ratio have no weight; at most SLOTS weights
 are kept, the bound on what is sent to the executors. Every text is scored whole.
 
@@ -30,6 +30,8 @@ POSITIVES, NEGATIVES = 2500, 4000
 MIN_ROWS = 3
 MIN_RATIO = 1.0
 SLOTS = 50_000
+#: The fit ends where the gradient is this share of the first one.
+CONVERGED = 1e-3
 #: Characters whose features are made at once, in the fit and in scoring.
 FIT_CHARS, SCORE_CHARS = 300_000, 1_000_000
 #: The log odds of a score of 0.
@@ -52,8 +54,8 @@ def _points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(points, np.uint64(32)), np.cumsum(np.fromiter(map(len, lowered), np.int64, len(lowered)))
 
 
-def features(texts: list[str | None], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, slot) of each distinct feature of each text; only slots marked in `known`, if given."""
+def features(texts: list[str | None], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, slot, log of 1 + occurrences) of each distinct feature of each text; only slots marked in `known`, if given."""
     points, ends = _points(texts)
     found = []
     rolled = points * _STEP
@@ -66,25 +68,29 @@ def features(texts: list[str | None], known: np.ndarray | None = None) -> tuple[
         text = np.searchsorted(ends, at, side="right")
         inside = at + order <= ends[text]  # an n-gram ends in the text that it begins in
         found.append((text[inside] << BITS) | slot[at[inside]])
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+    pairs, often = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+    return pairs >> BITS, pairs & ((1 << BITS) - 1), np.log1p(often)
 
 
-def fit(texts: list[str | None], toxic: list[int], rounds: int = 150, penalty: float = 1e-3) -> Model:
-    """Naive Bayes ratios, then logistic regression by accelerated gradient steps; both classes weigh the same."""
+def fit(texts: list[str | None], toxic: list[int], penalty: float = 1e-3) -> Model:
+    """Naive Bayes ratios, then logistic regression by accelerated gradient steps; both classes weigh the same.
+
+    Steps go on until the gradient is CONVERGED of the first one; the penalty makes that certain.
+    """
     y = np.asarray(toxic, np.float64)
     pos, neg = y.sum(), len(y) - y.sum()
     if not pos or not neg:
         share = pos / len(y) if len(y) else 0.0
         return Model(np.zeros(0, np.int64), np.zeros(0), math.log(share / (1 - share)) if 0 < share < 1 else -NEVER if share else NEVER)
     size = 1 << BITS
-    in_pos, in_all, start = np.zeros(size), np.zeros(size, np.int64), 0
+    in_pos, in_neg, in_all, start = np.zeros(size), np.zeros(size), np.zeros(size, np.int64), 0
     for part in in_parts(texts, FIT_CHARS):  # counts only: the features of all texts at once would need a task's whole memory
-        row, slot = features(part)
-        in_pos += np.bincount(slot, weights=y[row + start], minlength=size)
+        row, slot, value = features(part)
+        in_pos += np.bincount(slot, weights=value * y[row + start], minlength=size)
+        in_neg += np.bincount(slot, weights=value * (1 - y[row + start]), minlength=size)
         in_all += np.bincount(slot, minlength=size)
         start += len(part)
-    ratio = np.log((in_pos + 1) / (pos + 2)) - np.log((in_all - in_pos + 1) / (neg + 2))
+    ratio = np.log((in_pos + 1) / (pos + 2)) - np.log((in_neg + 1) / (neg + 2))
     strength = np.where((in_all >= MIN_ROWS) & (np.abs(ratio) >= MIN_RATIO), np.abs(ratio) * np.sqrt(in_all), 0.0)
     kept = np.flatnonzero(strength)
     kept = np.sort(kept[np.argsort(-strength[kept], kind="stable")[:SLOTS]])
@@ -92,26 +98,35 @@ def fit(texts: list[str | None], toxic: list[int], rounds: int = 150, penalty: f
     number[kept] = np.arange(len(kept))
     known = np.zeros(size, bool)
     known[kept] = True
-    rows, cols, start = [], [], 0
+    rows, cols, values, start = [], [], [], 0
     for part in in_parts(texts, FIT_CHARS):
-        row, slot = features(part, known)
+        row, slot, value = features(part, known)
         rows.append(row + start)
         cols.append(number[slot])
+        values.append(value)
         start += len(part)
     row, col = np.concatenate(rows), np.concatenate(cols)
     scale = ratio[kept]
+    x = np.concatenate(values) * scale[col]
     weigh = np.where(y > 0, 0.5 / pos, 0.5 / neg)
-    many = np.bincount(row, weights=scale[col] ** 2, minlength=len(y))
+    many = np.bincount(row, weights=x**2, minlength=len(y))
     step = 1.0 / (0.25 * (np.dot(weigh, many) + 1.0) + penalty)
-    w, b, ahead_w, ahead_b = np.zeros(len(kept)), 0.0, np.zeros(len(kept)), 0.0
-    for k in range(rounds):
-        z = np.bincount(row, weights=(ahead_w * scale)[col], minlength=len(y)) + ahead_b
+    w, b, ahead_w, ahead_b, k, first = np.zeros(len(kept)), 0.0, np.zeros(len(kept)), 0.0, 0, None
+    while True:
+        z = np.bincount(row, weights=ahead_w[col] * x, minlength=len(y)) + ahead_b
         g = weigh * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        new_w = ahead_w - step * (np.bincount(col, weights=g[row], minlength=len(kept)) * scale + penalty * ahead_w)
-        new_b = ahead_b - step * g.sum()
+        slope_w, slope_b = np.bincount(col, weights=g[row] * x, minlength=len(kept)) + penalty * ahead_w, g.sum()
+        steep = math.sqrt(np.dot(slope_w, slope_w) + slope_b**2)
+        first = steep if first is None else first
+        if steep <= CONVERGED * first:
+            w, b = ahead_w, ahead_b
+            break
+        new_w, new_b = ahead_w - step * slope_w, ahead_b - step * slope_b
+        if np.dot(slope_w, new_w - w) + slope_b * (new_b - b) > 0:
+            k = 0  # the pull has gone uphill: it starts anew
         pull = k / (k + 3)
         ahead_w, ahead_b = new_w + pull * (new_w - w), new_b + pull * (new_b - b)
-        w, b = new_w, new_b
+        w, b, k = new_w, new_b, k + 1
     return Model(kept, w * scale, float(b))
 
 
@@ -119,8 +134,8 @@ def score(model: Model, known: np.ndarray, number: np.ndarray, texts: list[str |
     """Probability of toxicity for each text."""
     z = np.full(len(texts), model.intercept)
     if len(model.slots):
-        row, slot = features(texts, known)
-        z += np.bincount(row, weights=model.weights[number[slot]], minlength=len(texts))
+        row, slot, value = features(texts, known)
+        z += np.bincount(row, weights=model.weights[number[slot]] * value, minlength=len(texts))
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
