@@ -4,8 +4,8 @@ Base spans are e-mail addresses, IP addresses, card and phone numbers. Each foun
 contexts: how often a term stands in a line with an entity, of all lines with the term in the whole corpus, tells how
 strongly it reveals the entity. A term whose pointwise mutual information with an entity reaches DISCLOSES of the entity's
 own information discloses it and is generalised to a placeholder; from REMOVES on it is removed. To be believed, a term
-must have met the entity in SUPPORT contexts or more that differ beyond an edited word (by the least hash of their words,
-so that copies and near copies of a line count once).
+must have met the entity in SUPPORT contexts or more that differ: lines of an entity whose sets of terms have a Jaccard
+likeness of 0.8 or more, directly or over others, count once.
 
 Defined results: a null text is empty; base spans of different kinds may overlap, a term span never overlaps a base span;
 ends are exclusive and count code points; repeated rows give repeated results; a null doc_id stays null.
@@ -17,6 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomtext.llm.likeness import LIKE, like_components
 from loomtext.llm.scratch import materialise
 
 SUPPORT = 5
@@ -116,20 +117,36 @@ def examined(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.rlike(x, F.lit("[0-9@]")))
 
     def of_line(line: Column) -> Column:
-        terms = terms_of(line)
-        least = F.array_min(F.transform(terms, lambda t: F.xxhash64(t)))
-        return F.transform(_entities(line), lambda e: F.struct(e.alias("entity"), least.alias("sort"), terms.alias("terms")))
+        terms = F.array_sort(terms_of(line))
+        return F.transform(_entities(line), lambda e: F.struct(e.alias("entity"), terms.alias("terms")))
 
     contexts = F.when(F.size("base") > 0, F.flatten(F.transform(lines, of_line)))
     n_lines = F.size(F.split("text", "\n", -1)).cast("long")
     return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", contexts.alias("contexts"), n_lines.alias("n_lines"))
 
 
+def supported(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From contexts (entity, terms): lines (entity, n, node), and (entity, term, n_both, support) with all that met.
+
+    Like lines of an entity share a term among the rarest fifth of their terms (the prefix of a set join), so all like
+    pairs are held against each other.
+    """
+    lines = contexts.groupBy("entity", "terms").agg(F.count(F.lit(1)).alias("n"))
+    lines = materialise(lines.withColumn("node", F.xxhash64("entity", "terms")), "lines")
+    words = lines.select("entity", "node", "n", F.explode("terms").alias("term"))
+    often = words.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c"))
+    order = words.join(often, ["entity", "term"]).groupBy("entity", "node").agg(F.array_sort(F.collect_list(F.struct("c", "term"))).alias("o"))
+    size = F.size("o")
+    prefix = F.slice("o", 1, (size - F.ceil(size * LIKE[0] / LIKE[1]) + 1).cast("int"))
+    keys = order.select("entity", "node", F.inline(prefix)).where("c > 1").select(F.xxhash64("entity", "term").alias("key"), "node")
+    roots = like_components(keys, lines.select("node", F.col("terms").alias("items")))
+    met = words.join(roots, "node", "left").groupBy("entity", "term", F.coalesce("root", "node").alias("context")).agg(F.sum("n").alias("n"))
+    return lines, met.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("support"))
+
+
 def disclosing_terms(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     """(term, removed): terms that disclose an entity, or None if no term met one often enough."""
-    lines = rows.select(F.inline("contexts")).groupBy("entity", "sort", "terms").agg(F.count(F.lit(1)).alias("n"))
-    met = lines.select("entity", "sort", "n", F.explode("terms").alias("term")).groupBy("entity", "term", "sort").agg(F.sum("n").alias("n"))
-    joint = met.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("support"))
+    lines, joint = supported(rows.select(F.inline("contexts")))
     joint = materialise(joint.where(F.col("support") >= SUPPORT), "joint")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     spoken = docs.select(F.explode(F.split(text, "\n", -1)).alias("line")).select(F.explode(terms_of(F.col("line"))).alias("term"))
