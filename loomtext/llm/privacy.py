@@ -4,7 +4,8 @@ Base spans are e-mail addresses, IP addresses, card and phone numbers. Each foun
 contexts: how often a term stands in a line with an entity, of all lines with the term in the whole corpus, tells how
 strongly it reveals the entity. A term whose pointwise mutual information with an entity reaches DISCLOSES of the entity's
 own information discloses it and is generalised to a placeholder; from REMOVES on it is removed. To be believed, a term
-must have met the entity in SUPPORT contexts or more that differ: lines of an entity whose sets of terms have a Jaccard
+must have met the entity in SUPPORT contexts or more, and in so many that, were words dealt out at random, CHANCE pairs
+of all that met would be expected to do so (Chernoff bound of the Poisson tail). Contexts are those that differ: lines of an entity whose sets of terms have a Jaccard
 likeness of 0.8 or more, directly or over others, count once.
 
 Defined results: a null text is empty; base spans of different kinds may overlap, a term span never overlaps a base span;
@@ -13,6 +14,7 @@ ends are exclusive and count code points; repeated rows give repeated results; a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,7 +22,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loomtext.llm.likeness import LIKE, like_components
 from loomtext.llm.scratch import materialise
 
-SUPPORT = 5
+#: Contexts that a term meets an entity in at least, and how many pairs of a corpus may seem to belong together by chance.
+SUPPORT, CHANCE = 2, 0.05
 DISCLOSES, REMOVES = 0.9, 0.98
 
 #: Kinds in the order that ties at one start follow. Possessive forms of the contract's patterns: what follows a repeated
@@ -147,6 +150,8 @@ def supported(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def disclosing_terms(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     """(term, removed): terms that disclose an entity, or None if no term met one often enough."""
     lines, joint = supported(rows.select(F.inline("contexts")))
+    joint = materialise(joint, "met")
+    tried = joint.count()
     joint = materialise(joint.where(F.col("support") >= SUPPORT), "joint")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     spoken = docs.select(F.explode(F.split(text, "\n", -1)).alias("line")).select(F.explode(terms_of(F.col("line"))).alias("term"))
@@ -157,6 +162,10 @@ def disclosing_terms(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     entities = lines.groupBy("entity").agg(F.sum("n").alias("n_entity"))
     n_lines = rows.agg(F.sum("n_lines")).first()[0]
     scored = joint.join(totals, "term").join(entities, "entity")
+    # contexts expected by chance: lines with both, less by what copies make of the contexts
+    by_chance = F.col("n_entity").cast("double") * F.col("n_term") / n_lines * F.col("support") / F.col("n_both")
+    tail = F.col("support") * (1 + F.log(by_chance / F.col("support"))) - by_chance
+    scored = scored.where((by_chance < F.col("support")) & (tail + math.log(max(tried, 1)) <= math.log(CHANCE)))
     information = -F.log2(F.col("n_entity") / n_lines)
     mutual = F.log2(F.col("n_both") * F.lit(float(n_lines)) / (F.col("n_entity").cast("double") * F.col("n_term")))
     strength = scored.select("term", (mutual / information).alias("share")).groupBy("term").agg(F.max("share").alias("share"))
