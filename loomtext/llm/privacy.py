@@ -35,7 +35,8 @@ PATTERNS: dict[str, str] = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_WORD = r"\p{L}{4,}"
+#: Terms: runs of letters, marks and digits, of any length.
+_WORD = r"[\p{L}\p{M}\p{N}]+"
 _MAY_HOLD = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _SPANS = "array<struct<start:int,end:int>>"
 
@@ -105,12 +106,22 @@ def _entities(line: Column) -> Column:
     return F.array_distinct(F.concat(*[_entities_of_kind(line, kind) for kind in PATTERNS]))
 
 
+def masked(text: Column) -> Column:
+    """The text with spaces in place of its base spans; all else stays where it is."""
+    init = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        start = F.greatest(state["at"], s["start"])
+        out = F.concat(state["out"], F.substring(text, state["at"] + 1, start - state["at"]), F.repeat(F.lit(" "), s["end"] - start))
+        return F.when(s["end"] > state["at"], F.struct(s["end"].alias("at"), out.alias("out"))).otherwise(state)
+
+    bare = F.aggregate(base_spans(text), init, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.rlike(text, F.lit("[0-9@]")), bare).otherwise(text)
+
+
 def terms_of(line: Column) -> Column:
-    """Distinct lower-case words of a line outside anything that looks like personal data."""
-    bare = line
-    for pattern in PATTERNS.values():
-        bare = F.regexp_replace(bare, pattern, " ")
-    return F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(_WORD), F.lit(0)))
+    """Distinct lower-case terms of a line outside its base spans."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(masked(line)), F.lit(_WORD), F.lit(0)))
 
 
 def examined(docs: DataFrame) -> DataFrame:
@@ -181,7 +192,7 @@ def find_private(docs: DataFrame) -> DataFrame:
         return rows.select("doc_id", "text_hash", "base", F.array().cast(kind).alias("terms"))
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    words = texts.select("id", "hash", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
+    words = texts.select("id", "hash", F.explode(terms_of(F.col("text"))).alias("term"))
     hit = words.join(terms, "term").groupBy("id", "hash").agg(
         F.collect_set("term").alias("found"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone")
     )
@@ -189,7 +200,7 @@ def find_private(docs: DataFrame) -> DataFrame:
     same = texts["id"].eqNullSafe(hit["id"]) & (texts["hash"] == hit["hash"])
     held = texts.join(hit, same).select(texts["id"], texts["hash"], "text", "found", "gone").dropDuplicates(["id", "hash"])
     spot = F.transform(
-        spans_of(F.col("text"), _WORD, lambda m: F.array_contains(F.col("found"), F.lower(m))),
+        spans_of(masked(F.col("text")), _WORD, lambda m: F.array_contains(F.col("found"), F.lower(m))),
         lambda s: F.struct(
             s["start"].alias("start"),
             F.lit(len(PATTERNS)).alias("place"),

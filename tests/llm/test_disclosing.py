@@ -18,6 +18,20 @@ def found(spark, texts):
     return {r.doc_id: [(k, texts[r.doc_id][int(a) : int(b)]) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)] for r in privacy.span_report(frame(spark, texts)).collect()}
 
 
+def test_three_contexts_of_any_kind_of_term(spark):
+    r = random.Random(3)
+    texts, vocabulary = corpus(r)
+    terms = ["Kim", "李", "b27x", "ދިވެހި", "Renée", "4711"]
+    for k, term in enumerate(terms):
+        texts += [" ".join(r.sample(vocabulary, 6)) + f" {term} mail{k}@corp.example" for _ in range(3)]
+    texts += [f"so {t} said" for t in terms] + [f"alone lone{k}@corp.example" for k in range(5)]
+    got = found(spark, texts)
+    at = len(texts) - 5 - len(terms)
+    assert [[x for _, x in got[at + k]] for k in range(len(terms))] == [[t] for t in terms]
+    assert not any(got[k] for k in range(600))
+    assert all([k for k, _ in got[len(texts) - 1 - k]] == ["email"] for k in range(5))
+
+
 def test_copies_of_a_line_are_one_context(spark):
     r = random.Random(5)
     texts, vocabulary = corpus(r)
