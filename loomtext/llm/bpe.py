@@ -7,11 +7,13 @@ from collections.abc import Sequence
 
 import numpy as np
 
-#: Above this many symbols a word is merged with a heap, whose work grows with n log n; results are the same.
+#: Words of more symbols are merged rank by rank, all places of a rank at once, shorter ones each by its own lowest pair.
 LONG_WORD = 200
 #: Places in a word that a pair's rank is coded with; more than LONG_WORD.
 _PLACES = 256
 _NONE = np.int64(1) << np.int64(40)
+#: Places of one rank that are looked at together where a merge may bring up a lower rank.
+_AT_ONCE = 1024
 
 
 class PairTable:
@@ -26,7 +28,11 @@ class PairTable:
         keys = table[:, 0] * self.base + table[:, 1]
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.merged = keys[order], table[order, 2], table[order, 3]
-        self._slow: dict[tuple[int, int], tuple[int, int]] | None = None
+        made_at = np.full(self.base + 1, -1, np.int64)
+        np.maximum.at(made_at, table[:, 3], table[:, 2])
+        late = np.unique(np.concatenate([table[made_at[table[:, k]] >= table[:, 2], k] for k in (0, 1)]))
+        #: Ranks of rules whose symbol is part of a rule that doesn't rank behind them.
+        self.overtaken = frozenset(table[np.isin(table[:, 3], late), 2].tolist())
 
     def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks and merged ids; a pair without a rule gets _NONE."""
@@ -37,29 +43,73 @@ class PairTable:
         hit = (self.keys[at] == keys) & (left >= 0) & (right >= 0) & (right < self.base)  # else a key stands for another pair
         return np.where(hit, self.ranks[at], _NONE), self.merged[at]
 
-    def _heap(self, symbols: list[int]) -> list[int]:
-        """One long word: a heap of pairs over a linked list."""
-        if self._slow is None:
-            left, right = np.divmod(self.keys, self.base)
-            self._slow = dict(zip(zip(left.tolist(), right.tolist()), zip(self.ranks.tolist(), self.merged.tolist())))
-        rules, n = self._slow, len(symbols)
-        sym, nxt, prv = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(rule[0], i, sym[i], sym[i + 1], rule[1]) for i in range(n - 1) if (rule := rules.get((sym[i], sym[i + 1])))]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b, made = heapq.heappop(heap)
-            j = nxt[i]
-            if sym[i] != a or j >= n or sym[j] != b:
+    def _in_order(self, sym: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge long words rank by rank: a round takes the lowest rank of all words and merges all its places at once.
+
+        Places of one rank that overlap merge from the left. Where a merge makes a pair that doesn't rank behind it, what
+        lies behind in its word waits, as that pair comes next. Symbols stay where they are, linked to their neighbours,
+        so that a round costs what it merges.
+        """
+        n, owner, ends = len(sym), np.repeat(np.arange(len(lens)), lens), np.cumsum(lens)
+        sym, alive = sym.copy(), np.ones(n, bool)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = -1
+        before[ends - lens] = -1
+        rank, made = np.full(n, _NONE), np.zeros(n, np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            """Look up the pairs that begin at these places and list them by rank."""
+            rank[at] = _NONE
+            at = at[after[at] >= 0]
+            rank[at], made[at] = self._find(sym[at], sym[after[at]])
+            at = at[rank[at] < _NONE]
+            at = at[np.argsort(rank[at], kind="stable")]
+            found, first = np.unique(rank[at], return_index=True)
+            for r, places in zip(found.tolist(), np.split(at, first[1:])):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(places)
+
+        note(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            lists = waiting.pop(r)
+            at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            if r in self.overtaken and len(at) > _AT_ONCE:
+                waiting[r], at = [at[_AT_ONCE:]], at[:_AT_ONCE]
+                heapq.heappush(ranks, r)
+            at = at[alive[at] & (rank[at] == r)]
+            if not len(at):
                 continue
-            sym[i], sym[j] = made, None
-            nxt[i] = nxt[j]
-            if nxt[i] < n:
-                prv[nxt[i]] = i
-                if rule := rules.get((made, sym[nxt[i]])):
-                    heapq.heappush(heap, (rule[0], i, made, sym[nxt[i]], rule[1]))
-            if (k := prv[i]) >= 0 and (rule := rules.get((sym[k], made))):
-                heapq.heappush(heap, (rule[0], k, sym[k], made, rule[1]))
-        return [s for s in sym if s is not None]
+            start = np.concatenate([[True], after[at[:-1]] != at[1:]])
+            run = np.flatnonzero(start)[np.cumsum(start) - 1]
+            every, at = at, at[(np.arange(len(at)) - run) % 2 == 0]
+            if r in self.overtaken:
+                # the first place in its word that makes a pair of no higher rank is merged, all behind it waits
+                new, left, right = made[at], before[at], after[after[at]]
+                beside = np.where(left >= 0, sym[left], -1)
+                joins = np.flatnonzero(right[:-1] == at[1:]) + 1
+                beside[joins] = new[joins - 1]
+                low = (self._find(beside, new)[0] <= r) | (self._find(new, np.where(right >= 0, sym[right], -1))[0] <= r)
+                if low.any():
+                    stop = np.full(len(lens), n, np.int64)
+                    np.minimum.at(stop, owner[at[low]], at[low])
+                    later, at = every[every > stop[owner[every]]], at[at <= stop[owner[at]]]
+                    if r not in waiting:
+                        heapq.heappush(ranks, r)
+                    waiting[r] = [later, *waiting.get(r, [])]
+            gone = after[at]
+            sym[at] = made[at]
+            alive[gone] = False
+            then = after[gone]
+            after[at] = then
+            before[then[then >= 0]] = at[then >= 0]
+            left = before[at]
+            note(np.unique(np.concatenate([left[left >= 0], at])))
+        return sym[alive], np.bincount(owner[alive], minlength=len(lens)).astype(np.int64)
 
     def merge(self, sym: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge every word to its final symbols; `sym` holds the words behind one another, `lens` their lengths.
@@ -76,14 +126,12 @@ class PairTable:
             done_lens.append(many)
             done_sym.append(symbols)
 
-        for i in np.flatnonzero(lens > LONG_WORD).tolist():
-            end = int(lens[: i + 1].sum())
-            word = np.asarray(self._heap(sym[end - int(lens[i]) : end].tolist()), np.int64)
-            aside(np.asarray([i]), np.asarray([len(word)]), word)
-        apart = (lens > LONG_WORD) | (lens == 0)
-        if apart.any():
-            empty = lens == 0
+        long, empty = lens > LONG_WORD, lens == 0
+        if long.any():
+            aside(owner[long], *self._in_order(sym[np.repeat(long, lens)], lens[long])[::-1])
+        if long.any() or empty.any():
             aside(owner[empty], lens[empty], sym[:0])
+            apart = long | empty
             sym, owner, lens = sym[np.repeat(~apart, lens)], owner[~apart], lens[~apart]
         ends = np.cumsum(lens)
         rank, made = np.full(len(sym), _NONE), np.zeros(len(sym), np.int64)

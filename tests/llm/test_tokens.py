@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from loomtext.llm import packing, word_bpe
+from loomtext.llm import bpe, packing, word_bpe
 from loomtext.llm.bpe import LONG_WORD, PairTable
 from loomtext.llm.token_count import PieceCounter, count_tokens
 
@@ -23,7 +23,7 @@ LETTERS = list(" ▁\nabthe.,é\t中😀\x00\r<s>0123'") + ["  ", "ΑΣ", "İ",
 def texts():
     r = random.Random(7)
     odd = ["".join(r.choice(LETTERS) for _ in range(r.randrange(40))) for _ in range(3000)]
-    return [*odd, "", " ", "   ", "a" * 3000, " " * 500 + "x", "\n\n", "a\n", "\na", "x\n y", "<s></s><unk><0x0A>", "ab" * (LONG_WORD + 1), "don't 's"]
+    return [*odd, "", " ", "   ", "a" * 3000, " " * 500 + "x", "\n\n", "a\n", "\na", "x\n y", "<s></s><unk><0x0A>", "ab" * (LONG_WORD + 1), "don't 's", "".join(r.choice("etaoin") for _ in range(20_000)), "lorem" * 400]
 
 
 def test_counts_equal_the_library(texts):
@@ -59,17 +59,35 @@ def test_codec_rows(spark):
         assert r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
 
 
-def test_flat_rounds_equal_the_heap():
-    r = random.Random(2)
-    pairs = [(a, b, rank, 100 + rank) for rank, (a, b) in enumerate({(r.randrange(9), r.randrange(9)) for _ in range(40)})]
-    pairs += [(100 + r.randrange(len(pairs)), r.randrange(9), 1000 + k, 500 + k) for k in range(30)]
-    table = PairTable(list({(a, b): (a, b, c, d) for a, b, c, d in pairs}.values()))
-    words = [[r.randrange(9) for _ in range(r.randrange(30))] for _ in range(500)]
-    flat, lens = table.merge([s for w in words for s in w], [len(w) for w in words])
-    at = 0
-    for word, n in zip(words, lens.tolist()):
-        assert flat[at : at + n].tolist() == table._heap(word)
-        at += n
+def merged_one_by_one(rules, word):
+    """The definition: the lowest rank first, of equal ranks the leftmost."""
+    word = list(word)
+    while found := [(rules[p][0], i) for i, p in enumerate(zip(word, word[1:])) if p in rules]:
+        i = min(found)[1]
+        word[i : i + 2] = [rules[tuple(word[i : i + 2])][1]]
+    return word
+
+
+@pytest.mark.parametrize("longest", [200, 8, 0])
+def test_rounds_equal_single_merges(monkeypatch, longest):
+    """Short words by their own lowest pairs, long ones rank by rank; also where ranks tie or overtake those of their parts."""
+    monkeypatch.setattr(bpe, "LONG_WORD", longest)
+    monkeypatch.setattr(bpe, "_AT_ONCE", 5)
+    for seed in range(40):
+        r = random.Random(seed)
+        if seed % 2:
+            pairs = [(a, b, rank, 100 + rank) for rank, (a, b) in enumerate({(r.randrange(5), r.randrange(5)) for _ in range(14)})]
+            pairs += [(100 + r.randrange(len(pairs)), r.randrange(5), 1000 + k, 500 + k) for k in range(30)]
+        else:
+            parts = [*range(5), 10, 11, 12, 13]
+            pairs = [(r.choice(parts), r.choice(parts), q, 10 + q // 2) for q in (r.randrange(8) for _ in range(30))]
+        table = {(a, b): (a, b, c, d) for a, b, c, d in pairs}
+        words = [[r.randrange(5) for _ in range(r.randrange(40))] for _ in range(40)]
+        flat, lens = PairTable(list(table.values())).merge([s for w in words for s in w], [len(w) for w in words])
+        at = 0
+        for word, n in zip(words, lens.tolist()):
+            assert flat[at : at + n].tolist() == merged_one_by_one({k: v[2:] for k, v in table.items()}, word)
+            at += n
 
 
 def test_best_fit_is_bounded_and_complete():
