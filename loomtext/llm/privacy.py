@@ -1,15 +1,21 @@
 """Operator 6: personal data and the terms that reveal it, in DataFrame functions only.
 
-Base spans are e-mail addresses, IP addresses, card and phone numbers. Each found value is a protected entity. Lines are
-contexts: how often a term stands in a line with an entity, of all lines with the term in the whole corpus, tells how
-strongly it reveals the entity. A term whose pointwise mutual information with an entity reaches DISCLOSES of the entity's
-own information discloses it and is generalised to a placeholder; from REMOVES on it is removed. To be believed, a term
-must have met the entity in SUPPORT contexts or more, and in so many that, were words dealt out at random, CHANCE pairs
-of all that met would be expected to do so (Chernoff bound of the Poisson tail). Contexts are those that differ: lines of an entity whose sets of terms have a Jaccard
-likeness of 0.8 or more, directly or over others, count once.
+Base spans are e-mail addresses, IP addresses, card and phone numbers. Each found value is a protected entity, and so is
+the group it belongs to (an address's domain, a network of 256, a card's issuer, a phone number's first digits). An
+entity's context is what stands within REACH code points of it in its line. A term's disclosure of an entity is its
+pointwise mutual information with it by the information of the entity itself, from counts of lines over all documents:
+
+    share = 1 + log2 p(entity | term) / information(entity),  p = n_both / (n_term + 1),  information = -log2(n_entity / n_lines)
+
+where n_both are the lines in which the term is in the entity's context. The 1 smooths what few lines tell. From DISCLOSES
+on a term discloses the entity and is generalised to a placeholder, from REMOVES on it is removed, if either no line of
+the corpus has it without the entity; or it stands elsewhere too, but met the entity in SUPPORT contexts or more that
+aren't near copies of each other (Jaccard likeness of 0.8 or more of their terms, directly or over others), and in so many
+that, were words dealt out at random, CHANCE of all tried pairs would be expected to do so (Chernoff bound of the Poisson tail).
 
 Defined results: a null text is empty; base spans of different kinds may overlap, a term span never overlaps a base span;
-ends are exclusive and count code points; repeated rows give repeated results; a null doc_id stays null.
+ends are exclusive and count code points; a term's spans are all its places in all texts, whatever their case; repeated
+rows give repeated results and count as often as they come; a null doc_id stays null; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,11 +26,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomtext.llm.likeness import LIKE, like_components
+from loomtext.llm.names import unused
+from loomtext.llm.quality import let
 from loomtext.llm.scratch import materialise
 
-#: Contexts that a term meets an entity in at least, and how many pairs of a corpus may seem to belong together by chance.
+#: Contexts that a term met an entity in at least, if it stands elsewhere, and how many pairs may belong together by chance.
 SUPPORT, CHANCE = 2, 0.05
-DISCLOSES, REMOVES = 0.9, 0.98
+DISCLOSES, REMOVES = 0.9, 0.95
+#: Code points on either side of an entity that are its context.
+REACH = 100
+#: Terms that are broadcast to be looked up, at most; more are joined by a shuffle.
+FEW_TERMS = 50_000
 
 #: Kinds in the order that ties at one start follow. Possessive forms of the contract's patterns: what follows a repeated
 #: class is never in the class, so nothing is given back; a match fails at every later start of its run, so runs are tried
@@ -96,17 +108,26 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[_base_of_kind(text, kind) for kind in PATTERNS]))
 
 
-def _entities_of_kind(line: Column, kind: str) -> Column:
-    found = F.filter(F.regexp_extract_all(line, F.lit(PATTERNS[kind]), F.lit(0)), lambda m: accepted(kind, m))
-    return F.transform(found, lambda m: F.concat(F.lit(f"{kind}:"), F.lower(m) if kind == "email" else m if kind == "ip" else _digits(m)))
+def _named(kind: str, match: Column) -> Column:
+    """array<string>: the entity that a match stands for, and its group."""
+    if kind == "email":
+        low = F.lower(match)
+        return F.array(F.concat(F.lit("email:"), low), F.concat(F.lit("domain:"), F.substring_index(low, "@", -1)))
+    if kind == "ip":
+        return F.array(F.concat(F.lit("ip:"), match), F.concat(F.lit("net:"), F.substring_index(match, ".", 3)))
+    head = 6 if kind == "card" else 5
+    return F.array(F.concat(F.lit(f"{kind}:"), _digits(match)), F.concat(F.lit(f"{kind}s:"), F.left(_digits(match), F.lit(head))))
 
 
-def _entities(line: Column) -> Column:
-    """kind:value of what a line holds."""
-    return F.array_distinct(F.concat(*[_entities_of_kind(line, kind) for kind in PATTERNS]))
+def entities_of(kind: Column, match: Column) -> Column:
+    """The entities of a match of any kind."""
+    out = None
+    for k in PATTERNS:
+        out = F.when(kind == k, _named(k, match)) if out is None else out.when(kind == k, _named(k, match))
+    return out
 
 
-def masked(text: Column) -> Column:
+def masked(text: Column, spans: Column | None = None) -> Column:
     """The text with spaces in place of its base spans; all else stays where it is."""
     init = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -115,72 +136,132 @@ def masked(text: Column) -> Column:
         out = F.concat(state["out"], F.substring(text, state["at"] + 1, start - state["at"]), F.repeat(F.lit(" "), s["end"] - start))
         return F.when(s["end"] > state["at"], F.struct(s["end"].alias("at"), out.alias("out"))).otherwise(state)
 
-    bare = F.aggregate(base_spans(text), init, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    spans = base_spans(text) if spans is None else spans
+    bare = F.aggregate(spans, init, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
     return F.when(F.rlike(text, F.lit("[0-9@]")), bare).otherwise(text)
 
 
+def _terms(bare: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(_WORD), F.lit(0)))
+
+
 def terms_of(line: Column) -> Column:
     """Distinct lower-case terms of a line outside its base spans."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(masked(line)), F.lit(_WORD), F.lit(0)))
+    return _terms(masked(line))
+
+
+def _context(bare: Column, s: Column) -> Column:
+    """The text around a span in a masked line, without the terms that REACH cuts."""
+    from_ = F.greatest(s["start"] - REACH, F.lit(0))
+    left, right = F.substring(bare, from_ + 1, s["start"] - from_), F.substring(bare, s["end"] + 1, F.lit(REACH))
+    cut_left = F.when(F.rlike(F.substring(bare, from_, F.lit(1)), F.lit(_WORD)) & (from_ > 0), F.regexp_replace(left, f"^{_WORD}", "")).otherwise(left)
+    cut_right = F.when(F.rlike(F.substring(bare, s["end"] + 1 + REACH, F.lit(1)), F.lit(_WORD)), F.regexp_replace(right, f"{_WORD}$", "")).otherwise(right)
+    return F.concat(cut_left, F.lit(" "), cut_right)
+
+
+def contexts_of(line: Column) -> Column:
+    """array<struct<entity, terms>>: each entity of a line, once, with the sorted terms of all its contexts there."""
+
+    def of_spans(spans: Column) -> Column:
+        def told(bare: Column) -> Column:
+            each = F.transform(
+                spans,
+                lambda s: F.struct(entities_of(s["kind"], F.substring(line, s["start"] + 1, s["end"] - s["start"])).alias("names"), _context(bare, s).alias("around")),
+            )
+
+            def met(found: Column) -> Column:
+                names = F.array_distinct(F.flatten(F.transform(found, lambda x: x["names"])))
+
+                def one(name: Column) -> Column:
+                    around = F.array_join(F.transform(F.filter(found, lambda x: F.array_contains(x["names"], name)), lambda x: x["around"]), " ")
+                    return F.struct(name.alias("entity"), F.array_sort(_terms(around)).alias("terms"))
+
+                return F.transform(names, one)
+
+            return let(each, met)
+
+        return let(masked(line, spans), told)
+
+    return let(base_spans(line), of_spans)
 
 
 def examined(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, base (spans), contexts (entity and terms of each line with one) and n_lines, for each row."""
+    """doc_id, text_hash, base (spans), n_lines, and where there are base spans contexts (of all lines) and terms, for each row."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.rlike(x, F.lit("[0-9@]")))
-
-    def of_line(line: Column) -> Column:
-        terms = F.array_sort(terms_of(line))
-        return F.transform(_entities(line), lambda e: F.struct(e.alias("entity"), terms.alias("terms")))
-
-    contexts = F.when(F.size("base") > 0, F.flatten(F.transform(lines, of_line)))
+    some = F.size("base") > 0
+    contexts = F.when(some, F.flatten(F.transform(lines, contexts_of)))
+    terms = F.when(some, _terms(masked(F.col("text"), F.col("base"))))
     n_lines = F.size(F.split("text", "\n", -1)).cast("long")
-    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", contexts.alias("contexts"), n_lines.alias("n_lines"))
+    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", contexts.alias("contexts"), terms.alias("terms"), n_lines.alias("n_lines"))
 
 
-def supported(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From contexts (entity, terms): lines (entity, n, node), and (entity, term, n_both, support) with all that met.
+def supported(contexts: DataFrame) -> DataFrame:
+    """From contexts (entity, terms): (entity, term, support), contexts with the term that aren't near copies of each other.
 
     Like lines of an entity share a term among the rarest fifth of their terms (the prefix of a set join), so all like
     pairs are held against each other.
     """
-    lines = contexts.groupBy("entity", "terms").agg(F.count(F.lit(1)).alias("n"))
-    lines = materialise(lines.withColumn("node", F.xxhash64("entity", "terms")), "lines")
-    words = lines.select("entity", "node", "n", F.explode("terms").alias("term"))
+    lines = materialise(contexts.distinct().withColumn("node", F.xxhash64("entity", "terms")), "lines")
+    words = lines.select("entity", "node", F.explode("terms").alias("term"))
     often = words.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c"))
     order = words.join(often, ["entity", "term"]).groupBy("entity", "node").agg(F.array_sort(F.collect_list(F.struct("c", "term"))).alias("o"))
     size = F.size("o")
     prefix = F.slice("o", 1, (size - F.ceil(size * LIKE[0] / LIKE[1]) + 1).cast("int"))
     keys = order.select("entity", "node", F.inline(prefix)).where("c > 1").select(F.xxhash64("entity", "term").alias("key"), "node")
     roots = like_components(keys, lines.select("node", F.col("terms").alias("items")))
-    met = words.join(roots, "node", "left").groupBy("entity", "term", F.coalesce("root", "node").alias("context")).agg(F.sum("n").alias("n"))
-    return lines, met.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("support"))
+    met = words.join(roots, "node", "left").select("entity", "term", F.coalesce("root", "node").alias("context")).distinct()
+    return met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("support"))
 
 
 def disclosing_terms(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
-    """(term, removed): terms that disclose an entity, or None if no term met one often enough."""
-    lines, joint = supported(rows.select(F.inline("contexts")))
+    """(term, share, apart): terms that disclose an entity, and whether they stand without it, too; None if no term met one."""
+    contexts = rows.select(F.inline("contexts"))
+    joint = contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
     joint = materialise(joint, "met")
     tried = joint.count()
-    joint = materialise(joint.where(F.col("support") >= SUPPORT), "joint")
+    if not tried:
+        return None
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     spoken = docs.select(F.explode(F.split(text, "\n", -1)).alias("line")).select(F.explode(terms_of(F.col("line"))).alias("term"))
-    # all terms are counted, whatever was met, so that the work is alike at every size
-    totals = materialise(spoken.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")), "totals")
-    if joint.isEmpty():
-        return None
-    entities = lines.groupBy("entity").agg(F.sum("n").alias("n_entity"))
+    totals = spoken.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    entities = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     n_lines = rows.agg(F.sum("n_lines")).first()[0]
-    scored = joint.join(totals, "term").join(entities, "entity")
+    information = -F.log2(F.col("n_entity") / n_lines)
+    share = F.when(information > 0, 1 + F.log2(F.col("n_both") / (F.col("n_term") + 1)) / information)
+    scored = joint.join(totals, "term").join(entities, "entity").withColumn("share", share)
+    pairs = materialise(scored.where(F.col("share") >= DISCLOSES), "pairs")
+    never = pairs.where("n_both = n_term").groupBy("term").agg(F.max("share").alias("share")).withColumn("apart", F.lit(False))
+    apart = pairs.where((F.col("n_both") < F.col("n_term")) & (F.col("n_both") >= SUPPORT))
+    if apart.isEmpty():
+        return materialise(never, "disclosing")
+    support = supported(contexts.join(apart.select("entity").distinct(), "entity", "left_semi"))
+    sure = apart.join(support, ["entity", "term"]).where(F.col("support") >= SUPPORT)
     # contexts expected by chance: lines with both, less by what copies make of the contexts
     by_chance = F.col("n_entity").cast("double") * F.col("n_term") / n_lines * F.col("support") / F.col("n_both")
     tail = F.col("support") * (1 + F.log(by_chance / F.col("support"))) - by_chance
-    scored = scored.where((by_chance < F.col("support")) & (tail + math.log(max(tried, 1)) <= math.log(CHANCE)))
-    information = -F.log2(F.col("n_entity") / n_lines)
-    mutual = F.log2(F.col("n_both") * F.lit(float(n_lines)) / (F.col("n_entity").cast("double") * F.col("n_term")))
-    strength = scored.select("term", (mutual / information).alias("share")).groupBy("term").agg(F.max("share").alias("share"))
-    return materialise(strength.where(F.col("share") >= DISCLOSES).select("term", (F.col("share") >= REMOVES).alias("removed")), "disclosing")
+    sure = sure.where((by_chance < F.col("support")) & (tail + math.log(tried) <= math.log(CHANCE)))
+    both = never.unionAll(sure.groupBy("term").agg(F.max("share").alias("share")).withColumn("apart", F.lit(True)))
+    return materialise(both.groupBy("term").agg(F.max("share").alias("share"), F.max("apart").alias("apart")), "disclosing")
+
+
+def _hits(docs: DataFrame, rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, hash, found, gone): the disclosing terms of each text that has one, and those of them to be removed.
+
+    A term that never stands without an entity is looked up in texts with entities only.
+    """
+    marked = terms.select("term", (F.col("share") >= REMOVES).alias("removed"), "apart")
+    words = rows.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.explode("terms").alias("term"))
+    met = words.join(marked.where("not apart"), "term")
+    apart = marked.where("apart")
+    n = apart.count()
+    if n:
+        text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+        texts = docs.select(docs["doc_id"].cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.explode(terms_of(text)).alias("term"))
+        met = met.unionByName(texts.join(F.broadcast(apart) if n <= FEW_TERMS else apart, "term"))
+    # the terms of one text, of its repeated rows each once
+    return met.groupBy("id", "hash").agg(F.collect_set("term").alias("found"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone"))
 
 
 def find_private(docs: DataFrame) -> DataFrame:
@@ -190,15 +271,10 @@ def find_private(docs: DataFrame) -> DataFrame:
     kind = "array<struct<start:int,place:int,kind:string,end:int>>"
     if terms is None:
         return rows.select("doc_id", "text_hash", "base", F.array().cast(kind).alias("terms"))
+    hit = materialise(_hits(docs, rows, terms), "hit").select(F.col("id").alias("of_id"), F.col("hash").alias("of_hash"), "found", "gone")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    words = texts.select("id", "hash", F.explode(terms_of(F.col("text"))).alias("term"))
-    hit = words.join(terms, "term").groupBy("id", "hash").agg(
-        F.collect_set("term").alias("found"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone")
-    )
-    hit = materialise(hit, "hit")
-    same = texts["id"].eqNullSafe(hit["id"]) & (texts["hash"] == hit["hash"])
-    held = texts.join(hit, same).select(texts["id"], texts["hash"], "text", "found", "gone").dropDuplicates(["id", "hash"])
+    held = texts.join(hit, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash"))).dropDuplicates(["id", "hash"])
     spot = F.transform(
         spans_of(masked(F.col("text")), _WORD, lambda m: F.array_contains(F.col("found"), F.lower(m))),
         lambda s: F.struct(
@@ -208,10 +284,9 @@ def find_private(docs: DataFrame) -> DataFrame:
             s["end"].alias("end"),
         ),
     )
-    spots = held.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), spot.alias("spots"))
-    both = rows.join(spots, rows["doc_id"].eqNullSafe(spots["__id"]) & (rows["text_hash"] == spots["__hash"]), "left")
-    clear = F.filter(F.coalesce("spots", F.array().cast(kind)), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return both.select("doc_id", "text_hash", "base", clear.alias("terms"))
+    spots = held.select(F.col("id").alias("of_id"), F.col("hash").alias("of_hash"), spot.alias("spots"))
+    both = rows.join(spots, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left")
+    return both.select("doc_id", "text_hash", "base", F.coalesce("spots", F.array().cast(kind)).alias("terms"))
 
 
 def joined_spans(spans: Column) -> Column:
@@ -249,12 +324,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     Null texts stay null; all rows and columns are kept.
     """
-    found = find_private(docs)
-    told = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.array_sort(F.concat("base", "terms")).alias("__spans"))
-    told = materialise(told.where(F.size("__spans") > 0).dropDuplicates(["__id", "__hash"]), "spans")
-    text = docs["text"].cast("string")
-    key = docs["doc_id"].cast("long").eqNullSafe(told["__id"]) & (F.xxhash64(text) == told["__hash"])
-    new = F.when(F.col("__spans").isNotNull(), redacted(text, F.col("__spans"))).otherwise(text)
+    own, found = unused(docs), find_private(docs)
+    told = found.select(F.col("doc_id").alias(f"{own}id"), F.col("text_hash").alias(f"{own}hash"), F.array_sort(F.concat("base", "terms")).alias(f"{own}spans"))
+    told = materialise(told.where(F.size(f"{own}spans") > 0).dropDuplicates([f"{own}id", f"{own}hash"]), "spans")
+    text, spans = docs["text"].cast("string"), F.col(f"{own}spans")
+    key = docs["doc_id"].cast("long").eqNullSafe(told[f"{own}id"]) & (F.xxhash64(text) == told[f"{own}hash"])
+    new = F.when(spans.isNotNull(), redacted(text, spans)).otherwise(text)
     out = docs.join(told, key, "left").withColumn("text", new)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
