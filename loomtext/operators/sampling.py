@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loomtext.names import unused
 from loomtext.operators.corpus import seeded_order
+from loomtext.scratch import materialise
 
 PASSES = 4
 
@@ -42,14 +44,23 @@ def draw(rows: DataFrame, stratum: str, key: str, quotas: DataFrame, seed: int)
     return ranked.where(F.col("place") <= F.col("quota")).drop("quota")
 
 
+def ranged(rows: DataFrame, *order: str) -> tuple[DataFrame, str]:
+    """`rows` range-partitioned by `order`, written, with their range's number in a column of the returned name.
+
+    Written, since a range is sampled anew each time it is planned: sizes and rows must be of the same ranges.
+    """
+    n, own = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), unused(rows)
+    return materialise(rows.repartitionByRange(n, *order).withColumn(f"{own}range", F.spark_partition_id()), "ranges"), f"{own}range"
+
+
 def numbered(rows: DataFrame, order: str, name: str = "place") -> DataFrame:
     """`rows` with their place from 0 in `order`, without one task that has all: places within ranges, plus what lies before."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, order).withColumn("__range", F.spark_partition_id())
-    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(order)) - 1
-    return ranged.join(F.broadcast(before), "__range").withColumn(name, inside + F.col("__before")).drop("__range", "__before")
+    placed, at = ranged(rows, order)
+    sizes = placed.groupBy(at).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select(F.col(at).alias(f"{at}_of"), (F.sum("n").over(Window.orderBy(at)) - F.col("n")).alias(f"{at}_before"))  # a row for each range
+    inside = F.row_number().over(Window.partitionBy(at).orderBy(order)) - 1
+    met = placed.withColumn(f"{at}_inside", inside).join(F.broadcast(before), F.col(at) == F.col(f"{at}_of"))
+    return met.withColumn(name, F.col(f"{at}_inside") + F.col(f"{at}_before")).drop(at, f"{at}_of", f"{at}_before", f"{at}_inside")
 
 
 def round_robin(rows: DataFrame, order: str, shards: int) -> DataFrame:
@@ -67,38 +78,58 @@ def nearest_rank(values: Column, q: float) -> Column:
     return F.get(values, F.least(F.size(values) - 1, F.floor(F.size(values) * q).cast("int")))
 
 
-def running(rows: DataFrame, group: str, value: str, amount: Column) -> DataFrame:
+def running(rows: DataFrame, group: str, value: str, amount: str) -> DataFrame:
     """`rows` with `upto`: the sum of `amount` over the rows of the group up to this one, in the order of value.
 
     Rows are range-partitioned by group and value, so that a hot group spreads; sums inside a range get what lies before.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.withColumn("__amount", amount).repartitionByRange(n, group, value).withColumn("__range", F.spark_partition_id())
-    sums = ranged.groupBy(group, "__range").agg(F.sum("__amount").alias("__sum"))
-    so_far = F.sum("__sum").over(Window.partitionBy(group).orderBy("__range")) - F.col("__sum")
-    before = sums.select(F.col(group).alias("__group"), F.col("__range").alias("__of"), so_far.alias("__before"))
-    inside = F.sum("__amount").over(Window.partitionBy("__range", group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    met = ranged.withColumn("__inside", inside).join(before, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__range") == F.col("__of")))
-    return met.withColumn("upto", F.col("__inside") + F.col("__before")).drop("__amount", "__range", "__group", "__of", "__before", "__inside")
+    placed, at = ranged(rows, group, value)
+    sums = placed.groupBy(group, at).agg(F.sum(amount).alias("s"))
+    so_far = F.sum("s").over(Window.partitionBy(group).orderBy(at)) - F.col("s")  # a row for each range of a group
+    before = sums.select(F.col(group).alias(f"{at}_group"), F.col(at).alias(f"{at}_of"), so_far.alias(f"{at}_before"))
+    inside = F.sum(amount).over(Window.partitionBy(at, group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    met = placed.withColumn(f"{at}_inside", inside).join(before, F.col(group).eqNullSafe(F.col(f"{at}_group")) & (F.col(at) == F.col(f"{at}_of")))
+    return met.withColumn("upto", F.col(f"{at}_inside") + F.col(f"{at}_before")).drop(at, f"{at}_group", f"{at}_of", f"{at}_before", f"{at}_inside")
 
 
-def quantiles(rows: DataFrame, group: str, value: str, qs: dict[str, float]) -> DataFrame:
-    """(group, n, mean, *qs): nearest-rank quantiles of each group from counts of distinct values.
+def _counted(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(of, v, c, n, total, upto): each distinct value of a group, how often it comes, and how many rows there are up to it.
 
     Equal values are counted before they meet, and cumulated by value; no list of a group's rows is built.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
-    totals = counts.groupBy(F.col(group).alias("__of")).agg(F.sum("c").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"))
-    placed = running(counts, group, value, F.col("c")).join(totals, F.col(group).eqNullSafe(F.col("__of")))
-    found = [F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * q)), F.col(value))).alias(k) for k, q in qs.items()]
-    return placed.groupBy(group).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), *found)
+    counts = rows.groupBy(F.col(group).alias("of"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    totals = counts.groupBy(F.col("of").alias("g")).agg(F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("total"))
+    return running(counts, "of", "v", "c").join(totals, F.col("of").eqNullSafe(F.col("g"))).drop("g")
+
+
+def quantiles(rows: DataFrame, group: str, value: str, qs: dict[str, float], clamp: bool = True) -> DataFrame:
+    """(group, n, mean, *qs): the value of each group at place floor(q n) of its sorted rows, nulls left out.
+
+    With `clamp` the place is n - 1 at most; without, a place behind the last row gives null.
+    """
+    placed = _counted(rows.where(F.col(value).isNotNull()), group, value)
+
+    def at(q: float) -> Column:
+        place = F.floor(F.col("n") * q)
+        return F.least(F.col("n") - 1, place) if clamp else place
+
+    found = [F.min(F.when(F.col("upto") > at(q), F.col("v"))).alias(k) for k, q in qs.items()]
+    return placed.groupBy(F.col("of").alias(group)).agg(F.first("n").alias("n"), F.first(F.col("total") / F.col("n")).alias("mean"), *found)
+
+
+def medians(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, n, median): the middle value of each group, between two middle ones their mean."""
+    placed = _counted(rows.where(F.col(value).isNotNull()), group, value)
+    middle = [F.min(F.when(F.col("upto") > F.floor((F.col("n") - k) / 2), F.col("v"))) for k in (1, 0)]
+    told = placed.groupBy(F.col("of").alias(group)).agg(F.first("n").alias("n"), middle[0].alias("low"), middle[1].alias("high"))
+    return told.select(group, "n", ((F.col("low") + F.col("high")) / 2).alias("median"))
 
 
 def empirical_cdf(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, value, percent): for each row in the order of value, the percent of rows up to it."""
-    totals = rows.groupBy(F.col(group).alias("__of")).agg(F.count(F.lit(1)).alias("n"))
-    placed = running(rows.select(group, value), group, value, F.lit(1)).join(totals, F.col(group).eqNullSafe(F.col("__of")))
-    return placed.select(group, value, (100.0 * F.col("upto") / F.col("n")).alias("percent"))
+    """(group, value, percent): for each row in the order of value, the percent of rows up to it; of equal values one after another."""
+    placed = _counted(rows, group, value)
+    each = placed.select("of", "v", "n", F.explode(F.sequence(F.col("upto") - F.col("c") + 1, F.col("upto"))).alias("k"))
+    return each.select(F.col("of").alias(group), F.col("v").alias(value), (100.0 * F.col("k") / F.col("n")).alias("percent"))
 
 
 def first_examples(rows: DataFrame, group: str, order: str, k: int) -> DataFrame:
