@@ -4,9 +4,8 @@ A fingerprint is an invertible Bloom lookup sketch of the digests of a text's di
 three subtables of cells, each with a count, the xor of digests and the xor of their checks. Two versions' cells subtract;
 what is left is peeled: a cell of count 1 or -1 whose check fits names a digest of one version only, which is then taken
 from its other cells. Subtables take turns, so that a digest is found in one cell at a time. Where cells are left over,
-the pair is tried again with sketches GROWTH times as large, until every pair is solved. Rows stay in the partition of
-their document, so that peeling needs no shuffle; the digests are kept there on disk, to be made anew from files where an
-executor is lost.
+the pair is tried again with sketches GROWTH times as large, until every pair is solved. Rows are written in buckets of
+their document, so that sketches and peeling need no shuffle, and what a lost executor had is read again.
 
 Likeness of two fingerprints: paragraphs that both have, by those that either has; 1 if neither has any.
 
@@ -17,11 +16,10 @@ only loses its end and near_next is null; repeated rows give repeated results.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomtext.llm.neighbours import next_lower
-from loomtext.llm.scratch import materialise
+from loomtext.llm.scratch import materialise, materialise_by
 
 CELLS = 24  # of the fingerprint; a multiple of 3
 GROWTH = 4
@@ -166,7 +164,7 @@ def versions(docs: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of `docs`."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialise(versions(docs), "versions").repartition(n, "row").persist(StorageLevel.DISK_ONLY)
+    rows = materialise_by(materialise(versions(docs), "versions"), "row", n, "digests")
     of = {k: sketch(rows, k, CELLS, ["row"]) for k in ("own", "edited")}
     apart = differences(rows, ("edited", "next"))
     by_row = apart.groupBy("row").agg(*[
