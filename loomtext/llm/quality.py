@@ -4,9 +4,9 @@ Rules over counts of a text vote good (1) or bad (-1) or abstain (0); each can c
 document is good with some share, and each rule votes with one chance on good documents and with another on bad ones;
 these two are its accuracy. Expectation-maximisation estimates share and chances from all documents' votes, without
 labels; a document's verdict is the posterior probability that it is good. Each kind of junk is seen by two rules or
-more, which is what lets accuracies be told from agreement, and rules are taken to be better than chance: one against a
-document votes at least LIFT times as often on bad ones. Votes take one of 2^len(RULES) patterns, so the estimation runs over pattern counts, one row of at
-most that many structs, whatever the input.
+more, which is what lets accuracies be told from agreement. The only thing taken for granted is that no rule is worse than
+chance: one against a document doesn't vote more often on good ones. Votes take one of 2^len(RULES) patterns, so the
+estimation runs over pattern counts, one row of at most that many structs, whatever the input.
 
 Defined results: a null or blank text has no words, counts of 0, fails the base rule and isn't kept; repeated rows give
 repeated results and count as often in the estimation; an empty table gives no rows; a null doc_id stays null.
@@ -23,7 +23,6 @@ from loomtext.llm.scratch import materialise
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 ROUNDS = 30
-LIFT = 10.0
 _PLACE = 30  # bits of a word's place in a coded window
 
 #: Name, vote, and when it is cast.
@@ -158,13 +157,13 @@ def estimate(cast: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                         on_bad = (v["all"] - v["good"] + strength * first["bad"]) / (total - g + strength)
                         against = first["good"] < first["bad"]
                         return F.struct(
-                            F.when(against, F.least(on_good, on_bad / LIFT)).otherwise(on_good).alias("good"),
+                            F.when(against, F.least(on_good, on_bad)).otherwise(on_good).alias("good"),
                             F.when(against, on_bad).otherwise(F.least(on_bad, on_good)).alias("bad"),
                         )
 
                     return let(voted, bounded)
 
-                share = F.least(F.lit(0.98), F.greatest(F.lit(0.5), (g + 0.8 * strength) / (total + strength)))
+                share = (g + 0.8 * strength) / (total + strength)
                 return F.struct(share.alias("share"), F.transform(for_rule, chance).alias("chances"))
 
             return let(good, chances)
