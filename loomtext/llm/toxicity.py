@@ -3,8 +3,9 @@
 Features are the character 3-, 4- and 5-grams of a text, hashed to 2^22 slots, each with the log of 1 plus how often it
 occurs; each is scaled by the log of the ratio of its (smoothed) means in toxic and other texts, and a logistic regression
 with an L2 penalty is fitted over the scaled features until its gradient has gone. The fit sees a bounded sample of labelled rows: at most POSITIVES toxic and NEGATIVES other ones, those
-of least hash. Slots in fewer than MIN_ROWS sampled texts or with a small log ratio have no weight; at most SLOTS weights
-are kept, the bound on what is sent to the executors. Every text is scored whole.
+of least hash, and at most SAMPLE_CHARS characters of their texts in all, in that order; the fit needs memory for their
+features only. Fit says which slots get a weight: by default the 50,000 strongest of those in three sampled texts or more
+with a log ratio of 1 or more; with Fit(None, 1, 0.0) every slot that was met. Every text is scored whole.
 
 Defined results: a null text is empty and gets the score of a text without features; a null doc_id is not held out and
 never learned from; labels that are null, or name no document, are left out; if a document has several labels, it is
@@ -21,15 +22,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from loomtext.llm.batches import give_back, in_parts
+from loomtext.llm.batches import give_back, in_parts, small_batches
+from loomtext.llm.names import unused
 from loomtext.llm.scratch import materialise
 
 ORDERS = (3, 4, 5)
 BITS = 22
 POSITIVES, NEGATIVES = 2500, 4000
-MIN_ROWS = 3
-MIN_RATIO = 1.0
-SLOTS = 50_000
+#: Characters of the sample's texts, at most; the text that reaches the bound is the last one, whole.
+SAMPLE_CHARS = 40_000_000
+
+
+class Fit(NamedTuple):
+    """Which slots get a weight: `slots` at most (None: all), those in `rows` texts or more with a log ratio of `ratio` or more."""
+
+    slots: int | None = 50_000
+    rows: int = 3
+    ratio: float = 1.0
+
+
 #: The fit ends where the gradient is this share of the first one.
 CONVERGED = 1e-3
 #: Characters whose features are made at once, in the fit and in scoring.
@@ -72,7 +83,7 @@ def features(texts: list[str | None], known: np.ndarray | None = None) -> tuple[
     return pairs >> BITS, pairs & ((1 << BITS) - 1), np.log1p(often)
 
 
-def fit(texts: list[str | None], toxic: list[int], penalty: float = 1e-3) -> Model:
+def fit(texts: list[str | None], toxic: list[int], penalty: float = 1e-3, keep: Fit = Fit()) -> Model:
     """Naive Bayes ratios, then logistic regression by accelerated gradient steps; both classes weigh the same.
 
     Steps go on until the gradient is CONVERGED of the first one; the penalty makes that certain.
@@ -91,9 +102,9 @@ def fit(texts: list[str | None], toxic: list[int], penalty: float = 1e-3) -> Mod
         in_all += np.bincount(slot, minlength=size)
         start += len(part)
     ratio = np.log((in_pos + 1) / (pos + 2)) - np.log((in_neg + 1) / (neg + 2))
-    strength = np.where((in_all >= MIN_ROWS) & (np.abs(ratio) >= MIN_RATIO), np.abs(ratio) * np.sqrt(in_all), 0.0)
-    kept = np.flatnonzero(strength)
-    kept = np.sort(kept[np.argsort(-strength[kept], kind="stable")[:SLOTS]])
+    strength = np.abs(ratio) * np.sqrt(in_all)
+    kept = np.flatnonzero((in_all >= max(1, keep.rows)) & (np.abs(ratio) >= keep.ratio))
+    kept = np.sort(kept[np.argsort(-strength[kept], kind="stable")[: keep.slots]])
     number = np.zeros(size, np.int64)
     number[kept] = np.arange(len(kept))
     known = np.zeros(size, bool)
@@ -157,19 +168,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIV
     return chosen[0].unionAll(chosen[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> Model:
-    """Fit on the sample, in one task; SLOTS weights come back."""
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, keep: Fit = Fit()) -> Model:
+    """Fit on the sample, in one task; the weights come back."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("toxic").to_pylist())]
+        rows, chars = [], 0
+        for b in batches:
+            for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic"))):
+                if chars < SAMPLE_CHARS:
+                    rows.append(r)
+                    chars += len(r[1] or "")
         rows.sort(key=lambda r: (r[0], r[1] or ""))
-        model = fit([r[1] for r in rows], [r[2] for r in rows])
+        model = fit([r[1] for r in rows], [r[2] for r in rows], keep=keep)
         slots = np.append(model.slots, -1)
         yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(np.append(model.weights, model.intercept))], names=["slot", "weight"])
         give_back()
 
     sample = labelled_sample(docs, labels, positives, negatives)
-    found = sample.coalesce(1).mapInArrow(learn, "slot long, weight double").collect()
+    with small_batches(docs.sparkSession):
+        found = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", "text")).mapInArrow(learn, "slot long, weight double").collect()
     by_slot = {r["slot"]: r["weight"] for r in found}
     intercept = by_slot.pop(-1, NEVER)  # an empty sample makes no task
     slots = np.asarray(sorted(by_slot), np.int64)
@@ -177,8 +194,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
 
 
 def score_rows(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with a column `score` behind its own, by mapInArrow."""
-    columns = docs.columns
+    """`docs` with one more column, the last, that holds the score, by mapInArrow."""
+    columns, name = docs.columns, f"{unused(docs)}score"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, number = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, np.int32)
@@ -187,10 +204,10 @@ def score_rows(docs: DataFrame, model: Model) -> DataFrame:
         at = columns.index("text")
         for batch in batches:
             scores = [score(model, known, number, part) for part in in_parts(batch.column(at), SCORE_CHARS)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *scores]))], names=[*columns, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *scores]))], names=[*columns, name])
         give_back()
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -198,10 +215,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     """doc_id, held_out, score, predicted for each row of `docs` (doc_id, text)."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     scored = score_rows(rows, train(docs, labels))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
+    value = F.col(scored.columns[-1])
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), value.alias("score"), (value >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of `docs` that score below `threshold`, all columns as they are."""
     scored = score_rows(docs, train(docs, labels))
-    return scored.where(F.col("__score") < threshold).drop("__score")
+    name = scored.columns[-1]
+    return scored.where(F.col(name) < threshold).drop(name)
