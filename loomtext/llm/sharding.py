@@ -1,29 +1,37 @@
 """Operator 9: resharding by minimum-cost flow.
 
-Rows belong to blocks by a hash of their text, so equal texts share a block; blocks start in the shard that their number
-names. From the old shard sizes and the new capacities a minimum-cost flow says how many bytes go from which shard to
-which; whole blocks then realise it. A block larger than the tolerance (a text with very many copies) is divided into
-parts by a hash of doc_id first. Plans see block sizes only, whose number is bounded by parameters: BLOCKS and, for
-divided blocks, one part for each tolerance of bytes.
+Rows belong to blocks by a hash of their text, so equal texts share a block. The shards as they are give old sizes, the
+caller gives new capacities, and a minimum-cost flow says how many bytes go from which shard to which; whole blocks then
+realise it, and only shards that lose or gain blocks are written again. A block larger than the tolerance (a text with
+very many copies) is divided into parts by a hash of doc_id. Plans see the sizes of blocks by shard, whose number is
+bounded by parameters: `blocks` and, for divided blocks, one part for each tolerance of bytes.
+
+A sharded table is a folder with `gen=<n>/shard=<k>` folders of Parquet files and `layout/<n>` tables that say, for each
+generation, which folder each shard is in. A layout is written last, in one file: until then readers see the old one.
 
 Law: bytes. Each shard ends within the tolerance of its capacity, as far as single rows allow.
 
 Defined results: the size of a null text is 1 (none, plus 1) and its CRC32 that of no bytes; repeated rows are placed as
-often as they come; rows without doc_id take part; an empty table gives no rows.
+often as they come; rows without doc_id take part; an empty table gives no rows, and empty shards if it is written; other
+columns are kept in files, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import insort
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from loomtext.llm.names import unused
 from loomtext.llm.scratch import materialise
 
-#: Blocks for each shard, and the share of a shard's capacity that a block may hold undivided.
-BLOCKS = 256
+#: Blocks of a table by default; the share of a shard's capacity that a block may hold undivided.
+BLOCKS = 4096
 TOLERANCE = 1 / 200
 
+Unit = tuple[int, int]  # block and part
+
 
 def min_cost_flow(old: list[int], new: list[int], cost: list[list[int]] | None = None) -> dict[tuple[int, int], int]:
     """Bytes to send from shard to shard so that `old` becomes `new`, at the least cost: successive shortest paths.
@@ -80,118 +88,199 @@ def min_cost_flow(old: list[int], new: list[int], cost: list[list[int]] | None =
             x = to[via[x] ^ 1]
 
 
-def capacities(total: int, shards: int) -> list[int]:
-    """Equal shares of `total`, at most 1 apart."""
-    return [total // shards + (i < total % shards) for i in range(shards)]
+def capacities(total: int, weights: list[int]) -> list[int]:
+    """Whole shares of `total` by weight; for equal weights at most 1 apart."""
+    upto = [total * sum(weights[: k + 1]) // sum(weights) for k in range(len(weights))]
+    return [b - a for a, b in zip([0, *upto], upto)]
 
 
-def move_blocks(blocks: list[tuple[tuple[int, int], int, int]], new: list[int]) -> dict[tuple[int, int], int]:
-    """New shard of each block of (key, size, old shard).
+def move_blocks(blocks: list[tuple[Unit, int, int]], new: list[int]) -> dict[Unit, int]:
+    """New shard of each block of (key, size, old shard); old shards may be more or fewer than new ones.
 
     Each transfer of the flow takes the sender's blocks, largest first, while they fit into it; what is left of the
-    transfers, less than a block each, is evened out by blocks that bring sender and taker closer to their sizes.
+    transfers, less than a block each, is evened out by blocks that bring sender and taker closer to their sizes. Shards
+    that are no more give all they have.
     """
-    shards = len(new)
+    shards = max([len(new), *(shard + 1 for _, _, shard in blocks)])
+    goal = [*new, *[0] * (shards - len(new))]
     at = {key: shard for key, _, shard in blocks}
     size = {key: s for key, s, _ in blocks}
-    held: list[list[tuple[int, int]]] = [[] for _ in range(shards)]
-    for key, _, shard in sorted(blocks, key=lambda b: (-b[1], b[0])):
-        held[shard].append(key)
-    full = [sum(size[k] for k in keys) for keys in held]
-
-    def move(key: tuple[int, int], a: int, b: int) -> None:
-        held[a].remove(key)
-        held[b].append(key)
+    held: list[list[tuple[int, Unit]]] = [[] for _ in range(shards)]  # (size, key), ascending
+    for key, s, shard in blocks:
+        held[shard].append((s, key))
+    for keys in held:
+        keys.sort()
+    full = [sum(s for s, _ in keys) for keys in held]
+
+    def move(key: Unit, a: int, b: int) -> None:
+        insort(held[b], (size[key], key))
         full[a] -= size[key]
         full[b] += size[key]
         at[key] = b
 
-    for (a, b), amount in sorted(min_cost_flow(full, new).items()):
-        for key in list(held[a]):
-            if size[key] <= amount:
-                amount -= size[key]
+    for (a, b), amount in sorted(min_cost_flow(full, goal).items()):
+        stay = []
+        for s, key in reversed(held[a]):
+            if s <= amount:
+                amount -= s
                 move(key, a, b)
+            else:
+                stay.append((s, key))
+        held[a] = stay[::-1]
+    for a in range(len(new), shards):  # what didn't fit into a transfer
+        for s, key in held[a]:
+            move(key, a, min(range(len(new)), key=lambda k: (full[k] - goal[k], k)))
+        held[a] = []
     for _ in range(16 * shards):
-        over = [f - n for f, n in zip(full, new)]
-        a, b = max(range(shards), key=over.__getitem__), min(range(shards), key=over.__getitem__)
+        over = [f - n for f, n in zip(full[: len(new)], new)]
+        a, b = max(range(len(new)), key=over.__getitem__), min(range(len(new)), key=over.__getitem__)
         gap = over[a] - over[b]
-        key = min((k for k in held[a] if size[k] < gap), key=lambda k: (abs(2 * size[k] - gap), k), default=None)
-        if key is None:
+        best = min(((abs(2 * s - gap), key, k) for k, (s, key) in enumerate(held[a]) if s < gap), default=None)
+        if best is None:
             break
-        move(key, a, b)
+        del held[a][best[2]]
+        move(best[1], a, b)
     return at
 
 
-def _measured(docs: DataFrame, shards: int) -> DataFrame:
-    """doc_id, size, text_crc32, block (by text) and dice (by doc_id, to divide a block)."""
+def _measured(docs: DataFrame, old: Column | None, shards: int, blocks: int) -> dict[str, Column]:
+    """What a row's place depends on: size, block (by text), dice (by doc_id, to divide a block), old shard."""
     text = docs["text"].cast("string")
-    return docs.select(
-        docs["doc_id"].cast("long").alias("doc_id"),
-        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(text), F.lit(shards * BLOCKS)).cast("int").alias("block"),
-        F.pmod(F.xxhash64(docs["doc_id"].cast("long"), F.lit("dice")), F.lit(1 << 30)).alias("dice"),
-    )
+    block = F.pmod(F.xxhash64(text), F.lit(blocks)).cast("int")
+    return {
+        "size": (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"),
+        "block": block,
+        "dice": F.pmod(F.xxhash64(docs["doc_id"].cast("long"), F.lit("dice")), F.lit(1 << 30)),
+        # a row that is in no shard yet belongs where its block would be in a new table
+        "old": F.coalesce(old.cast("int"), block % shards) if old is not None else block % shards,
+    }
 
 
-def _part(parts: Column) -> Column:
+def _part(dice: Column, parts: Column) -> Column:
     """Which of a block's parts a row is in."""
-    return F.pmod(F.col("dice"), parts).cast("int")
+    return F.pmod(dice, parts).cast("int")
 
 
-def plan_shards(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
-    """From rows with size, block and dice: block parts (block, parts) and moves (block, part, old_shard, shard, base).
+def plan_shards(rows: DataFrame, new: list[int] | int) -> tuple[DataFrame, DataFrame, set[int]]:
+    """From rows with size, block, dice and old: parts (block, parts), moves (block, part, shard, base), shards that change.
 
-    base is the number of rows that come before the part's in its new shard. Both have at most
-    shards * BLOCKS + shards / TOLERANCE rows and are read to the driver, which solves the flow.
+    `new` are the capacities of the new shards, in any unit, or their number if they are equal. A block of which rows are
+    in several shards counts where most of its bytes are; `base` is the number of rows that come before the part's in its
+    new shard. Tables of at most blocks + shards / TOLERANCE rows for each old shard are read to the driver, which solves
+    the flow.
     """
     spark = rows.sparkSession
+    weights = [1] * new if isinstance(new, int) else new
     sizes = {r["block"]: r["size"] for r in rows.groupBy("block").agg(F.sum("size").alias("size")).collect()}
-    most = max(1.0, sum(sizes.values()) / shards * TOLERANCE)
+    total, shards = sum(sizes.values()), len(weights)
+    most = max(1.0, total / shards * TOLERANCE)
     parts = spark.createDataFrame([(b, max(1, round(s / most))) for b, s in sizes.items()], "block int, parts int")
-    parted = rows.join(F.broadcast(parts), "block").withColumn("part", _part(F.col("parts")))
-    counted = parted.groupBy("block", "part").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
-    blocks = [((r["block"], r["part"]), r["size"], r["block"] % shards) for r in counted]
-    at = move_blocks(blocks, capacities(sum(b[1] for b in blocks), shards))
-    count = {(r["block"], r["part"]): r["rows"] for r in counted}
+    parted = rows.join(F.broadcast(parts), "block").withColumn("part", _part(F.col("dice"), F.col("parts")))
+    counted = parted.groupBy("block", "part", "old").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
+    where: dict[Unit, dict[int, int]] = {}
+    count: dict[Unit, int] = {}
+    for r in counted:
+        key = (r["block"], r["part"])
+        where.setdefault(key, {})[r["old"]] = r["size"]
+        count[key] = count.get(key, 0) + r["rows"]
+    blocks = [(key, sum(of.values()), max(of, key=lambda k: (of[k], -k))) for key, of in where.items()]
+    at = move_blocks(blocks, capacities(total, weights))
     before, moves = [0] * shards, []
     for key in sorted(at):
-        moves.append((*key, key[0] % shards, at[key], before[at[key]]))
+        moves.append((*key, at[key], before[at[key]]))
         before[at[key]] += count[key]
-    return parts, spark.createDataFrame(moves, "block int, part int, old_shard int, shard int, base long")
+    changed = {k for key, of in where.items() for old in of if old != at[key] for k in (old, at[key])}
+    return parts, spark.createDataFrame(moves, "block int, part int, shard int, base long"), changed
 
 
-def assign_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """doc_id, size, text_crc32, law, old_shard, shard, slot for each row of `docs` (doc_id, text)."""
-    rows = materialise(_measured(docs, shards), "sizes")
-    parts, moves = plan_shards(rows, shards)
-    placed = rows.join(F.broadcast(parts), "block").withColumn("part", _part(F.col("parts"))).join(F.broadcast(moves), ["block", "part"])
-    in_part = Window.partitionBy("block", "part").orderBy("doc_id", "text_crc32", "size")
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "old_shard", "shard", (F.col("base") + F.row_number().over(in_part) - 1).alias("slot")
-    )
-
+def assign_shards(docs: DataFrame, new: list[int] | int = 16, old: Column | None = None, blocks: int = BLOCKS) -> DataFrame:
+    """doc_id, size, text_crc32, law, old_shard, shard, slot for each row of `docs` (doc_id, text).
 
-def rewrite_shards(docs: DataFrame, path: str, shards: int = 16, fresh: bool = False) -> list[int]:
-    """Bring the files under `path` (shard=0 to shards-1) into the new layout; returns the shards rewritten.
-
-    Only shards that lose or gain blocks are written again, each by dynamic partition overwrite, unless `fresh`.
+    `new` are capacities or a number of equal shards, `old` says which shard a row is in now; without it, and where it is
+    null, rows are taken to be where a hash of their text puts them.
     """
-    spark = docs.sparkSession
-    parts, moves = plan_shards(_measured(docs, shards), shards)
-    moved = moves.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
-    touched = list(range(shards)) if fresh else sorted(r["s"] for r in moved.collect())
+    n = new if isinstance(new, int) else len(new)
     text = docs["text"].cast("string")
-    keyed = docs.withColumns({
-        "__block": F.pmod(F.xxhash64(text), F.lit(shards * BLOCKS)).cast("int"),
-        "__dice": F.pmod(F.xxhash64(docs["doc_id"].cast("long"), F.lit("dice")), F.lit(1 << 30)),
-    })
-    where = moves.join(parts, "block").select(
-        F.col("block").alias("__b"), F.col("part").alias("__part"), F.col("parts").alias("__parts"), F.col("shard").alias("__shard")
-    )
-    match = (F.col("__block") == F.col("__b")) & (F.pmod(F.col("__dice"), F.col("__parts")) == F.col("__part"))
-    out = keyed.join(F.broadcast(where.where(F.col("__shard").isin(touched))), match)
-    out = out.select(*docs.columns, F.col("__shard").alias("shard"))
-    (out.repartition("shard", F.pmod(F.xxhash64(*docs.columns), F.lit(8)))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path))
-    return touched
+    crc = F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32")
+    measured = [c.alias(k) for k, c in _measured(docs, old, n, blocks).items()]
+    rows = materialise(docs.select(docs["doc_id"].cast("long").alias("doc_id"), crc, *measured), "sizes")
+    parts, moves, _ = plan_shards(rows, new)
+    placed = rows.join(F.broadcast(parts), "block").withColumn("part", _part(F.col("dice"), F.col("parts"))).join(F.broadcast(moves), ["block", "part"])
+    in_part = Window.partitionBy("block", "part").orderBy("doc_id", "text_crc32", "size")
+    slot = (F.col("base") + F.row_number().over(in_part) - 1).alias("slot")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("old").alias("old_shard"), "shard", slot)
+
+
+def _layout(spark: SparkSession, path: str) -> tuple[int, dict[int, str], int]:
+    """Generation, folder of each shard (none: empty), and number of blocks of the newest layout; -1 where there is none."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/layout")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return -1, {}, 0
+    # a layout is one file that its writer's commit puts there; the folder alone may be of a writer that died
+    whole = [int(p.getName()) for s in fs.listStatus(root) if (p := s.getPath()).getName().isdigit() and fs.exists(p.suffix("/_SUCCESS"))]
+    if not whole:
+        return -1, {}, 0
+    rows = spark.read.parquet(f"{path}/layout/{max(whole)}").collect()
+    return max(whole), {r["shard"]: r["folder"] for r in rows}, rows[0]["blocks"]
+
+
+def read_shards(spark: SparkSession, path: str, name: str = "shard") -> DataFrame:
+    """The rows of a sharded table with the number of their shard in a last column `name`."""
+    generation, folders, _ = _layout(spark, path)
+    if generation < 0:
+        raise ValueError(f"no sharded table in {path}")
+    schema = spark.read.parquet(f"{path}/layout/{generation}-schema").schema
+    filled = [f"{path}/{f}" for f in folders.values() if f]
+    if not filled:
+        return spark.createDataFrame([], schema).withColumn(name, F.lit(None).cast("int"))
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*filled)
+    return rows.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), "/[^/=]+=([0-9]+)/[^/]*$", 1).cast("int"))
+
+
+def reshard(spark: SparkSession, path: str, new: list[int] | int, more: DataFrame | None = None, blocks: int = BLOCKS) -> list[int]:
+    """Bring the sharded table in `path` to new capacities (or a number of equal shards), with the rows of `more` added.
+
+    Old sizes are those of the files. Only shards that lose or gain rows are written again, into a new generation of
+    folders; the layout that names them is written last, then what it no longer names is deleted. Without a table in
+    `path` one is made from `more`, in `blocks` blocks. Returns the shards written.
+    """
+    generation, folders, own_blocks = _layout(spark, path)
+    n = new if isinstance(new, int) else len(new)
+    if generation < 0 and more is None:
+        raise ValueError(f"no sharded table in {path}")
+    own = unused(more) if generation < 0 else unused(read_shards(spark, path).drop("shard"))
+    blocks = own_blocks or blocks
+    now = read_shards(spark, path, f"{own}old") if generation >= 0 else None
+    if more is not None:
+        added = more.withColumn(f"{own}old", F.lit(None).cast("int"))
+        now = added if now is None else now.unionByName(added)
+    columns = [c for c in now.columns if c != f"{own}old"]
+    measured = {f"{own}{k}": c for k, c in _measured(now, F.col(f"{own}old"), n, blocks).items() if k != "old"}
+    rows = now.withColumns(measured)
+    place = F.coalesce(F.col(f"{own}old"), F.col(f"{own}block") % n)
+    fresh = F.col(f"{own}old").isNull()
+    sized = materialise(rows.select(*[F.col(f"{own}{k}").alias(k) for k in ("size", "block", "dice")], place.alias("old"), fresh.alias("fresh")), "sizes")
+    parts, moves, changed = plan_shards(sized, new)
+    where = moves.join(parts, "block").select(*[F.col(c).alias(f"{own}{c}_to") for c in ("block", "part", "parts", "shard")])
+    # rows that are new to the table change the shard they go to
+    here = sized.join(F.broadcast(parts), "block").withColumn("part", _part(F.col("dice"), F.col("parts"))).join(F.broadcast(moves), ["block", "part"])
+    changed |= {r["shard"] for r in here.where("fresh").select("shard").distinct().collect()}
+    kept = {k: folder for k, folder in folders.items() if k < n and k not in changed}
+    written = sorted(k for k in range(n) if k not in kept)
+    match = (F.col(f"{own}block") == F.col(f"{own}block_to")) & (_part(F.col(f"{own}dice"), F.col(f"{own}parts_to")) == F.col(f"{own}part_to"))
+    out = rows.join(F.broadcast(where.where(F.col(f"{own}shard_to").isin(written))), match)
+    gen = generation + 1
+    salt = F.pmod(F.col(f"{own}dice"), F.lit(8))
+    out.repartition(f"{own}shard_to", salt).select(*columns, f"{own}shard_to").write.mode("overwrite").partitionBy(f"{own}shard_to").parquet(f"{path}/gen={gen}")
+    fs_of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for k in written:
+        folder = f"gen={gen}/{own}shard_to={k}"
+        kept[k] = folder if fs.exists(fs_of(f"{path}/{folder}")) else ""
+    spark.createDataFrame([], now.select(*columns).schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/layout/{gen}-schema")
+    layout = spark.createDataFrame([(k, kept[k], blocks) for k in sorted(kept)], "shard int, folder string, blocks int")
+    layout.coalesce(1).write.mode("overwrite").parquet(f"{path}/layout/{gen}")
+    for folder in {f for f in folders.values() if f} - set(kept.values()):
+        fs.delete(fs_of(f"{path}/{folder}"), True)
+    return written

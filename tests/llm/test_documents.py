@@ -58,6 +58,37 @@ def test_quality_verdicts(spark, prose):
     assert quality.judged(rows_of(spark, ["x"]).limit(0)).count() == 0 and quality.keep_good(rows_of(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_estimation_against_numpy(spark):
+    """Expectation-maximisation and verdicts of rules' votes, also where most documents are junk."""
+    r = random.Random(12)
+    names = [vote for _, vote, _ in quality.RULES]
+    for share in (0.9, 0.3):
+        votes = []
+        for _ in range(600):
+            good = r.random() < share
+            votes.append([v if r.random() < ((0.97 if good else 0.5) if v > 0 else (0.01 if good else 0.4)) else 0 for v in names])
+        fit = quality.estimate(spark.createDataFrame([(v,) for v in votes], "votes array<int>")).first()
+        cast, n = np.asarray(votes) != 0, len(votes)
+        first_good, first_bad = np.asarray([0.95 if v > 0 else 0.01 for v in names]), np.asarray([0.4 if v > 0 else 0.3 for v in names])
+        good, bad, p, weight = first_good, first_bad, 0.8, max(n / 1000, 1)
+
+        def posterior(p, good, bad, cast=cast):
+            odds = np.log(p / (1 - p)) + np.where(cast, np.log(good / bad), np.log((1 - good) / (1 - bad))).sum(axis=1)
+            return 1 / (1 + np.exp(-odds))
+
+        for _ in range(quality.ROUNDS):
+            w = posterior(p, good, bad)
+            on_good = (w @ cast + weight * first_good) / (w.sum() + weight)
+            on_bad = ((1 - w) @ cast + weight * first_bad) / (n - w.sum() + weight)
+            against = np.asarray(names) < 0
+            good, bad = np.where(against, np.minimum(on_good, on_bad), on_good), np.where(against, on_bad, np.minimum(on_bad, on_good))
+            p = (w.sum() + 0.8 * weight) / (n + weight)
+        assert fit["share"] == pytest.approx(p) and abs(p - share) < 0.08
+        assert [c["good"] for c in fit["chances"]] == pytest.approx(good.tolist()) and [c["bad"] for c in fit["chances"]] == pytest.approx(bad.tolist())
+        told = spark.createDataFrame([(k, v) for k, v in enumerate(votes)], "k int, votes array<int>").select("k", quality.quality(fit).alias("q")).orderBy("k").collect()
+        assert [x.q for x in told] == pytest.approx(posterior(p, good, bad).tolist())
+
+
 def test_fingerprints_against_sets(spark, prose):
     texts = [*prose[:12], None, "", "one\n\none\ntwo", prose[0], "x", "\n".join(map(str, range(300)))]
     data = [(10 * k, t, 1) for k, t in enumerate(texts)]
@@ -180,7 +211,7 @@ def test_flow_moves_the_fewest_bytes():
     r = random.Random(3)
     for _ in range(20):
         old = [r.randrange(100) for _ in range(5)]
-        new = sharding.capacities(sum(old), 5)
+        new = sharding.capacities(sum(old), [1] * 5)
         flow = sharding.min_cost_flow(old, new)
         assert sum(flow.values()) == sum(max(0, a - b) for a, b in zip(old, new))
         after = [old[i] + sum(v for (a, b), v in flow.items() if b == i) - sum(v for (a, b), v in flow.items() if a == i) for i in range(5)]
@@ -189,10 +220,70 @@ def test_flow_moves_the_fewest_bytes():
     assert sum(cheap.values()) == 10 and cheap == {(0, 1): 5, (0, 2): 5}
 
 
-def test_rewritten_files_hold_every_row(spark, prose, tmp_path):
-    docs = rows_of(spark, [*prose, *prose[:5]])
-    sharding.rewrite_shards(docs, str(tmp_path / "s"), 4, fresh=True)
-    assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "s")).collect()) == list(range(len(prose) + 5))
+def test_capacities_in_any_unit():
+    assert sharding.capacities(17, [1] * 5) == [3, 3, 4, 3, 4] and sum(sharding.capacities(1000, [5, 1, 0])) == 1000
+    assert sharding.capacities(600, [5, 1, 0]) == [500, 100, 0]
+
+
+def test_blocks_leave_shards_that_go():
+    r = random.Random(4)
+    blocks = [((k, 0), r.randrange(1, 50), r.randrange(6)) for k in range(300)]
+    total = sum(s for _, s, _ in blocks)
+    for new in (sharding.capacities(total, [1] * 4), sharding.capacities(total, [1] * 9), sharding.capacities(total, [3, 1, 1, 1, 1, 1])):
+        at = sharding.move_blocks(blocks, new)
+        full = [sum(s for key, s, _ in blocks if at[key] == k) for k in range(len(new))]
+        assert set(at) == {key for key, _, _ in blocks} and max(abs(a - b) for a, b in zip(full, new)) < 50
+        moved = sum(s for key, s, old in blocks if at[key] != old)
+        have = [sum(s for _, s, old in blocks if old == k) for k in range(max(6, len(new)))]
+        least = sum(max(0, h - n) for h, n in zip(have, [*new, *[0] * 9]))
+        assert abs(moved - least) <= 50 * len(have)  # the flow's bytes, but for less than a block each
+
+
+def test_resharding_files(spark, prose, tmp_path):
+    """Grow, take in new rows, shrink, run again: no row is lost or doubled, and shards that aren't concerned stay as they are."""
+    path = str(tmp_path / "s")
+    docs = rows_of(spark, [*prose, *prose[:5], None, ""]).withColumns({"shard": F.lit("own"), "__own_old": F.lit(7)})
+
+    def state():
+        rows = sharding.read_shards(spark, path, "of_shard").withColumn("file", F.input_file_name()).collect()
+        sizes = Counter()
+        for r in rows:
+            sizes[r.of_shard] += len((r.text or "").encode()) + 1
+        return sorted((r.doc_id, r.text, r.row, r.shard, r["__own_old"]) for r in rows), sizes, {r.of_shard: r.file for r in rows}, {r.doc_id: r.of_shard for r in rows}
+
+    want = sorted((r.doc_id, r.text, 5, "own", 7) for r in docs.collect())
+    with pytest.raises(ValueError):
+        sharding.read_shards(spark, path)
+    assert sharding.reshard(spark, path, 4, docs, blocks=64) == [0, 1, 2, 3]
+    rows, sizes, files, at = state()
+    assert rows == want and sharding.read_shards(spark, path, "of_shard").columns == [*docs.columns, "of_shard"]
+    assert sharding.reshard(spark, path, 4) == [] and state()[2] == files
+    grown = sharding.reshard(spark, path, 5)
+    rows, sizes, after, now = state()
+    assert rows == want and 4 in grown and len(sizes) == 5 and max(sizes.values()) < 1.5 * min(sizes.values())
+    assert all(after[k] == files[k] for k in range(4) if k not in grown)
+    assert all(at[i] == now[i] or now[i] == 4 or {at[i], now[i]} <= {*grown} for i in at)
+    one = spark.createDataFrame([(1000, "new", 5, "own", 7)], docs.schema)
+    took = sharding.reshard(spark, path, 5, one)
+    want = sorted([*want, (1000, "new", 5, "own", 7)], key=lambda r: r[0])
+    rows, _, last, now = state()
+    assert sorted(rows, key=lambda r: r[0]) == want and now[1000] in took and all(last[k] == after[k] for k in range(5) if k not in took)
+    sharding.reshard(spark, path, [2, 1, 1])
+    rows, sizes, _, _ = state()
+    assert sorted(rows, key=lambda r: r[0]) == want and set(sizes) == {0, 1, 2} and 0.4 < sizes[0] / sum(sizes.values()) < 0.6
+    empty = str(tmp_path / "e")
+    sharding.reshard(spark, empty, 3, docs.limit(0))
+    assert sharding.read_shards(spark, empty).count() == 0 and sharding.reshard(spark, empty, 2, docs) and sharding.read_shards(spark, empty).count() == docs.count()
+
+
+def test_realised_moves_of_rows(spark, prose):
+    docs = rows_of(spark, prose * 6)
+    old = F.when(F.col("doc_id") % 7 == 0, F.lit(0)).otherwise(F.pmod(F.xxhash64("text"), F.lit(3))).cast("int")
+    got = sharding.assign_shards(docs, [1, 1, 1, 1], old, blocks=512).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    assert len(got) == 6 * len(prose) and max(sizes.values()) < 1.2 * min(sizes.values())
 
 
 def test_near_copies(spark, prose):
