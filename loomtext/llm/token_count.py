@@ -15,18 +15,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomtext.llm.batches import in_parts
+from loomtext.llm.batches import give_back, in_parts
 from loomtext.llm.bpe import PairTable
 
 #: The mark that stands for a space in the pieces.
 MARK = "▁"
-#: Counts of merged pre-tokens that a worker remembers before it starts again.
-MEMO = 400_000
+#: Bytes of pre-tokens that a worker remembers the counts of before it starts again.
+MEMO_BYTES = 48_000_000
 _RUNS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -58,6 +59,7 @@ class PieceCounter:
         self._prove_cuts()
         self.whole = self._prove_whole()
         self.memo: dict[str, int] = {}
+        self.held = 0
 
     def _prove_cuts(self) -> None:
         """No piece holds a space mark after another character, none a line feed, and no character is missing as a symbol."""
@@ -96,8 +98,9 @@ class PieceCounter:
 
     def count_batch(self, texts: list[str | None]) -> list[int]:
         """Tokens of each text: known pre-tokens at once, the batch's unknown ones in one merge."""
-        if len(self.memo) > MEMO:
+        if self.held > MEMO_BYTES:
             self.memo.clear()
+            self.held = 0
         memo, whole = self.memo, self.whole
         cut, fresh = [], set()
         for text in texts:
@@ -108,6 +111,7 @@ class PieceCounter:
             cut.append(units)
             fresh.update(units)
         fresh = [u for u in fresh if u not in memo]
+        self.held += sum(map(getsizeof, fresh)) + 100 * len(fresh)  # with their places in the table
         slow = []
         for u in fresh:
             if u in whole:
@@ -157,6 +161,7 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFra
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([t > limit for t in tokens], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
+        give_back()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

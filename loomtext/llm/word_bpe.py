@@ -16,6 +16,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from sys import getsizeof as sizeof
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -23,11 +24,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from loomtext.llm.batches import in_parts
+from loomtext.llm.batches import give_back, in_parts
 from loomtext.llm.bpe import PairTable
 
-#: Chunks that a worker remembers before it starts again.
-MEMO = 400_000
+#: Bytes of chunks and their views that a worker remembers before it starts again.
+MEMO_BYTES = 48_000_000
 #: Python's split() takes these for white space, the vocabulary's pattern doesn't.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 _SPACES = regex.compile(r"\s+")
@@ -40,6 +41,9 @@ class Shown(NamedTuple):
     ids: str
     decoded: str
 
+    def __sizeof__(self) -> int:
+        return object.__sizeof__(self) + 24 + sizeof(self.ids) + sizeof(self.decoded)
+
 
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: printable Latin-1 for itself, the rest in order from U+0100."""
@@ -89,7 +93,7 @@ class WordCodec:
         self._forget()
 
     def _forget(self) -> None:
-        self.chunks, self.views = Numbers(), []
+        self.chunks, self.views, self.held = Numbers(), [], 0
 
     @staticmethod
     def normal(text: str) -> str:
@@ -140,7 +144,7 @@ class WordCodec:
 
     def encode_chunks(self, texts: list[str | None]) -> list[list[Any]]:
         """Views of each text's chunks; those not remembered are merged in one batch."""
-        if len(self.chunks) > MEMO:
+        if self.held > MEMO_BYTES:
             self._forget()
         number = self.chunks.__getitem__
         rows: list[list[int]] = []
@@ -156,7 +160,9 @@ class WordCodec:
             else:
                 rows.append(list(map(number, self.cut(text))))
         if self.chunks.fresh:
-            self.views += self.view(self, *self._encoded(self.chunks.fresh))
+            made = self.view(self, *self._encoded(self.chunks.fresh))
+            self.views += made
+            self.held += sum(map(sizeof, self.chunks.fresh)) + sum(map(sizeof, made)) + 120 * len(made)  # with places in list and table
             self.chunks.fresh = []
         get = self.views.__getitem__
         return [list(map(get, row)) for row in rows]
@@ -208,6 +214,7 @@ def encode_decode(docs: DataFrame, file: str, keep_ids: bool = False) -> DataFra
                 columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        give_back()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(run, schema)
