@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomtext.functions import tables as T, text as X
 from loomtext.functions.morphology import stems
+from loomtext.functions.script import to_latin
+from loomtext.scratch import materialise
 
 PREFIX_LENGTH, PREFIX_HITS, SEARCH_LIMIT = 4, 5, 50
 
@@ -53,18 +55,85 @@ def lookup_gloss(words: DataFrame, lexicon: DataFrame, hits: int = PREFIX_HITS)
     return met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hits).select("word", "place", "latin", "rank")
 
 
+def _heads(lexicon: DataFrame) -> DataFrame:
+    """(key, head): the entry of each lower-case headword, the most frequent one where it has several."""
+    entry = F.struct("frequency", F.col("latin").alias("latin"), (F.col("english") if "english" in lexicon.columns else F.lit(None).cast("array<string>")).alias("english"))
+    return lexicon.groupBy(F.lower(F.btrim("latin")).alias("key")).agg(F.max_by(entry, F.struct("frequency", F.col("latin"))).alias("head"))
+
+
+def gloss_of(english: Column, latin: Column, word: Column) -> Column:
+    """The first gloss; the headword, else the word itself, where there is none or only a placeholder."""
+    first = F.get(english, F.lit(0))
+    return F.when((first != "") & ~F.startswith(first, F.lit("[unknown:")), first).otherwise(F.coalesce(F.nullif(latin, F.lit("")), word))
+
+
+def latin_value(stem: Column, transliteration: Column, latin: Column, word: Column) -> Column:
+    """A word in Latin letters: its stem, else its transliteration, else the first headword found, else itself."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in (stem, transliteration, latin)], word)
+
+
+def _closed(words: DataFrame, table: dict[str, str]) -> DataFrame:
+    return F.broadcast(words.sparkSession.createDataFrame(sorted(table.items()), "key string, closed string"))  # a fixed table
+
+
 def translate_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(word, found, latin, confidence): the first of exact hit, closed class, stem and prefix; else unknown."""
-    each = words.select(F.lower(F.btrim("word")).alias("word")).distinct()
-    exact = lookup_exact(each, lexicon).groupBy("word").agg(F.max_by("latin", "frequency").alias("exact"))
-    stem = stems(each, lexicon).where(F.size("suffixes") > 0).select("word", F.col("root").alias("stem"))
-    prefix = lookup_prefix(each, lexicon).where("place = 1").select("word", F.col("latin").alias("prefix"))
-    closed = words.sparkSession.createDataFrame(list(T.CLOSED_LATIN.items()), "word string, closed string")
-    met = each.join(exact, "word", "left").join(F.broadcast(closed), "word", "left").join(stem, "word", "left").join(prefix, "word", "left")
-    kinds = [("exact", "high"), ("closed", "high"), ("stem", "high"), ("prefix", "low")]
-    found = F.coalesce(*[F.when(F.col(k).isNotNull(), k) for k, _ in kinds], F.lit("unknown"))
-    confidence = F.coalesce(*[F.when(F.col(k).isNotNull(), c) for k, c in kinds], F.lit("low"))
-    return met.select("word", found.alias("found"), F.coalesce(*[F.col(k) for k, _ in kinds], F.concat(F.lit("[unknown:"), "word", F.lit("]"))).alias("latin"), confidence.alias("confidence"))
+    """(word, found, latin, gloss, confidence, fallback, transliteration, stem, suffixes, case_gloss) for each distinct word.
+
+    Words in ASCII: the first of an exact hit, the closed class, a stem that is a headword, a headword that the word begins;
+    the last one is a guess of low confidence. Words in Thaana are read out first and have only exact and begun headwords,
+    one level of confidence lower. What isn't found is named unknown, not guessed.
+    """
+    each = words.select("word").distinct().withColumn("ascii", ~F.rlike("word", F.lit("[^\\x00-\\x7f]")))
+    read = F.when(F.col("ascii"), F.col("word")).otherwise(to_latin(F.col("word")))
+    each = each.withColumn("transliteration", read).withColumn("key", F.lower(F.btrim("transliteration")))
+    heads = _heads(lexicon)
+    plain = each.where("ascii").select(F.col("key").alias("word")).distinct()
+    stem = stems(plain, lexicon).where(F.col("root") != F.col("word")).select(F.col("word").alias("key"), "root", "suffixes", F.array_join("hints", " ").alias("case_gloss"))
+    stem = stem.join(heads.select(F.col("key").alias("root"), F.col("head").alias("stem_head")), "root")
+    begun = lookup_prefix(each.select(F.col("key").alias("word")), lexicon).where("place = 1").select(F.col("word").alias("key"), F.lower(F.btrim("latin")).alias("longer"))
+    begun = begun.join(heads.select(F.col("key").alias("longer"), F.col("head").alias("begun_head")), "longer").drop("longer")
+    met = each.join(heads, "key", "left").join(_closed(words, T.CLOSED_LATIN), "key", "left").join(stem, "key", "left").join(begun, "key", "left")
+    curated, own = F.col("ascii") & F.col("closed").isNotNull(), F.col("ascii")
+    found = (
+        F.when(F.col("head").isNotNull(), "exact").when(curated, "closed_class").when(own & F.col("stem_head").isNotNull(), "stem")
+        .when(F.col("begun_head").isNotNull(), "prefix").otherwise("unknown")
+    )
+    met = met.withColumn("found", found)
+    kind = F.col("found")
+    entry = F.when(kind == "exact", F.col("head")).when(kind == "stem", F.col("stem_head")).when(kind == "prefix", F.col("begun_head"))
+    latin = F.when(kind == "closed_class", F.col("word")).when(kind == "unknown", F.col("transliteration")).otherwise(entry["latin"])
+    unknown = F.array(F.concat(F.lit("[unknown: "), "transliteration", F.lit("]")))
+    english = F.when(kind == "closed_class", F.array("closed")).when(kind == "unknown", unknown).otherwise(entry["english"])
+    sure = F.when(own, "high").otherwise("medium")
+    fallback = F.when(kind == "unknown", "transliteration_only").when(~own, "transliteration_lookup").when(kind.isin("closed_class", "prefix"), kind)
+    by_stem = kind == "stem"
+    root = F.when(by_stem, F.col("root"))
+    told = {
+        "found": kind, "latin": latin, "gloss": gloss_of(english, latin, F.col("word")), "confidence": F.when(kind.isin("prefix", "unknown"), "low").otherwise(sure), "fallback": fallback,
+        "transliteration": latin_value(root, F.col("transliteration"), latin, F.col("word")), "stem": root, "suffixes": F.when(by_stem, F.col("suffixes")), "case_gloss": F.when(by_stem, F.col("case_gloss")),
+    }
+    return met.select("word", *[c.alias(k) for k, c in told.items()])
+
+
+def translate_english(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """As translate_words(), from English: the closed class, which only an exact headword may replace, then the glosses."""
+    each = words.select("word").distinct().withColumn("key", F.lower(F.btrim("word")))
+    heads = _heads(lexicon).select(F.col("key").alias("closed"), "head")
+    glossed = lookup_gloss(each.select(F.col("key").alias("word")), lexicon, 1).select(F.col("word").alias("key"), F.lower(F.btrim("latin")).alias("by_gloss"))
+    glossed = glossed.join(_heads(lexicon).select(F.col("key").alias("by_gloss"), F.col("head").alias("gloss_head")), "by_gloss")
+    met = each.join(_closed(words, T.CLOSED_ENGLISH), "key", "left").join(heads, "closed", "left").join(glossed, "key", "left")
+    curated = F.col("closed").isNotNull()
+    met = met.withColumn("found", F.when(curated & F.col("head").isNotNull(), "exact").when(curated, "closed_class").when(F.col("gloss_head").isNotNull(), "gloss").otherwise("unknown"))
+    kind = F.col("found")
+    entry = F.when(kind == "exact", F.col("head")).when(kind == "gloss", F.col("gloss_head"))
+    latin = F.when(kind == "closed_class", F.col("closed")).when(kind == "unknown", F.concat(F.lit("[unknown: "), "word", F.lit("]"))).otherwise(entry["latin"])
+    none = F.lit(None).cast("string")
+    told = {
+        "found": kind, "latin": latin, "gloss": gloss_of(F.when(entry.isNotNull(), entry["english"]).otherwise(F.array("word")), latin, F.col("word")),
+        "confidence": F.when(kind == "unknown", "low").otherwise("high"), "fallback": F.when(kind == "unknown", "unknown_english").when(kind == "closed_class", kind),
+        "transliteration": F.when(curated, F.col("closed")).otherwise(entry["latin"]), "stem": none, "suffixes": F.lit(None).cast("array<string>"), "case_gloss": none,
+    }
+    return met.select("word", *[c.alias(k) for k, c in told.items()])
 
 
 def search(lexicon: DataFrame, needle: str, limit: int = SEARCH_LIMIT) -> DataFrame:
@@ -89,14 +158,73 @@ def search(lexicon: DataFrame, needle: str, limit: int = SEARCH_LIMIT) -> DataFr
 def merge_sources(rows: DataFrame) -> DataFrame:
     """(latin, english, pos, frequency) from (latin, english, pos, frequency, source): the base source's part of speech unless weak.
 
-    Glosses of all sources in the order of source and position, the first spelling of each; placeholders are left out.
+    Glosses of all sources in the order of source and position, the first spelling of each; placeholders are left out. If
+    `rows` has dhivehi and verified (of its spelling), a verified spelling goes before others, then the first source's.
     """
     gloss = rows.select("latin", "source", F.posexplode("english").alias("at", "gloss")).where(~F.startswith("gloss", F.lit("[unknown:")))
     first = gloss.groupBy("latin", F.lower("gloss").alias("folded")).agg(F.min(F.struct("source", "at", "gloss")).alias("g"))
     listed = first.groupBy("latin").agg(F.transform(F.array_sort(F.collect_list("g")), lambda g: g["gloss"]).alias("english"))
     strong = F.when(~X.canonical_pos(F.col("pos")).isin(*T.WEAK_POS), F.struct("source", X.canonical_pos(F.col("pos")).alias("pos")))
-    heads = rows.groupBy("latin").agg(F.max("frequency").alias("frequency"), F.min(strong).alias("p"))
-    return heads.join(listed, "latin", "left").select("latin", F.coalesce("english", F.array().cast("array<string>")).alias("english"), F.coalesce("p.pos", F.lit("unknown")).alias("pos"), "frequency")
+    aggs = [F.max("frequency").alias("frequency"), F.min(strong).alias("p")]
+    spelled = "dhivehi" in rows.columns
+    if spelled:
+        aggs.append(F.min(F.when(F.col("dhivehi") != "", F.struct(~F.coalesce("verified", F.lit(False)), "source", F.col("dhivehi").alias("dhivehi")))).alias("d"))
+    pos = F.coalesce(F.col("p.pos"), F.lit("unknown"))
+    met = rows.groupBy("latin").agg(*aggs).join(listed, "latin", "left")
+    more = [F.col("d.dhivehi").alias("dhivehi")] if spelled else []
+    return met.select("latin", F.coalesce("english", F.array().cast("array<string>")).alias("english"), pos.alias("pos"), "frequency", *more)
+
+
+def export_order(lexicon: DataFrame, by: str = "frequency") -> DataFrame:
+    """The lexicon as it is exported: the most frequent first, then by lower-case headword; or by headword alone."""
+    key = [F.lower("latin"), F.col("latin")]
+    return lexicon.orderBy(F.desc(F.coalesce("frequency", F.lit(0))), *key) if by == "frequency" else lexicon.orderBy(*key)
+
+
+def rewrite_expanded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Repaired entries (latin, english, pos, frequency) and rewrites (old, new) of rows (place, latin, english, pos, frequency).
+
+    Inverted rows change sides, with each of their glosses' keys as an entry; malformed headwords stand under each key
+    they hold; corrupt ones are quarantined: rewritten to nothing (new is empty). Rows that end under one key merge: glosses
+    in the order of `place`, the first part of speech, the largest frequency. That of closed-class words is fixed.
+    """
+    kind, own = X.headword_class(F.col("latin"), F.col("english")), X.normal_key(F.col("latin"))
+    shown = F.filter("english", lambda g: F.btrim(g) != "")
+
+    def keys_of(gloss: Column) -> Column:
+        return X.let(X.split_keys(gloss), lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(X.normal_key(gloss))))
+
+    told = rows.select("place", own.alias("old"), kind.alias("kind"), "pos", "frequency", F.btrim("latin").alias("gloss"), shown.alias("shown"))
+    keys = F.when(F.col("kind") == "inverted", F.flatten(F.transform("shown", keys_of))).when(F.col("kind") == "malformed", X.split_keys(F.col("gloss")))
+    keys = keys.when(F.col("kind") == "corrupt", F.array().cast("array<string>")).otherwise(F.array("old"))
+    told = told.withColumns({"keys": keys, "english": F.when(F.col("kind") == "inverted", F.array("gloss")).otherwise(F.col("shown"))})
+    changed = told.where("kind <> 'clean'").select("old", F.explode(F.when(F.size("keys") > 0, F.col("keys")).otherwise(F.array(F.lit("")))).alias("new")).distinct()
+    each = told.select("place", F.posexplode("keys").alias("nth", "latin"), "english", "pos", "frequency")
+    gloss = each.select("latin", "place", "nth", F.posexplode("english").alias("at", "gloss")).groupBy("latin", F.lower("gloss").alias("folded")).agg(F.min(F.struct("place", "nth", "at", "gloss")).alias("g"))
+    listed = gloss.groupBy("latin").agg(F.transform(F.array_sort(F.collect_list("g")), lambda g: g["gloss"]).alias("english"))
+    heads = each.groupBy("latin").agg(F.min_by(F.coalesce("pos", F.lit("unknown")), F.struct("place", "nth")).alias("pos"), F.max(F.coalesce("frequency", F.lit(0))).alias("frequency"))
+    fixed = F.create_map(*[F.lit(x) for kv in T.POS_OVERRIDES.items() for x in kv])
+    pos = F.coalesce(F.try_element_at(fixed, F.col("latin")), F.col("pos")).alias("pos")
+    entries = heads.join(listed, "latin", "left").select("latin", F.coalesce("english", F.array().cast("array<string>")).alias("english"), pos, "frequency")
+    return entries, changed
+
+
+def resolved(keys: DataFrame, rewrites: DataFrame, entries: DataFrame) -> DataFrame:
+    """(latin, resolves) of each of `keys` (latin): an entry has it, or one of its rewrites (old, new: many for one) leads there.
+
+    A key rewritten to nothing is quarantined on purpose and resolves. All keys that resolve are found from the ends
+    backwards, a step of all chains in each round, until a round adds none; circles so never resolve.
+    """
+    there = materialise(entries.select("latin").unionAll(rewrites.where("new = ''").select(F.col("old").alias("latin"))).distinct(), "resolved")
+    steps = rewrites.where("new <> ''").select("old", "new").distinct()
+    fresh = there
+    while True:
+        more = steps.join(fresh, steps["new"] == fresh["latin"]).select(F.col("old").alias("latin")).distinct()
+        fresh = materialise(more.join(there, "latin", "left_anti"), "resolved")
+        if fresh.isEmpty():
+            break
+        there = there.unionAll(fresh)
+    return keys.select("latin").distinct().join(there.withColumn("there", F.lit(True)), "latin", "left").select("latin", F.coalesce("there", F.lit(False)).alias("resolves"))
 
 
 def raise_frequency(lexicon: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -122,18 +250,22 @@ def mirror_pairs(glosses: DataFrame) -> DataFrame:
     return met.select(loser.alias("loser"), winner.alias("winner"), F.when(tie, "tie").when(alone, "fixed").otherwise("review").alias("verdict")).distinct()
 
 
-def closure(rewrites: DataFrame, most: int = 20) -> DataFrame:
-    """(old, final, steps) from rewrites (old, new): where each key ends; null if it is quarantined or runs in a circle.
+def closure(rewrites: DataFrame) -> DataFrame:
+    """(old, final, steps) from rewrites (old, new), one for a key: where each key ends; null if it is quarantined or runs in a circle.
 
-    Chains double in length each round: what a key leads to is looked up in what that leads to.
+    Chains double in length each round: what a key leads to is looked up in what that leads to, until no key moves or all
+    that still move have gone further than there are keys, which only circles do.
     """
-    hops = rewrites.select("old", F.col("new").alias("final"), F.lit(1).alias("steps"))
-    for _ in range(most.bit_length()):
+    hops = materialise(rewrites.select("old", F.col("new").alias("final"), F.lit(1).cast("long").alias("steps")), "hops")
+    n = hops.count()
+    while True:
         nxt = hops.select(F.col("old").alias("via"), F.col("final").alias("onward"), F.col("steps").alias("more"))
-        hops = hops.join(nxt, hops["final"] == nxt["via"], "left").select(
-            "old", F.when(F.col("via").isNull(), F.col("final")).otherwise(F.col("onward")).alias("final"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")
-        )
-    circle = F.col("steps") > most
+        met = hops.join(nxt, hops["final"] == nxt["via"], "left")
+        hops = materialise(met.select("old", F.when(F.col("via").isNull(), F.col("final")).otherwise(F.col("onward")).alias("final"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("via").isNotNull().alias("moved")), "hops")
+        if hops.where((F.col("moved")) & (F.col("steps") <= n)).isEmpty():
+            break
+        hops = hops.drop("moved")
+    circle = F.col("steps") > n
     return hops.select("old", F.when(~circle & (F.col("final") != ""), F.col("final")).alias("final"), F.when(~circle, F.col("steps")).alias("steps"))
 
 

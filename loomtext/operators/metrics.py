@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable, Sequence
+from string import punctuation
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from loomtext.functions import script as S
 from loomtext.functions.text import let
@@ -35,74 +42,104 @@ def round_trip_summary(trips: DataFrame) -> DataFrame:
     return trips.agg(n.alias("n"), percent(exact).alias("exact"), percent(folded).alias("exact_folded"), percent(F.col("stable")).alias("latin_stable"), F.sum("edits").alias("edits"), F.round(F.sum("edits") / F.sum(F.length("thaana")), 5).alias("edits_per_char"))
 
 
-def score_tokens(text: Column) -> Column:
-    """Tokens for n-gram scores: marks apart from words, except between digits; case stays."""
-    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), "([{-~\\[-` -&(-+:-@/])", " $1 ")
-    spaced = F.regexp_replace(F.regexp_replace(spaced, "([^0-9])([.,])", "$1 $2 "), "([.,])([^0-9])", " $1 $2")
-    return F.filter(F.split(F.regexp_replace(spaced, "([0-9])(-)", "$1 $2 "), "[ \\t-\\r]+"), lambda t: t != "")
+_MARKS = re.compile(r"([{-~\[-` -&(-+:-@/])")
+_STOPS = ((re.compile(r"([^0-9])([.,])"), r"\1 \2 "), (re.compile(r"([.,])([^0-9])"), r" \1 \2"), (re.compile(r"([0-9])(-)"), r"\1 \2 "))
+#: What marks a text's entities stand for, in the order they are restored.
+_ENTITIES = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+
+
+def score_tokens(text: str | None) -> list[str]:
+    """Tokens for BLEU, as mteval-v13a cuts them: entities restored, marks apart from words but between digits; case stays."""
+    line = (text or "").rstrip().replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
+    for entity, mark in _ENTITIES:
+        line = line.replace(entity, mark)
+    line = _MARKS.sub(r" \1 ", f" {line} ")
+    for pattern, spaced in _STOPS:
+        line = pattern.sub(spaced, line)
+    return line.split()
+
 
+def split_words(text: str | None) -> list[str]:
+    """Words for chrF++: cut at white space, one ASCII mark apart at a word's end, else at its start."""
+    out = []
+    for word in (text or "").split():
+        if len(word) > 1 and word[-1] in punctuation:
+            out += [word[:-1], word[-1]]
+        elif len(word) > 1 and word[0] in punctuation:
+            out += [word[0], word[1:]]
+        else:
+            out.append(word)
+    return out
 
-def _grams(items: Column, kind: str, orders: list[int]) -> Column:
-    """array<struct<kind, order, g>>: the n-grams of each order."""
 
-    def of_order(w: Column, n: int) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), "\x01"))
-        return F.struct(F.lit(kind).alias("__kind"), F.lit(n).alias("__order"), F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>")).alias("__grams"))
+def _clipped(guess: Sequence, given: Sequence, order: int) -> tuple[int, int, int]:
+    """n-grams that both have, of the guess, of what is given."""
+    a, b = (Counter(tuple(x[k : k + order]) for k in range(len(x) - order + 1)) for x in (guess, given))
+    return sum((a & b).values()), a.total(), b.total()
 
-    return let(items, lambda w: F.array(*[of_order(w, n) for n in orders]))
 
+def _word_counts(prediction: str | None, reference: str | None) -> list[int]:
+    a, b = score_tokens(prediction), score_tokens(reference)
+    return [n for order in range(1, MAX_ORDER + 1) for n in _clipped(a, b, order)]
 
-def _matches(pairs: DataFrame, keys: list[str], items: dict[str, Column], orders: list[tuple[str, int]]) -> DataFrame:
-    """(*keys, __kind, __order, hits, guessed, given): clipped n-gram counts of each pair (prediction, reference), summed by keys."""
-    each = pairs.withColumn("__pair", F.monotonically_increasing_id())
-    sides = []
-    for side in ("prediction", "reference"):
-        kinds = dict.fromkeys(kind for kind, _ in orders)
-        grams = F.concat(*[_grams(items[f"{side}_{kind}"], kind, [n for k, n in orders if k == kind]) for kind in kinds])
-        sides.append(each.select("__pair", *keys, F.inline(grams)).select("__pair", *keys, "__kind", "__order", F.explode("__grams").alias("__gram"), *[F.lit(int(s == side)).alias(s) for s in ("prediction", "reference")]))
-    counted = sides[0].unionAll(sides[1]).groupBy("__pair", *keys, "__kind", "__order", "__gram").agg(F.sum("prediction").alias("p"), F.sum("reference").alias("r"))
-    return counted.groupBy(*keys, "__kind", "__order").agg(F.sum(F.least("p", "r")).alias("hits"), F.sum("p").alias("guessed"), F.sum("r").alias("given"))
+
+def _char_counts(prediction: str | None, reference: str | None) -> list[int]:
+    """A side's n-grams count for nothing where the reference is too short to have any of that order."""
+    bare = ["".join((x or "").split()) for x in (prediction, reference)]
+    words = [split_words(x) for x in (prediction, reference)]
+    counts = [_clipped(*bare, order) for order in range(1, CHAR_ORDER + 1)] + [_clipped(*words, order) for order in range(1, WORD_ORDER + 1)]
+    return [n for hits, guessed, given in counts for n in (hits, guessed if given else 0, given)]
+
+
+def _counted(pairs: DataFrame, group: str, count: Callable[[str | None, str | None], list[int]], orders: int) -> DataFrame:
+    """(group, n, hits1, guessed1, given1, ...): clipped n-gram counts within each pair, summed over the group.
+
+    Counts leave a pair's row as 3 numbers an order, so that only sums are shuffled.
+    """
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def of_pair(prediction: pd.Series, reference: pd.Series) -> pd.Series:
+        return pd.Series([count(a, b) for a, b in zip(prediction, reference)])
+
+    names = [f"{name}{order}" for order in range(1, orders + 1) for name in ("hits", "guessed", "given")]
+    each = pairs.select(group, of_pair(F.col("prediction").cast("string"), F.col("reference").cast("string")).alias("counts"))
+    return each.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.get("counts", F.lit(k))).alias(name) for k, name in enumerate(names)])
 
 
 def bleu(pairs: DataFrame, group: str) -> DataFrame:
     """(group, n, bleu): corpus BLEU-4 of (group, prediction, reference), never pooled over groups.
 
-    Clipped counts are summed over the group, orders without a hit are smoothed by halving (1/2, 1/4, ... of a hit), and
-    shorter predictions pay the brevity penalty.
+    Counts are summed over the group; orders without a hit count as 1/2, 1/4, ... of a hit, one after another; shorter
+    predictions pay the brevity penalty. 0 without any hit, or where no prediction has an n-gram of some order.
     """
-    items = {f"{s}_word": score_tokens(F.col(s)) for s in ("prediction", "reference")}
-    by_order = _matches(pairs, [group], items, [("word", n) for n in range(1, MAX_ORDER + 1)])
-    wide = by_order.groupBy(group).agg(*[F.max(F.when(F.col("__order") == n, F.col(c))).alias(f"{c}{n}") for n in range(1, MAX_ORDER + 1) for c in ("hits", "guessed", "given")])
-    halvings, logs = F.lit(0), F.lit(0.0)
+    wide = _counted(pairs, group, _word_counts, MAX_ORDER)
+    halvings, logs, any_hit, all_orders = F.lit(0), F.lit(0.0), F.lit(False), F.lit(True)
     for n in range(1, MAX_ORDER + 1):
-        hits, guessed = F.coalesce(F.col(f"hits{n}"), F.lit(0)), F.coalesce(F.col(f"guessed{n}"), F.lit(0))
-        halvings = halvings + F.when((hits == 0) & (guessed > 0), 1).otherwise(0)
-        share = F.when(guessed == 0, None).when(hits == 0, 1 / (F.pow(F.lit(2.0), halvings) * guessed)).otherwise(hits / guessed)
-        logs = logs + F.coalesce(F.log(share), F.lit(0.0))
-    orders = sum((F.coalesce(F.col(f"guessed{n}"), F.lit(0)) > 0).cast("int") for n in range(1, MAX_ORDER + 1))
-    guessed, given = F.coalesce("guessed1", F.lit(0)), F.coalesce("given1", F.lit(0))
-    brevity = F.when(guessed == 0, 0.0).when(guessed < given, F.exp(1 - given / guessed)).otherwise(1.0)
-    score = F.when(F.coalesce(F.col("hits1"), F.lit(0)) == 0, 0.0).otherwise(100 * brevity * F.exp(logs / orders))
-    sizes = pairs.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.join(wide, group, "left").select(group, "n", F.round(F.coalesce(score, F.lit(0.0)), 4).alias("bleu"))
+        hits, guessed = F.col(f"hits{n}"), F.col(f"guessed{n}")
+        halvings = halvings + (hits == 0).cast("int")
+        logs = logs + F.log(F.when(hits == 0, 1 / F.pow(F.lit(2.0), halvings)).otherwise(hits) / F.nullif(guessed, F.lit(0)))
+        any_hit, all_orders = any_hit | (hits > 0), all_orders & (guessed > 0)
+    brevity = F.when(F.col("guessed1") < F.col("given1"), F.exp(1 - F.col("given1") / F.col("guessed1"))).otherwise(1.0)
+    score = F.when(any_hit & all_orders, 100 * brevity * F.exp(logs / MAX_ORDER)).otherwise(0.0)
+    return wide.select(group, "n", F.round(score, 4).alias("bleu"))
 
 
 def chrf(pairs: DataFrame, group: str) -> DataFrame:
     """(group, n, chrf): chrF++ of (group, prediction, reference): character orders 1-6 without white space, words 1-2, beta 2.
 
-    The mean over orders that both sides have of the F-score on counts summed over the group.
+    The F-score of precision and recall, each averaged over the orders that both sides have, from counts summed over the group.
     """
-    items = {}
-    for s in ("prediction", "reference"):
-        bare = F.regexp_replace(F.coalesce(s, F.lit("")), "[ \\t-\\r]+", "")
-        items[f"{s}_char"] = F.filter(F.split(bare, ""), lambda c: c != "")
-        items[f"{s}_word"] = score_tokens(F.col(s))
-    by_order = _matches(pairs, [group], items, [("char", n) for n in range(1, CHAR_ORDER + 1)] + [("word", n) for n in range(1, WORD_ORDER + 1)])
-    p, r = F.col("hits") / F.col("guessed"), F.col("hits") / F.col("given")
-    f = F.when((F.col("guessed") == 0) | (F.col("given") == 0), None).when(F.col("hits") == 0, 0.0).otherwise((1 + BETA**2) * p * r / (BETA**2 * p + r))
-    scored = by_order.withColumn("f", f).groupBy(group).agg(F.avg("f").alias("f"))
-    sizes = pairs.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.join(scored, group, "left").select(group, "n", F.round(100 * F.coalesce("f", F.lit(0.0)), 4).alias("chrf"))
+    orders = CHAR_ORDER + WORD_ORDER
+    wide = _counted(pairs, group, _char_counts, orders)
+    precision, recall, both = F.lit(0.0), F.lit(0.0), F.lit(0)
+    for k in range(1, orders + 1):
+        there = (F.col(f"guessed{k}") > 0) & (F.col(f"given{k}") > 0)
+        precision = precision + F.when(there, F.col(f"hits{k}") / F.col(f"guessed{k}")).otherwise(0.0)
+        recall = recall + F.when(there, F.col(f"hits{k}") / F.col(f"given{k}")).otherwise(0.0)
+        both = both + there.cast("int")
+    # sums over `both` orders, averaged: the number of orders leaves the quotient of the score once
+    score = (1 + BETA**2) * precision * recall / (BETA**2 * precision + recall) / both
+    return wide.select(group, "n", F.round(100 * F.when((both > 0) & (precision + recall > 0), score).otherwise(0.0), 4).alias("chrf"))
 
 
 def histogram(rows: DataFrame, value: str, low: int, high: int) -> DataFrame:
@@ -125,11 +162,23 @@ def unpivot(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return rows.unpivot(keys, [F.col(v).cast("double").alias(v) for v in values], "metric", "value").where("value is not null")
 
 
-def most_precise(rows: DataFrame, fingerprint: list[str], cell: str, precision: str) -> DataFrame:
-    """One row for each fingerprint, the most precise, with all cells it was seen in."""
+def most_precise(rows: DataFrame, fingerprint: list[str], cell: str, precision: str, most: int = 1000) -> DataFrame:
+    """One row for each fingerprint, the most precise, with the cells it was seen in, sorted, and `n_cells`, their number.
+
+    A fingerprint seen in more than `most` cells lists none of them (null): cells_of() has them all, as rows.
+    """
     whole = F.struct(precision, *[c for c in rows.columns if c != precision])
-    best = rows.groupBy(*fingerprint).agg(F.max(whole).alias("b"), F.array_join(F.sort_array(F.collect_set(F.col(cell).cast("string"))), ",").alias("cells"))
-    return best.select("b.*", "cells")
+    best = rows.groupBy(*fingerprint).agg(F.max(whole).alias("b"))
+    cells = cells_of(rows, fingerprint, cell)
+    sizes = cells.groupBy(*fingerprint).agg(F.count(F.lit(1)).alias("n_cells"))
+    few = cells.join(sizes.where(F.col("n_cells") <= most).drop("n_cells"), fingerprint)
+    listed = few.groupBy(*fingerprint).agg(F.array_join(F.sort_array(F.collect_list("cell")), ",").alias("cells"))
+    return best.join(sizes, fingerprint).join(listed, fingerprint, "left").select("b.*", "cells", "n_cells")
+
+
+def cells_of(rows: DataFrame, fingerprint: list[str], cell: str) -> DataFrame:
+    """(*fingerprint, cell): each cell of a fingerprint once."""
+    return rows.select(*fingerprint, F.col(cell).cast("string").alias("cell")).distinct()
 
 
 def joined_or_fail(wanted: DataFrame, found: DataFrame, key: str) -> DataFrame:

@@ -33,8 +33,10 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select((F.col("conv_id") % 4).cast("string").alias("group"), F.col("english").alias("prediction"), F.col("latin").alias("reference"))
 
 
-_GRAMS = """t as (select conv_id % 4 as g, conv_id, turn, x.s as s, x.t as t from (select conv_id, turn, unnest([struct_pack(s := 'p', t := english), struct_pack(s := 'r', t := latin)]) as x from p)),
-  k as (select g, conv_id, turn, s, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '([{-~\\[-` -&(-+:-@/])', ' \\1 ', 'g'), '([^0-9])([.,])', '\\1 \\2 ', 'g'), '([.,])([^0-9])', ' \\1 \\2', 'g'), '([0-9])(-)', '\\1 \\2 ', 'g'), '[ \\t-\\r]+'), lambda x: x <> '') as w from t),
+_BARE = "replace(replace(replace(rtrim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+_PLAIN = f"replace(replace(replace(replace({_BARE}, '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')"
+_GRAMS = f"""t as (select conv_id % 4 as g, conv_id, turn, x.s as s, coalesce(x.t, '') as t from (select conv_id, turn, unnest([struct_pack(s := 'p', t := english), struct_pack(s := 'r', t := latin)]) as x from p)),
+  k as (select g, conv_id, turn, s, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(' ' || {_PLAIN} || ' ', '([{{-~\\[-` -&(-+:-@/])', ' \\1 ', 'g'), '([^0-9])([.,])', '\\1 \\2 ', 'g'), '([.,])([^0-9])', ' \\1 \\2', 'g'), '([0-9])(-)', '\\1 \\2 ', 'g'), '[ \\t-\\r]+'), lambda x: x <> '') as w from t),
   e as (select g, conv_id, turn, s, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], chr(1)))) as gram from k, range(1, 5) r(n)),
   c as (select g, conv_id, turn, n, gram, count_if(s = 'p') as p, count_if(s = 'r') as r from e group by all),
   m as (select g, n, sum(least(p, r)) as hits, sum(p) as guessed, sum(r) as given from c group by all)"""
@@ -42,19 +44,26 @@ _PAIR_SQL = "select q.conv_id, q.turn, q.text as latin, a.text as english from c
 
 
 @query(f"""with p as ({_PAIR_SQL}), {_GRAMS}, z as (select *, sum(case when hits = 0 then 1 else 0 end) over (partition by g order by n) as halvings from m),
-  s as (select g, exp(avg(ln(case when hits = 0 then 1 / (pow(2, halvings) * guessed) else hits / guessed end))) as geo, max(case when n = 1 then guessed end) as pl, max(case when n = 1 then given end) as rl, max(case when n = 1 then hits end) as h1 from z group by g)
-  select g::varchar as "group", (select count(*) from p where conv_id % 4 = g) as n, round(case when h1 = 0 then 0 else 100 * geo * case when pl < rl then exp(1 - rl / pl) else 1 end end, 4)::double as bleu from s""")
+  s as (select g, count_if(guessed > 0) as orders, sum(hits) as hit, exp(avg(ln(case when hits = 0 then 1 / pow(2, halvings) else hits end / nullif(guessed, 0)))) as geo, max(case when n = 1 then guessed end) as pl, max(case when n = 1 then given end) as rl from z group by g)
+  select g::varchar as "group", (select count(*) from p where conv_id % 4 = g) as n, round(case when hit = 0 or orders < 4 then 0 else 100 * geo * case when pl < rl then exp(1 - rl / pl) else 1 end end, 4)::double as bleu from s""")
 def bleu_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus BLEU of answers against questions."""
     return N.bleu(_answers(spark, sf_dir), "group")
 
 
+_MARK = "[!-/:-@\\[-`{-~]"
+
+
 @query(f"""with p as ({_PAIR_SQL}), {_GRAMS}, h as (select g, conv_id, turn, s, list_filter(string_split(regexp_replace(t, '[ \\t-\\r]+', '', 'g'), ''), lambda x: x <> '') as w from t),
-  e2 as (select g, conv_id, turn, s, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], chr(1)))) as gram from h, range(1, 7) r(n)),
+  v as (select g, conv_id, turn, s, flatten(list_transform(list_filter(regexp_split_to_array(t, '[ \\t-\\r]+'), lambda x: x <> ''), lambda x: case when length(x) > 1 and regexp_matches(x, '{_MARK}$') then [x[:-2], x[-1]]
+    when length(x) > 1 and regexp_matches(x, '^{_MARK}') then [x[1], x[2:]] else [x] end)) as w from t),
+  e2 as (select g, conv_id, turn, s, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], chr(1)))) as gram from h, range(1, 7) r(n)
+    union all select g, conv_id, turn, s, n + 10, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], chr(1)))) from v, range(1, 3) r(n)),
   c2 as (select g, conv_id, turn, n, gram, count_if(s = 'p') as p, count_if(s = 'r') as r from e2 group by all),
-  a as (select g, n, hits, guessed, given from m where n <= 2 union all select g, n + 10, sum(least(p, r)), sum(p), sum(r) from c2 group by all),
-  f as (select g, case when guessed = 0 or given = 0 then null when hits = 0 then 0 else 5 * (hits / guessed) * (hits / given) / (4 * hits / guessed + hits / given) end as f from a)
-  select g::varchar as "group", (select count(*) from p where conv_id % 4 = g) as n, round(100 * avg(f), 4)::double as chrf from f group by g""")
+  o as (select g, conv_id, turn, n, sum(least(p, r)) as hits, case when sum(r) > 0 then sum(p) else 0 end as guessed, sum(r) as given from c2 group by all),
+  a as (select g, n, sum(hits) as hits, sum(guessed) as guessed, sum(given) as given from o group by all),
+  f as (select g, avg(hits / guessed) as pr, avg(hits / given) as re from a where guessed > 0 and given > 0 group by g)
+  select g::varchar as "group", (select count(*) from p where conv_id % 4 = g) as n, round(case when pr + re > 0 then 500 * pr * re / (4 * pr + re) else 0 end, 4)::double as chrf from f""")
 def chrf_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chrF++ of answers against questions."""
     return N.chrf(_answers(spark, sf_dir), "group")
@@ -128,11 +137,11 @@ def eval_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event_type", F.when(F.col("rows_") > 500, "full").otherwise("small").alias("eval_set")).agg(F.count(F.lit(1)).alias("evaluations"), F.count_distinct("rows_").alias("sizes"), F.min("rows_").alias("least"), F.max("rows_").alias("most"))
 
 
-@query("select l_partkey, arg_max(l_orderkey, (l_quantity, l_orderkey)) as l_orderkey, max(l_quantity) as l_quantity, array_to_string(list_sort(list(distinct l_suppkey::varchar)), ',') as cells from lineitem group by l_partkey")
+@query("select l_partkey, arg_max(l_orderkey, (l_quantity, l_orderkey)) as l_orderkey, max(l_quantity) as l_quantity, array_to_string(list_sort(list(distinct l_suppkey::varchar)), ',') as cells, count(distinct l_suppkey) as n_cells from lineitem group by l_partkey")
 def most_precise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fullest line of each part, with all its suppliers."""
     rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_orderkey", "l_partkey", "l_suppkey")
-    return N.most_precise(rows, ["l_partkey"], "l_suppkey", "l_quantity").select("l_partkey", "l_orderkey", "l_quantity", "cells")
+    return N.most_precise(rows, ["l_partkey"], "l_suppkey", "l_quantity").select("l_partkey", "l_orderkey", "l_quantity", "cells", "n_cells")
 
 
 @query("select event_type, min(case when value < 1 then ts end) as boundary from events group by event_type")

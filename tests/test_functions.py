@@ -80,8 +80,30 @@ def test_suffixes(spark):
 def test_stems(spark):
     lexicon = spark.createDataFrame([(w,) for w in "indhu male ge fen meehu beynun kiyavaa gagee".split()], "latin string")
     words = spark.createDataFrame([(w,) for w in ["indhu", "indhuge", "malegai", "geah", "zzzzqqqqge", "age", "", "ghaqee"]], "word string")
-    got = {r.word: (r.root, r.suffixes) for r in M.stems(words, lexicon).collect()}
-    assert got == {"indhu": ("indhu", []), "indhuge": ("indhu", ["ge"]), "malegai": ("male", ["gai"]), "geah": ("ge", ["ah"]), "ghaqee": ("gagee", [])}
+    got = {r.word: (r.root, r.suffixes, r.hints) for r in M.stems(words, lexicon).collect()}
+    want = {"indhu": ("indhu", [], []), "indhuge": ("indhu", ["ge"], ["of"]), "malegai": ("male", ["gai"], ["in"]), "geah": ("ge", ["ah"], ["to"]), "ghaqee": ("gagee", [], [])}
+    assert got == want
+
+
+def test_variants(spark):
+    got = column(spark, ["ghaqee", "kitabb", "aham", "dhhakkh"], M.variants)
+    assert got[0][:5] == ["ghaqee", "ghagee", "gaqee", "gagee", "ghaqi"] and {"gagi", "ghagi", "gaqi"} <= set(got[0])
+    assert got[1] == ["kitabb", "kitab", "kitabbun"] and got[2] == ["aham", "ahan", "ahamun"]
+    assert {"dhakh", "dhhakh", "dhah", "dhas", "dhahun"} <= set(got[3]) and len(set(got[3])) == len(got[3])
+
+
+def test_known_bases_stay_whole(spark):
+    lexicon = spark.createDataFrame([("geyga",), ("beynunkamah",)], "latin string")
+    words = spark.createDataFrame([(w,) for w in ["beynunkamah", "indhukamah", "nu-malegai", "geygaeve"]], "word string")
+    got = {r.word: (r.root, r.suffix, r.written, r.negative) for r in M.parse_known(words, lexicon).collect()}
+    assert got["beynunkamah"] == ("beynunkamah", None, False, False) and got["indhukamah"] == ("indhu", "kamah", False, False)
+    assert got["nu-malegai"] == ("male", "gai", False, True) and got["geygaeve"] == ("geyga", None, True, False)
+
+
+def test_registers(spark):
+    listed = spark.createDataFrame([("Fulhu", "reverential"), ("meehaa", "informal"), ("vidhaalhuvi", "respectful")], "latin string, register string")
+    rows = spark.createDataFrame([(1, ["fulhu", "aee"]), (2, ["meehaa"]), (3, ["dhiyaeve"]), (4, []), (5, ["vidhaalhuvi", "meehaa"])], "k long, words array<string>")
+    assert {r.k: (r.register, r.honorific) for r in M.registers(rows, "k", "words", listed).collect()} == {1: ("written", 1), 2: ("neutral", 1), 3: ("written", 0), 4: ("neutral", 0), 5: ("written", 2)}
 
 
 def test_script_fuzz_against_tokens(spark):
