@@ -50,7 +50,7 @@ QUOTED = r"[\"“‘].+[\"”’]"
 FOREIGN_LETTERS = r"(?i)[wx]|c([^h]|$)"
 VALID_KEY = r"^[a-z][a-z' ]*$"
 MIN_WORDS, MIN_CHARS, MAX_CHARS, MIN_RATIO, MAX_RATIO = 3, 2, 600, 0.4, 2.5
-QUARANTINE_ROWS = 5000
+QUARANTINE_ROWS, MAX_TOKENS = 5000, 128
 
 # Suffixes and what they say.
 NOUN_SUFFIXES = {

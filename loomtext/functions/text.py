@@ -82,9 +82,31 @@ def composition(text: Column) -> dict[str, Column]:
 def near_keys(latin: Column, english: Column) -> Column:
     """What near duplicates share: case and white space folded, and of the English side letters, digits and spaces only."""
     def folded(c: Column) -> Column:
-        return F.lower(one_line(c))
+        return F.lower(F.regexp_replace(c, SPACES + "+", " "))
 
-    return F.concat(folded(latin), F.lit("\x01"), one_line(F.regexp_replace(folded(english), "[^a-z0-9 ]", "")))
+    return F.concat(folded(latin), F.lit("\x01"), F.regexp_replace(folded(english), "[^a-z0-9 ]+", ""))
+
+
+def letters_key(text: Column) -> Column:
+    """A text's letters and digits of any script in lower case, words apart; a text without any is its own key."""
+    kept = one_line(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{M}\\p{N} \\t-\\r]+", ""))
+    return F.when(kept == "", F.concat(F.lit("\x02"), text)).otherwise(kept)
+
+
+def unspellable(latin: Column) -> Column:
+    """A lower-case text has a letter that Dhivehi in Latin letters doesn't: w, x, or c but in ch."""
+    return F.rlike(F.lower(latin), F.lit(T.FOREIGN_LETTERS))
+
+
+def unspellable_tokens(latin: Column) -> Column:
+    """The distinct lower-case tokens that make a text unspellable, sorted."""
+    words = F.split(F.lower(latin), SPACES + "+")
+    return F.array_sort(F.array_distinct(F.filter(words, lambda w: F.rlike(w, F.lit(T.FOREIGN_LETTERS)))))
+
+
+def in_domain(domain: Column, wanted: str) -> Column:
+    """`x` keeps the domain x, `!x` all but it; rows without a domain are in none."""
+    return ~domain.eqNullSafe(F.lit(wanted[1:])) if wanted.startswith("!") else domain.eqNullSafe(F.lit(wanted))
 
 
 def conversational(text: Column) -> Column:

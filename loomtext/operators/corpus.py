@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomtext.functions import tables as T, text as X
+from loomtext.functions.script import to_latin
+from loomtext.names import unused
 
 TEST_SHARE, VALID_SHARE = 0.05, 0.05
 # Task prefixes, colon and space included.
@@ -12,16 +14,55 @@ PREFIXES = {"dv-en": "translate Dhivehi Latin to English: ", "en-dv": "translate
 
 
 def mark_duplicates(rows: DataFrame, exact: Column, near: Column, order: str) -> DataFrame:
-    """`rows` with `status`: kept, duplicate_exact or duplicate_near.
+    """`rows` with `status`: kept, duplicate_exact or duplicate_near; null where the near key is null.
 
     The first row of a near key is kept. An exact duplicate shares its near key, so the rest are told apart by the kept
-    row's exact key.
+    row's exact key. Keys are digests, and the first of each key is found before rows meet, so a hot key is one small row.
     """
-    keyed = rows.withColumns({"__exact": F.md5(exact), "__near": F.md5(near)})
-    first = keyed.groupBy("__near").agg(F.min(F.struct(order, "__exact")).alias("__first"))
-    met = keyed.join(first, "__near")
-    status = F.when(F.col(order) == F.col(f"__first.{order}"), "kept").when(F.col("__exact") == F.col("__first.__exact"), "duplicate_exact").otherwise("duplicate_near")
-    return met.withColumn("status", status).drop("__exact", "__near", "__first")
+    own = unused(rows)
+    keyed = rows.withColumns({f"{own}exact": F.md5(exact), f"{own}near": F.md5(near)})
+    at = F.struct(F.col(order).alias("place"), F.col(f"{own}exact").alias("exact"))
+    first = keyed.where(F.col(f"{own}near").isNotNull()).groupBy(F.col(f"{own}near").alias(f"{own}of")).agg(F.min(at).alias(f"{own}first"), F.count(F.lit(1)).alias(f"{own}n"))
+    # most keys have one row: only the others' are joined back
+    met = keyed.join(first.where(F.col(f"{own}n") > 1), F.col(f"{own}near") == F.col(f"{own}of"), "left")
+    alone = F.col(f"{own}of").isNull() | (F.col(order) == F.col(f"{own}first.place"))
+    status = F.when(F.col(f"{own}near").isNull(), None).when(alone, "kept").when(F.col(f"{own}exact") == F.col(f"{own}first.exact"), "duplicate_exact").otherwise("duplicate_near")
+    return met.withColumn("status", status).drop(*[f"{own}{c}" for c in ("exact", "near", "of", "first", "n")])
+
+
+def pair_funnel(rows: DataFrame, order: str, in_thaana: bool = True, most_tokens: int | None = T.MAX_TOKENS, counter: str = "bytes") -> DataFrame:
+    """`rows` (dv, en, ...) as cleaned, with latin, reason (null: kept), ratio, tokens and non_ascii: the 14 labels in order.
+
+    Row rules on the cleaned sides, then on the source in Latin letters, then exact and near duplicates of an earlier row
+    that passed, by `order`, then sequences that exceed a model: inputs with their task prefix and targets of both
+    directions. Evidence is null where a row didn't get that far. With `in_thaana` false the source is in Latin letters.
+    """
+    def clean(c: str) -> Column:
+        return X.fold_punctuation(X.normalise(F.col(c)))
+
+    own = unused(rows)
+    told = rows.withColumns({"dv": clean("dv"), "en": clean("en")})
+    told = told.withColumn(f"{own}rule", X.reject_reason(F.col("dv"), F.col("en"), in_thaana))
+    source = to_latin(F.col("dv")) if in_thaana else F.col("dv")
+    told = told.withColumn("latin", F.when(F.col(f"{own}rule").isNull(), source))
+    late = F.when(F.col("latin").isNotNull(), X.latin_reason(F.col("latin"), F.col("en")))
+    told = told.withColumn(f"{own}rule", F.coalesce(F.col(f"{own}rule"), late))
+    passed = F.col(f"{own}rule").isNull()
+    near = F.when(passed, X.near_keys(F.col("latin"), F.col("en")))
+    told = mark_duplicates(told, F.concat("latin", F.lit("\x01"), "en"), near, order)
+    count = X.TOKEN_COUNTERS[counter]
+    sides = [F.concat(F.lit(PREFIXES["dv-en"]), "latin"), F.col("en"), F.concat(F.lit(PREFIXES["en-dv"]), "en"), F.col("latin")]
+    kept = F.col("status") == "kept"
+    tokens = F.when(kept, F.greatest(*[count(s) for s in sides]))
+    long = F.when(tokens > most_tokens, "over_max_tokens") if most_tokens else F.lit(None).cast("string")
+    reason = F.coalesce(F.col(f"{own}rule"), F.when(~kept, F.col("status")), long)
+    odd = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("latin", F.lit("[^\\x00-\\x7f]"), F.lit(0)))), "")
+    ratio = F.round(F.length("latin") / F.greatest(F.length("en"), F.lit(1)), 3)
+    evidence = {
+        "reason": reason, "tokens": tokens, "non_ascii": F.when(F.col(f"{own}rule") == "non_ascii_latin", odd),
+        "ratio": F.when(F.col("latin").isNotNull() & (F.coalesce(F.col(f"{own}rule"), F.lit("")) != "non_ascii_latin"), ratio),
+    }
+    return told.withColumns(evidence).drop(f"{own}rule", "status")
 
 
 def hold_out_groups(sizes: DataFrame, excluded: list[str], test: float = TEST_SHARE, valid: float = VALID_SHARE) -> DataFrame:
@@ -49,10 +90,10 @@ def seeded_order(key: Column, seed: int) -> Column:
 
 def hold_out_rows(rows: DataFrame, key: str, seed: int, valid: int, test: int) -> DataFrame:
     """`rows` with `split`: the first `valid` rows of a shuffle, the next `test`, the rest train. Held-out rows are few: a top-k finds them."""
-    order = seeded_order(F.col(key), seed)
+    order = seeded_order(F.col(key), seed)  # valid + test are small by contract: what is broadcast is that many keys
     head = rows.select(F.col(key).alias("__key"), order.alias("__o")).orderBy("__o", "__key").limit(valid + test)
     numbered = head.withColumn("__n", F.row_number().over(Window.orderBy("__o", "__key")))
-    met = rows.join(F.broadcast(numbered), rows[key] == numbered["__key"], "left")
+    met = rows.join(F.broadcast(numbered) if valid + test <= 1_000_000 else numbered, rows[key] == numbered["__key"], "left")
     split = F.when(F.col("__n") <= valid, "valid").when(F.col("__n").isNotNull(), "test").otherwise("train")
     return met.withColumn("split", split).drop("__key", "__o", "__n")
 
@@ -107,10 +148,11 @@ def re_pair(rows: DataFrame) -> DataFrame:
     return both.where("n = 2").select("latin", "english")
 
 
-def quarantine(rows: DataFrame, text: str, reason: str, order: str, most: int = T.QUARANTINE_ROWS) -> DataFrame:
-    """Rejected rows with evidence: the distinct characters beyond ASCII, sorted, and the length; the first `most` by `order`."""
+def quarantine(rows: DataFrame, text: str, reason: str, order: str, most: int | None = T.QUARANTINE_ROWS) -> DataFrame:
+    """Rejected rows with evidence: the distinct characters beyond ASCII, sorted, and the length; the first `most` by `order`, or all."""
     odd = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit("[^\\x00-\\x7f]"), F.lit(0)))), "")
-    return rows.where(F.col(reason).isNotNull()).withColumns({"evidence": odd, "size": F.length(text)}).orderBy(order).limit(most)
+    rejected = rows.where(F.col(reason).isNotNull()).withColumns({"evidence": odd, "size": F.length(text)})
+    return rejected.orderBy(order).limit(most) if most else rejected
 
 
 def funnel_counts(rows: DataFrame, reason: str) -> DataFrame:

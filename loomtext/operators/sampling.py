@@ -63,6 +63,12 @@ def numbered(rows: DataFrame, order: str, name: str = "place") -> DataFrame:
     return met.withColumn(name, F.col(f"{at}_inside") + F.col(f"{at}_before")).drop(at, f"{at}_of", f"{at}_before", f"{at}_inside")
 
 
+def numbered_top(ordered: DataFrame, k: int) -> DataFrame:
+    """The first `k` rows of an ordered table with their `place` from 1: a bounded heap in each task, k rows in the last."""
+    top = ordered.limit(k).coalesce(1)
+    return top.withColumn("place", F.monotonically_increasing_id() + 1)
+
+
 def round_robin(rows: DataFrame, order: str, shards: int) -> DataFrame:
     """`rows` with `shard`: place modulo `shards`."""
     return numbered(rows, order).withColumn("shard", (F.col("place") % shards).cast("int"))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomtext.functions import morphology as M, script as S, tables as T, text as X
-from loomtext.operators import lexicon as L
+from loomtext.operators import lexicon as L, sampling as P
 from loomtext.plans.registry import WORDS, document_words, query, table
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 _LEXICON = f"select word as latin, count(*) as frequency from ({WORDS}) group by word having count(*) >= 2"
 #: Words to look up: those of conversations.
-_SAID = "select unnest(regexp_extract_all(lower(text), '[a-z'']+')) as word from conversations"
+_SAID = "select unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}'']+')) as word from conversations"
 _ASKED = f"select distinct word from ({_SAID})"
 _PARTS = "select p_name as latin, max(p_size)::bigint as frequency, case when split_part(p_name, ' ', 1) = split_part(p_name, ' ', 2) then [split_part(p_name, ' ', 1)] else [split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)] end as english from part group by p_name"
 
@@ -22,7 +22,7 @@ def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    return turns.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0))).alias("word"))
+    return turns.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{M}']+"), F.lit(0))).alias("word"))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,10 +64,60 @@ def lookup_gloss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.lookup_gloss(parts.select(F.explode("english").alias("word")), parts)
 
 
-@query()
+def _values(rows: list[tuple]) -> str:
+    return "values " + ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
+
+
+def _stems_sql(words: str, lexicon: str) -> str:
+    """CTEs up to stem (word, root, suffixes, hints) of `words` (word): candidates as rows, ordered as they are tried, joined with the lexicon."""
+    stem = sorted(T.STEM_SUFFIXES.items(), key=lambda x: -len(x[0]))
+    suffixes = _values([(k, s, h, T.SHORTEST_ROOT.get(s, T.ROOT_LENGTH)) for k, (s, h) in enumerate(stem)])
+    cut = "select word, s[1:length(s) - length(x)] as s, list_append(path, k) as path, list_append(taken, x) as taken, case when h <> '' then list_append(hints, h) else hints end as hints from {} join sx on ends_with(s, x) and length(s) - length(x) >= least_"
+    ends = [(k, *r) for k, r in enumerate((*T.FINAL_VARIANTS, *T.VOWEL_VARIANTS))]
+    return f"""sx(k, x, h, least_) as ({suffixes}), lx(k, a, b) as ({_values([(k, *r) for k, r in enumerate(T.LETTER_VARIANTS)])}), ex(k, a, b) as ({_values(ends)}),
+  l0 as (select word, lower(trim(word)) as s, []::int[] as path, []::varchar[] as taken, []::varchar[] as hints from ({words}) where trim(word) <> ''),
+  l1 as ({cut.format("l0")}), l2 as ({cut.format("l1")}), l3 as ({cut.format("l2")}),
+  ls as (select * from l0 union all select * from l1 union all select * from l2 union all select * from l3),
+  sp(s, v, p) as (select distinct s, s, []::int[] from ls union all select s, replace(v, a, b), list_append(p, k) from sp join lx on contains(v, a) where len(p) < 6),
+  sr as (select s, v, row_number() over (partition by s order by min(struct_pack(n := len(p), p := p))) as r from sp group by s, v),
+  en as (select s, r, k, v[1:length(v) - length(a)] || b as v from sr join ex on ends_with(v, a)
+    union all select s, r, 90, v[1:length(v) - 1] from sr where length(v) > 1 and v[-1] = v[-2] and regexp_matches(v, '[b-df-hj-np-tv-z]$')
+    union all select s, r, 91, v || 'un' from sr where not regexp_matches(v, '[aeiou]$')),
+  ca as (select s, v, 0 as phase, r, 0 as k from sr union all select s, v, 1, r, k from en where v <> ''),
+  stem as (select word, arg_min(v, o) as root, arg_min(taken, o) as suffixes, arg_min(hints, o) as hints from
+    (select word, ca.v, taken, hints, struct_pack(n := len(path), path := path, phase := phase, r := r, k := k) as o from ls join ca using (s) join (select distinct lower(trim(latin)) as v from ({lexicon})) lk on lk.v = ca.v) group by word)"""
+
+
+@query(f"""with recursive {_stems_sql(_ASKED, _LEXICON)}, h as (select lower(trim(latin)) as key, arg_max(latin, struct_pack(f := frequency, l := latin)) as latin from ({_LEXICON}) group by 1),
+  cl(key, closed) as ({_values(sorted(T.CLOSED_LATIN.items()))}), px as (select latin, frequency, unnest(list_transform(range(4, length(latin) + 1), lambda n: latin[1:n])) as word from ({_LEXICON}) where length(latin) >= 4),
+  pf as (select word, arg_min(latin, struct_pack(n := length(latin), f := -frequency, l := latin)) as latin from px group by word),
+  w as (select distinct word, lower(trim(word)) as key from ({_ASKED}) where not regexp_matches(word, '[^\\x00-\\x7f]')),
+  m as (select w.word, h.latin as exact, cl.closed, st.root, st.suffixes, hs.latin as stem_latin, pf.latin as longer from w left join h on h.key = w.key left join cl on cl.key = w.key
+    left join stem st on st.word = w.key and st.root <> w.key left join h hs on hs.key = st.root left join pf on pf.word = w.key)
+  select word, case when exact is not null then 'exact' when closed is not null then 'closed_class' when stem_latin is not null then 'stem' when longer is not null then 'prefix' else 'unknown' end as found,
+    coalesce(exact, case when closed is not null then word end, stem_latin, longer, word) as latin, case when exact is null and closed is null and stem_latin is null then 'low' else 'high' end as confidence,
+    case when exact is not null then null when closed is not null then 'closed_class' when stem_latin is not null then null when longer is not null then 'prefix' else 'transliteration_only' end as fallback,
+    case when exact is null and closed is null and stem_latin is not null then array_to_string(suffixes, '+') end as suffixes from m""")
 def lookup_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words by the first of exact hit, closed class, stem and prefix."""
-    return L.translate_words(_asked(spark, sf_dir), _lexicon(spark, sf_dir))
+    """Words in ASCII by the first of exact hit, closed class, stem and prefix."""
+    asked = _asked(spark, sf_dir).where(~F.rlike("word", F.lit("[^\\x00-\\x7f]")))
+    found = L.translate_words(asked, _lexicon(spark, sf_dir))
+    return found.select("word", "found", "latin", "confidence", "fallback", F.array_join("suffixes", "+").alias("suffixes"))
+
+
+_ENGLISH = f"select word from ({_ASKED}) union select unnest([{', '.join(repr(w) for w in sorted(T.CLOSED_ENGLISH) if w.isascii())}, 'almond', 'antique'])"
+
+
+@query(f"""with w as (select distinct word, lower(trim(word)) as key from ({_ENGLISH})), cl(key, closed) as ({_values([kv for kv in sorted(T.CLOSED_ENGLISH.items()) if kv[0].isascii()])}),
+  g as (select latin, frequency, generate_subscripts(english, 1) as rank, lower(trim(unnest(english))) as key from ({_PARTS})), h as (select distinct latin from ({_PARTS})),
+  b as (select key, arg_min(latin, struct_pack(r := rank, f := -frequency, l := latin)) as latin from g group by key)
+  select word, case when h.latin is not null then 'exact' when closed is not null then 'closed_class' when b.latin is not null then 'gloss' else 'unknown' end as found,
+    coalesce(closed, b.latin, '[unknown: ' || word || ']') as latin, case when closed is null and b.latin is null then 'low' else 'high' end as confidence
+  from w left join cl using (key) left join h on h.latin = closed left join b using (key)""")
+def english_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English words by closed class and glosses."""
+    more = spark.createDataFrame([(w,) for w in sorted(T.CLOSED_ENGLISH) if w.isascii()] + [("almond",), ("antique",)], "word string")
+    return L.translate_english(_asked(spark, sf_dir).unionAll(more), _parts(spark, sf_dir)).select("word", "found", "latin", "confidence")
 
 
 @query(f"""with w as ({_SAID}), l as ({_LEXICON})
@@ -91,11 +141,11 @@ def search_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.search(_parts(spark, sf_dir), "ring")
 
 
-@query()
+@query(f"with recursive {_stems_sql(_ASKED, _LEXICON)} select word, root, array_to_string(suffixes, '+') as suffixes, array_to_string(hints, ' ') as hints from stem")
 def stem_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stems of words by the lexicon of longer words."""
-    found = M.stems(_asked(spark, sf_dir), _lexicon(spark, sf_dir).where(F.length("latin") >= 4))
-    return found.select("word", "root", F.array_join("suffixes", "+").alias("suffixes"))
+    """Stems of words by the lexicon of the documents."""
+    found = M.stems(_asked(spark, sf_dir), _lexicon(spark, sf_dir))
+    return found.select("word", "root", F.array_join("suffixes", "+").alias("suffixes"), F.array_join("hints", " ").alias("hints"))
 
 
 def _suffix_sql(base: str, kind: dict) -> str:
@@ -107,18 +157,36 @@ _BASE = """case when ends_with(word, 'gaeeve') then word[:-7] || 'gai' when ends
   when ends_with(word, 'aheve') then word[:-6] || 'ah' when ends_with(word, 'eve') then word[:-4] else word end"""
 
 
-@query(f"""with b as (select word, {_BASE} as base, ends_with(word, 'eve') as written from (select distinct word from ({WORDS}))), s as (select *, coalesce({_suffix_sql('base', T.NOUN_SUFFIXES)}, {_suffix_sql('base', T.VERB_SUFFIXES)}) as suffix from b)
-  select word, base[1:length(base) - coalesce(length(suffix), 0)] as root, suffix, written from s""")
+_MARKED = f"select distinct word from ({WORDS}) union select 'nu-' || word || 'ge' from ({_ASKED}) union select word || 'gaeeve' from ({_ASKED})"
+
+
+@query(f"""with b as (select word, regexp_replace({_BASE}, '^n[ui]-', '') as base, ends_with(word, 'eve') as written, regexp_matches({_BASE}, '^n[ui]-') as negative from ({_MARKED})),
+  s as (select *, coalesce({_suffix_sql('base', T.NOUN_SUFFIXES)}, {_suffix_sql('base', T.VERB_SUFFIXES)}) as suffix from b)
+  select word, base[1:length(base) - coalesce(length(suffix), 0)] as root, suffix, written, negative from s""")
 def suffix_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roots and suffixes of distinct words."""
-    words = document_words(spark, sf_dir).select("word").distinct().withColumn("p", M.suffix_parse(F.col("word")))
-    return words.select("word", "p.root", "p.suffix", "p.written")
+    """Roots and suffixes of distinct words, some of them negated or with the narrative particle."""
+    words = _marked(spark, sf_dir).withColumn("p", M.suffix_parse(F.col("word")))
+    return words.select("word", "p.root", "p.suffix", "p.written", "p.negative")
 
 
-@query("select p_name, p_name || s as form from (select distinct split_part(p_name, ' ', 2) as p_name from part), unnest([" + ", ".join(f"'{s}'" for s in T.INFLECTIONS) + "]) t(s)")
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _asked(spark, sf_dir)
+    more = asked.select(F.concat(F.lit("nu-"), "word", F.lit("ge")).alias("word")).unionAll(asked.select(F.concat("word", F.lit("gaeeve")).alias("word")))
+    return document_words(spark, sf_dir).select("word").unionAll(more).distinct()
+
+
+@query(f"""with b as (select word, regexp_replace({_BASE}, '^n[ui]-', '') as base from ({_MARKED})), k as (select distinct latin as base from ({_LEXICON})),
+  s as (select word, b.base, case when k.base is null then coalesce({_suffix_sql('b.base', T.NOUN_SUFFIXES)}, {_suffix_sql('b.base', T.VERB_SUFFIXES)}) end as suffix from b left join k on k.base = b.base)
+  select word, base[1:length(base) - coalesce(length(suffix), 0)] as root, suffix from s""")
+def suffix_parse_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, but words of the lexicon are roots as they are."""
+    return M.parse_known(_marked(spark, sf_dir), _lexicon(spark, sf_dir)).select("word", "root", "suffix")
+
+
+@query("select p_name, p_name || s as form from (select distinct unnest(string_split(p_name, ' ')) as p_name from part), unnest([" + ", ".join(f"'{s}'" for s in T.INFLECTIONS) + "]) t(s)")
 def inflect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inflected forms of part nouns."""
-    nouns = table(spark, sf_dir, "part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("p_name")).distinct()
+    """Inflected forms of the words of part names."""
+    nouns = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("p_name")).distinct()
     return nouns.select("p_name", F.explode(M.inflections(F.col("p_name"))).alias("form"))
 
 
@@ -189,8 +257,8 @@ def mirror_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REWRITES = "select c_custkey::varchar as old, case when c_custkey % 11 = 0 then '' when c_custkey < 4 then ((c_custkey + 1) % 4)::varchar else (c_custkey // 2 + 3)::varchar end as new from customer"
 
 
-@query(f"""with recursive r as ({_REWRITES}), h(old, via, steps) as (select old, new, 1 from r union all select h.old, r.new, h.steps + 1 from h join r on r.old = h.via where h.steps < 40)
-  select old, case when max(steps) > 20 then null else nullif(arg_max(via, steps), '') end as final, case when max(steps) <= 20 then max(steps) end as steps from h group by old""")
+@query(f"""with recursive r as ({_REWRITES}), h(old, via, steps) as (select old, new, 1 from r union all select h.old, r.new, h.steps + 1 from h join r on r.old = h.via where h.steps <= (select count(*) from r))
+  select old, case when max(steps) > (select count(*) from r) then null else nullif(arg_max(via, steps), '') end as final, case when max(steps) <= (select count(*) from r) then max(steps) end as steps from h group by old""")
 def rewrite_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where chains of rewritten keys end."""
     key = F.col("c_custkey")
@@ -208,12 +276,18 @@ def collision_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.collisions(spark.createDataFrame(rows, "letter string, reading string, place int"))
 
 
-@query(f"""select p_name as latin, case when seen > frequency then seen else frequency end as frequency, case when seen > frequency then 'corpus' end as freq_source
-  from (select p_name, p_size::bigint as frequency, p_partkey from part) left join (select latin, max(frequency) as seen from ({_LEXICON}) group by latin) on latin = split_part(p_name, ' ', 9)""")
+@query(f"""select latin, greatest(frequency, coalesce(seen, 0)) as frequency, case when seen > frequency then 'corpus' end as freq_source
+  from ({_LEXICON}) left join (select word, count(*) * 20 as seen from ({_SAID}) group by word) on latin = word""")
 def frequency_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries whose frequency the corpus raises: none for part names, which are no corpus words."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("latin"), F.col("p_size").cast("long").alias("frequency"))
-    return L.raise_frequency(rows, _lexicon(spark, sf_dir)).select("latin", "frequency", "freq_source")
+    """Headwords whose frequency the conversations raise, a word of theirs for 20."""
+    seen = _said(spark, sf_dir).groupBy(F.col("word").alias("latin")).agg((F.count(F.lit(1)) * 20).alias("frequency"))
+    return L.raise_frequency(_lexicon(spark, sf_dir), seen).select("latin", "frequency", "freq_source")
+
+
+@query(f"select latin, frequency, row_number() over (order by frequency desc, lower(latin), latin) as place from ({_LEXICON}) order by place limit 200")
+def export_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 200 entries of the lexicon as it is exported."""
+    return P.numbered_top(L.export_order(_lexicon(spark, sf_dir)), 200)
 
 
 @query(f"select latin from ({_LEXICON}) where latin not in (select word from ({_SAID}))")

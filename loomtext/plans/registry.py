@@ -28,10 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, word): every lower-case letter run of the documents."""
+    """(doc_id, word): every lower-case letter run of the documents, in any script."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0))).alias("word"))
+    return docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{M}']+"), F.lit(0))).alias("word"))
 
 
 #: The same in SQL.
-WORDS = "select doc_id, unnest(regexp_extract_all(lower(text), '[a-z'']+')) as word from documents"
+WORDS = "select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}'']+')) as word from documents"
