@@ -5,12 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 #: Where each scratch table lies, while somebody holds it.
 _PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Tables written since each passing() that is open.
+_OPEN: list[list[DataFrame]] = []
 
 
 def _file_system(spark: SparkSession, path: str) -> tuple[object, object]:
@@ -48,6 +52,28 @@ def _own_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _noted(table: DataFrame, path: str) -> DataFrame:
+    _PLACES[table] = path
+    if _OPEN:
+        _OPEN[-1].append(table)
+    return table
+
+
+@contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Scratch tables written inside are deleted at the end, but for those put into the list that this gives."""
+    kept: list[DataFrame] = []
+    _OPEN.append([])
+    try:
+        yield kept
+    finally:
+        made = _OPEN.pop()
+        stay = {id(t) for t in kept}
+        discard(*[t for t in made if id(t) not in stay])
+        if _OPEN:
+            _OPEN[-1].extend(t for t in made if id(t) in stay)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: a lost executor rereads files, it recomputes nothing.
 
@@ -56,9 +82,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    _PLACES[table] = path
-    return table
+    return _noted(spark.read.schema(df.schema).parquet(path), path)
 
 
 def materialise_by(df: DataFrame, key: str, n: int, label: str) -> DataFrame:
@@ -70,8 +94,7 @@ def materialise_by(df: DataFrame, key: str, n: int, label: str) -> DataFrame:
     table = spark.table(name)
     table.schema  # noqa: B018  resolved now: the name isn't needed any more, the files stay
     spark.sql(f"drop table {name}")
-    _PLACES[table] = path
-    return table
+    return _noted(table, path)
 
 
 def discard(*tables: DataFrame) -> None:
