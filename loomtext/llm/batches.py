@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Rows turned into Python strings at once.
 ROWS = 128
+#: Rows of an Arrow batch with whole texts: the JVM's and the worker's copy of a batch grow with it.
+BATCH_ROWS = 1000
 
 
-def in_parts(texts: pa.Array | list[str | None], chars: int = 2_000_000) -> Iterator[list[str | None]]:
+def in_parts(texts: pa.Array | list[str | None], chars: int = 500_000) -> Iterator[list[str | None]]:
     """The texts in runs of about `chars` characters; a longer text is a run of its own, whole.
 
     An Arrow column is turned into strings as the runs go on, not at once.
@@ -36,3 +40,16 @@ def give_back() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_ROWS rows at most for what is executed inside; the session's own setting holds again after it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    rows = int(before)
+    spark.conf.set(key, str(BATCH_ROWS if rows <= 0 else min(rows, BATCH_ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

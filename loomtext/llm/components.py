@@ -1,10 +1,10 @@
-"""Connected components of a graph of long ids, by alternating star contractions."""
+"""Connected components of a graph of ordered ids, by alternating star contractions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from loomtext.llm.scratch import materialise
+from loomtext.llm.scratch import discard, materialise
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -14,9 +14,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     joins are used, so that no neighbourhood is gathered in one place. A round's edges are written to the shared folder.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    mark, turn = None, 0
+    mark, turn, last = None, 0, None
     while True:
         edges = materialise(edges, f"edges{turn}")
+        if last is not None:
+            discard(last)
+        last = edges
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if (now["n"], now["x"]) == mark or not now["n"]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

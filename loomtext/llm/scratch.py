@@ -1,30 +1,5 @@
-"""Shared scratch tables: lineage is cut with Parquet in the folder named by spark.checkpoint.dir."""
+"""Shared scratch tables, as the rest of the library keeps them."""
 
-from __future__ import annotations
+from loomtext.scratch import clear, discard, materialise, materialise_by, passing, scratch_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_KEY = "spark.checkpoint.dir"
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder.
-
-    Only a session that names none (tests on one machine) gets a folder of its own.
-    """
-    folder = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="loomtext-")
-        spark.conf.set(_KEY, folder)
-    return folder.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: a lost executor rereads files, it recomputes nothing."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/loomtext/{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["clear", "discard", "materialise", "materialise_by", "passing", "scratch_dir"]
