@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loomtext.llm.likeness import LIKE, like_components
 from loomtext.llm.names import unused
 from loomtext.llm.quality import let
-from loomtext.llm.scratch import materialise
+from loomtext.llm.scratch import materialise, passing
 
 #: Contexts that a term met an entity in at least, if it stands elsewhere, and how many pairs may belong together by chance.
 SUPPORT, CHANCE = 2, 0.05
@@ -266,12 +266,15 @@ def _hits(docs: DataFrame, rows: DataFrame, terms: DataFrame) -> DataFrame:
 
 def find_private(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, base, terms (spans of disclosing terms) for each row of `docs` (doc_id, text)."""
-    rows = materialise(examined(docs), "examined")
-    terms = disclosing_terms(docs, rows)
+    with passing() as tables:
+        rows = materialise(examined(docs), "examined")
+        terms = disclosing_terms(docs, rows)
+        hit = None if terms is None else materialise(_hits(docs, rows, terms), "hit")
+        tables += [rows] if hit is None else [rows, hit]
     kind = "array<struct<start:int,place:int,kind:string,end:int>>"
-    if terms is None:
+    if hit is None:
         return rows.select("doc_id", "text_hash", "base", F.array().cast(kind).alias("terms"))
-    hit = materialise(_hits(docs, rows, terms), "hit").select(F.col("id").alias("of_id"), F.col("hash").alias("of_hash"), "found", "gone")
+    hit = hit.select(F.col("id").alias("of_id"), F.col("hash").alias("of_hash"), "found", "gone")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     held = texts.join(hit, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash"))).dropDuplicates(["id", "hash"])
@@ -324,9 +327,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     Null texts stay null; all rows and columns are kept.
     """
-    own, found = unused(docs), find_private(docs)
-    told = found.select(F.col("doc_id").alias(f"{own}id"), F.col("text_hash").alias(f"{own}hash"), F.array_sort(F.concat("base", "terms")).alias(f"{own}spans"))
-    told = materialise(told.where(F.size(f"{own}spans") > 0).dropDuplicates([f"{own}id", f"{own}hash"]), "spans")
+    own = unused(docs)
+    with passing() as tables:
+        found = find_private(docs)
+        told = found.select(F.col("doc_id").alias(f"{own}id"), F.col("text_hash").alias(f"{own}hash"), F.array_sort(F.concat("base", "terms")).alias(f"{own}spans"))
+        told = materialise(told.where(F.size(f"{own}spans") > 0).dropDuplicates([f"{own}id", f"{own}hash"]), "spans")
+        tables.append(told)
     text, spans = docs["text"].cast("string"), F.col(f"{own}spans")
     key = docs["doc_id"].cast("long").eqNullSafe(told[f"{own}id"]) & (F.xxhash64(text) == told[f"{own}hash"])
     new = F.when(spans.isNotNull(), redacted(text, spans)).otherwise(text)
