@@ -191,3 +191,10 @@ def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     """One row of each key, the first by `order`, with the number of rows it had."""
     g = rows.groupBy(key).agg(F.min(F.struct(order, *[c for c in rows.columns if c not in (order, key)])).alias("r"), F.count(F.lit(1)).alias("copies"))
     return g.select(key, "r.*", "copies")
+
+
+def last_wins(wanted: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows of `wanted` (key) with the last row by `order` of those in `rows` that have their key."""
+    others = [c for c in rows.columns if c not in (key, order)]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(order, *others), order).alias("last"))
+    return wanted.join(last, key).select(key, "last.*")

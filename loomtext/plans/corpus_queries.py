@@ -7,28 +7,31 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loomtext.functions import tables as T, text as X
 from loomtext.operators import corpus as C, sampling as P
 from loomtext.plans.registry import query, table
+from loomtext.scratch import materialise
 
 _BARE = "trim(regexp_replace(coalesce(text, ''), '[ \\t-\\r]+', ' ', 'g'))"
 _REASON = f"""case when {_BARE} = '' then 'empty_side'
   when regexp_matches(text, '%[sdifg@]|%[0-9]+\\$[sdifg@]|\\{{[0-9]+\\}}|</?[a-z][a-z0-9]*>') then 'ui_string'
   when len(string_split({_BARE}, ' ')) < 3 then 'too_few_words' when length({_BARE}) > 2000 then 'length_bounds'
   when length(regexp_replace(text, '[\\x00-\\x7f]', '', 'g')) * 1.0 / nullif(length(text), 0) > 0.08 then 'non_ascii_latin' end"""
-_NEAR = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9 ]', '', 'g'), '[ \\t-\\r]+', ' ', 'g'))"
+_NEAR = "trim(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}} \\t-\\r]+', '', 'g'), '[ \\t-\\r]+', ' ', 'g'))"
 _DEDUP = f"""select doc_id, source, case when doc_id = min(doc_id) over w then 'kept'
   when text is not distinct from arg_min(coalesce(text, ''), doc_id) over w then 'duplicate_exact' else 'duplicate_near' end as status
-  from (select doc_id, source, coalesce(text, '') as text, {_NEAR.format("coalesce(text, '')")} as k from documents) window w as (partition by k)"""
+  from (select doc_id, source, text, case when k = '' then chr(2) || text else k end as k from (select doc_id, source, coalesce(text, '') as text, {_NEAR.format("coalesce(text, '')")} as k from documents)) window w as (partition by k)"""
 
 
-def _deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
-    near = F.btrim(F.regexp_replace(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", ""), "[ \\t-\\r]+", " "))
-    return C.mark_duplicates(docs, F.col("text"), near, "doc_id")
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, reason, exact, near): rules and keys of each document, written once; no near key where a rule rejects."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").withColumn("reason", C.document_reason(F.col("text")))
+    return docs.select("doc_id", "source", "reason", F.md5(text).alias("exact"), F.md5(X.letters_key(text)).alias("near"))
 
 
 @query(f"select doc_id, source, status from ({_DEDUP})")
 def dedup_exact_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as kept, exact or near duplicate of the first of its near key."""
-    return _deduplicated(spark, sf_dir).select("doc_id", "source", "status")
+    rows = _keyed(spark, sf_dir).select("doc_id", "source", "exact", "near")
+    return C.mark_duplicates(rows, F.col("exact"), F.col("near"), "doc_id").select("doc_id", "source", "status")
 
 
 @query(f"select reason, count(*) as n from (select {_REASON} as reason from documents) where reason is not null group by reason")
@@ -42,12 +45,10 @@ def reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
   s as (select reason from r where reason is not null union all select status from d)
   select reason, count(*) as n from s group by reason""")
 def corpus_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row rules, then duplicates among what passed: every document under its label."""
-    docs = table(spark, sf_dir, "documents").withColumn("reason", C.document_reason(F.col("text")))
-    passed = docs.where("reason is null").drop("reason")
-    near = F.btrim(F.regexp_replace(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", ""), "[ \\t-\\r]+", " "))
-    status = C.mark_duplicates(passed, F.col("text"), near, "doc_id").select(F.col("status").alias("reason"))
-    return C.funnel_counts(docs.where("reason is not null").select("reason").unionAll(status), "reason")
+    """Row rules, then duplicates among what passed: every document under its label; rules and keys are computed once."""
+    rows = materialise(_keyed(spark, sf_dir), "keyed")
+    marked = C.mark_duplicates(rows, F.col("exact"), F.when(F.col("reason").isNull(), F.col("near")), "doc_id")
+    return C.funnel_counts(marked.select(F.coalesce("reason", "status").alias("reason")), "reason")
 
 
 @query(f"""select doc_id, reason, length(text) as size, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[^\\x00-\\x7f]'))), ''), '') as evidence
@@ -103,7 +104,7 @@ def row_holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.hold_out_rows(table(spark, sf_dir, "documents"), "doc_id", 11, 30, 30).select("doc_id", "split")
 
 
-_SENTENCE = "trim(split_part(coalesce(text, ''), chr(10), 1))"
+_SENTENCE = "md5(trim(coalesce(text, '')))"
 
 
 @query(f"""with d as (select {_SENTENCE} as input, case when md5('7|' || doc_id) < '1' then 'valid' when md5('7|' || doc_id) < '2' then 'test' else 'train' end as split from documents),
@@ -111,13 +112,13 @@ _SENTENCE = "trim(split_part(coalesce(text, ''), chr(10), 1))"
   va as (select * from d where split = 'valid' and input not in (select input from tr))
   select split, count(*) as n, count(distinct input) as inputs from (select * from d where split = 'train' union all select * from te union all select * from va where input not in (select input from te)) group by split""")
 def leak_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of the documents in three splits, less what leaks between them."""
-    return C.without_leaks(_split_lines(spark, sf_dir), "input")[0].groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("input").alias("inputs"))
+    """The documents in three splits by their whole texts, less what leaks between them."""
+    return C.without_leaks(_split_texts(spark, sf_dir), "input")[0].groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("input").alias("inputs"))
 
 
-def _split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _split_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lot = C.seeded_order(F.col("doc_id"), 7)
-    line = F.trim(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)))
+    line = F.md5(F.trim(F.coalesce("text", F.lit(""))))
     return table(spark, sf_dir, "documents").select(line.alias("input"), F.when(lot < "1", "valid").when(lot < "2", "test").otherwise("train").alias("split"))
 
 
@@ -125,8 +126,8 @@ def _split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
   p as (select a.split || '_' || b.split as pair, count(*) as shared from d a join d b using (input) where (a.split, b.split) in (('train', 'valid'), ('train', 'test'), ('valid', 'test')) group by 1)
   select pair, coalesce(shared, 0) as shared from (values ('train_valid'), ('train_test'), ('valid_test')) v(pair) left join p using (pair)""")
 def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines that two splits share."""
-    return C.split_overlap(_split_lines(spark, sf_dir), "input")
+    """Texts that two splits share."""
+    return C.split_overlap(_split_texts(spark, sf_dir), "input")
 
 
 _PAIRS = "select q.conv_id, q.turn, q.text as latin, a.text as english from conversations q join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1 where q.role = 'user' and a.role = 'assistant'"
@@ -211,10 +212,54 @@ def first_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.first_examples(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 3)
 
 
-@query("select count(*) as fixed_rules from (values ('empty_side'), ('no_thaana_in_source'), ('thaana_in_english'), ('latin_in_dhivehi'), ('timestamp_fragment'), ('ui_string'), ('too_few_words'), ('length_bounds')) t(x)")
+_SHOWN = [
+    ("", "a b c", "empty_side"), ("abc", "a b c", "no_thaana_in_source"), ("ދިވެހި ބަސް މިއީ", "a b ދިވެހި", "thaana_in_english"),
+    ("ދިވެހި ބަސް މިއީ x", "one two three", "latin_in_dhivehi"), ("ދިވެހި ބަސް މިއީ", "5 minutes long ago", "timestamp_fragment"), ("ދިވެހި ބަސް މިއީ", "a %s b c", "ui_string"),
+    ("ދިވެހި ބަސް މިއީ", "one two", "too_few_words"), ("ދިވެހި ބަސް މިއީ", "one two " + "x" * T.MAX_CHARS, "length_bounds"), ("ދިވެހި ބަސް މިއީ ☺", "one two three four", "non_ascii_latin"),
+    ("ދިވެހި ބަސް މިއީ", "one two three " + "word " * 30, "length_ratio"), ("ދިވެހި ބަސް މިއީ", "one two three four", "kept"), ("ދިވެހި ބަސް މިއީ", "one two three four", "duplicate_exact"),
+    ("ދިވެހި  ބަސް މިއީ", "One two, three four!", "duplicate_near"), ("ދިވެހި ބަސް މިއީ " * 14, "one two three four " * 14, "over_max_tokens"),
+]
+
+
+@query("select k, reason from (values " + ", ".join(f"({k}, '{r}')" for k, (_, _, r) in enumerate(_SHOWN)) + ") t(k, reason)")
 def reject_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row rule rejects the pair made for it."""
-    thaana = "ދިވެހި ބަސް މިއީ"
-    pairs = [("", "a b c"), ("abc", "a b c"), (thaana, f"a b {thaana}"), (thaana + " x", "one two three"), (thaana, "5 minutes long ago"), (thaana, "a %s b c"), (thaana, "one two"), (thaana, "one two " + "x" * T.MAX_CHARS)]
-    rows = spark.createDataFrame(pairs, "source string, english string")
-    return rows.select(X.reject_reason(F.col("source"), F.col("english")).alias("r")).agg(F.count_distinct("r").alias("fixed_rules"))
+    """Each label of the pair funnel on the pair made for it."""
+    rows = spark.createDataFrame([(k, dv, en) for k, (dv, en, _) in enumerate(_SHOWN)], "k int, dv string, en string")
+    return C.pair_funnel(rows, "k").select("k", F.coalesce("reason", F.lit("kept")).alias("reason"))
+
+
+_CLEAN = "trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_ONE = "trim(regexp_replace({0}, '[ \\t-\\r]+', ' ', 'g'))"
+
+
+@query(f"""with p as (select conv_id * 1000 + turn as k, {_CLEAN.format('latin')} as dv, {_CLEAN.format('english')} as en from ({_PAIRS})),
+  r as (select *, case when dv = '' or en = '' then 'empty_side' when regexp_matches(en, '%[sdifg@]|%[0-9]+\\$[sdifg@]|\\{{[0-9]+\\}}|</?[a-z][a-z0-9]*>') then 'ui_string'
+    when len(string_split({_ONE.format('en')}, ' ')) < 3 then 'too_few_words' when length(dv) not between 2 and 600 or length(en) not between 2 and 600 then 'length_bounds'
+    when regexp_matches(dv, '[^\\x00-\\x7f]') then 'non_ascii_latin' when length(dv) * 1.0 / length(en) not between 0.4 and 2.5 then 'length_ratio' end as rule from p),
+  n as (select *, md5(lower(regexp_replace(dv, '[ \\t-\\r]+', ' ', 'g')) || chr(1) || regexp_replace(lower(regexp_replace(en, '[ \\t-\\r]+', ' ', 'g')), '[^a-z0-9 ]+', '', 'g')) as near from r where rule is null),
+  d as (select *, case when k = min(k) over w then null when (dv, en) = arg_min((dv, en), k) over w then 'duplicate_exact' else 'duplicate_near' end as dup from n window w as (partition by near)),
+  f as (select k, rule as reason from r where rule is not null union all select k, coalesce(dup, case when greatest(strlen(dv) + 36, strlen(en) + 36) > 1000 then 'over_max_tokens' end) from d)
+  select k, reason from f""")
+def pair_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question and answer pairs under the label that rejects them, null for those kept."""
+    pairs = _pairs(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), F.col("latin").alias("dv"), F.col("english").alias("en"))
+    return C.pair_funnel(pairs, "k", in_thaana=False, most_tokens=1000).select("k", "reason")
+
+
+_TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t-\\r]+'), lambda t: regexp_matches(t, '[wx]|c([^h]|$)')))"
+
+
+@query(f"select doc_id, len({_TOKENS})::int as n, md5(array_to_string(list_sort({_TOKENS}), ' ')) as tokens from documents where regexp_matches(lower(text), '[wx]|c([^h]|$)')")
+def spellability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that Dhivehi spelling can't write, and how many of their tokens are why."""
+    odd = X.unspellable_tokens(F.col("text"))
+    docs = table(spark, sf_dir, "documents").where(X.unspellable(F.col("text"))).withColumn("odd", odd)
+    return docs.select("doc_id", F.size("odd").alias("n"), F.md5(F.array_join("odd", " ")).alias("tokens"))
+
+
+@query("select 'only' as spec, lang, count(*) as n from documents where source = 'src0' group by lang union all select 'not', lang, count(*) from documents where source is distinct from 'src0' group by lang")
+def domain_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one source, and of all but it."""
+    docs = table(spark, sf_dir, "documents")
+    sides = [docs.where(X.in_domain(F.col("source"), spec)).select(F.lit(name).alias("spec"), "lang") for name, spec in (("only", "src0"), ("not", "!src0"))]
+    return sides[0].unionAll(sides[1]).groupBy("spec", "lang").agg(F.count(F.lit(1)).alias("n"))

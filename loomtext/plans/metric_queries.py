@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loomtext.functions import text as X
 from loomtext.operators import metrics as N, sampling as P
 from loomtext.plans.corpus_queries import _pairs
+from loomtext.plans import reports
 from loomtext.plans.registry import query, table
 from loomtext.sources import logs
 
@@ -106,11 +107,17 @@ def report_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(F.lit("held_out").alias("population"), "name", "n").unionAll(own.select(F.lit("in_domain").alias("population"), "name", "n")).unionAll(budget)
 
 
-@query("""select event_id, event_type, json_extract_string(props, '$.k')::double as k from events where json_valid(props) and event_type in ('error', 'click')""")
+@query("""with s as (select event_id, case event_type when 'error' then '{k: broken}' when 'click' then '{"loss": ' || value || '} then {"eval_loss": ' || event_id || '}' else props end as said from events),
+  r as (select event_id, unnest(regexp_extract_all(said, '\\{[^{}]*\\}')) as raw from s)
+  select event_id, case when raw = '{k: broken}' then 'failed' when contains(raw, '"eval_loss"') then 'eval' when contains(raw, '"loss"') then 'train' else 'other' end as kind,
+    coalesce(json_extract_string(case when json_valid(raw) then raw end, '$.k'), json_extract_string(case when json_valid(raw) then raw end, '$.loss'), json_extract_string(case when json_valid(raw) then raw end, '$.eval_loss'))::double as value from r""")
 def log_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers out of the JSON of two kinds of events."""
-    rows = table(spark, sf_dir, "events").where("event_type in ('error', 'click')")
-    return rows.select("event_id", "event_type", F.try_element_at(logs.numbers_of(F.col("props")), F.lit("k")).alias("k"))
+    """Every event's log line: dictionaries in it by the keys they have, unreadable ones counted."""
+    rows = table(spark, sf_dir, "events")
+    train = F.concat(F.lit('\x1b[1m{"loss": '), F.col("value").cast("string"), F.lit('}\x1b[0m then\r{"eval_loss": '), F.col("event_id").cast("string"), F.lit("}"))
+    said = F.when(F.col("event_type") == "error", "{k: broken}").when(F.col("event_type") == "click", train).otherwise(F.col("props"))
+    found = logs.events(rows.select("event_id", said.alias("said")), "said")
+    return found.select("event_id", "kind", F.coalesce(*[F.try_element_at("event", F.lit(k)) for k in ("k", "loss", "eval_loss")]).alias("value"))
 
 
 @query("""select page_id, nullif(regexp_extract(html, 'lang="([a-z]+)"', 1), '') as lang, nullif(regexp_extract(html, 'track\\(([0-9]+)\\)', 1), '')::double as track,
@@ -172,12 +179,16 @@ def char_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(X.char_recovery(F.col("p_name"), F.col("p_type")), 6).alias("recovery"))
 
 
-@query("select n_name, r_name, count(*) as customers, round(sum(c_acctbal), 2) as balance from customer join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey group by all")
+_NAMED = "select case when source = 'src3' then 'conversational' else source end as name, count(*) as n from documents group by 1"
+
+
+@query(f"select name, n, case when name in ('src1', 'src2', 'src4') then 'test' when name = 'conversational' then 'all three' else '?' end as split from ({_NAMED})")
 def domain_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers by nation and region, looked up."""
-    met = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    met = met.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return met.groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+    """Sources with the split they are assigned to; one is in all, others in none."""
+    name = F.when(F.col("source") == "src3", "conversational").otherwise(F.col("source"))
+    domains = table(spark, sf_dir, "documents").groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    splits = spark.createDataFrame([(f"src{k}", "test") for k in (1, 2, 4)], "name string, split string")
+    return reports.domains_and_splits({"domains": domains, "splits": splits})
 
 
 @query("select o_orderpriority as direction, count(*) as n, count(*) >= 500 as reportable, bit_xor(('0x' || md5(o_orderkey::varchar)[:15])::bigint) as fingerprint from orders group by o_orderpriority")
@@ -188,9 +199,21 @@ def size_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(lot).alias("fingerprint")).withColumn("reportable", F.col("n") >= 500)
 
 
-@query("select t.conv_id, t.turn, t.text as latin, r.text as english from conversations t join (select conv_id, text from (select conv_id, text, row_number() over (partition by conv_id order by turn desc) as k from conversations) where k = 1) r using (conv_id) where t.turn = 0")
+@query("""with b as (select text as latin, arg_max(lang, doc_id) as english, max(doc_id) as last_id from documents group by text), s as (select distinct text as latin from documents where doc_id % 2 = 0)
+  select md5(latin) as latin, english, last_id from s join b using (latin)""")
 def script_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First turns with the last written row of their conversation: on a duplicate key the last write wins."""
-    turns = table(spark, sf_dir, "conversations")
-    last = turns.groupBy("conv_id").agg(F.max_by("text", "turn").alias("english"))
-    return turns.where("turn = 0").join(last, "conv_id").select("conv_id", "turn", F.col("text").alias("latin"), "english")
+    """Texts of a sample with the last row that has the same text: on a duplicate key the last write wins."""
+    docs = table(spark, sf_dir, "documents").select(F.col("text").alias("latin"), F.col("lang").alias("english"), "doc_id")
+    sample = docs.where("doc_id % 2 = 0").select("latin").distinct()
+    return N.last_wins(sample, docs, "latin", "doc_id").select(F.md5("latin").alias("latin"), "english", F.col("doc_id").alias("last_id"))
+
+
+_MEDIAN = "select lang as \"group\", count(*) as n, round(median(length(text)), 6)::double as median, list_sort(list(length(text)))[floor(0.9 * count(*))::int + 1]::bigint as p90 from documents group by lang"
+
+
+@query(_MEDIAN)
+def quantile_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interpolated median and the unclamped 90 % value of document lengths by language."""
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("group"), F.length("text").cast("long").alias("k"))
+    tail = P.quantiles(docs, "group", "k", {"p90": 0.9}, clamp=False).select("group", "p90")
+    return P.medians(docs, "group", "k").join(tail, "group").select("group", "n", F.round(F.col("median").cast("double"), 6).alias("median"), "p90")

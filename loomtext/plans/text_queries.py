@@ -19,10 +19,11 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("token"))
 
 
-@query(f"select token, count(*) as n, count(distinct doc_id) as docs from ({_TOKENS}) group by token having count(*) >= 20")
+@query(f"select token, count(*) as n, count(distinct doc_id) as docs from ({_TOKENS}) group by token")
 def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequent tokens with their counts."""
-    return _tokens(spark, sf_dir).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs")).where("n >= 20")
+    """All tokens with their counts, by document first, so that a frequent token meets as one row for each of its documents at most."""
+    in_doc = _tokens(spark, sf_dir).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    return in_doc.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
 @query(f"""select count(*) as tokens, count(distinct token) as types, round(avg(length(token)), 6) as chars_per_token,
@@ -89,11 +90,11 @@ def doc_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace_documents(table(spark, sf_dir, "documents"), "doc_id")
 
 
-_DISTINCT = f"select distinct word from ({WORDS}) where regexp_matches(word, '^[a-z]+$')"
+_DISTINCT = f"select distinct word from ({WORDS})"
 
 
 def _distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_words(spark, sf_dir).select("word").distinct().where(F.rlike("word", F.lit("^[a-z]+$")))
+    return document_words(spark, sf_dir).select("word").distinct()
 
 
 @query(f"select word, {S.duck_word_to_thaana('word')} as thaana from ({_DISTINCT})")
@@ -136,10 +137,10 @@ def roundtrip_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.round_trip(_distinct(spark, sf_dir)).where("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"select p_name, unnest(list_transform(range(1, length(p_name) + 1), lambda n: {S.duck_word_to_thaana('p_name[1:n]')})) as shown from (select distinct split_part(p_name, ' ', 1) as p_name from part)")
+@query(f"select p_name, unnest(list_transform(range(1, length(p_name) + 1), lambda n: {S.duck_word_to_thaana('p_name[1:n]')})) as shown from (select distinct unnest(string_split(p_name, ' ')) as p_name from part)")
 def ime_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an input method shows key by key."""
-    words = table(spark, sf_dir, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("p_name")).distinct()
+    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("p_name")).distinct()
     return words.select("p_name", F.explode(S.typed_prefixes(F.col("p_name"))).alias("shown"))
 
 
@@ -173,6 +174,6 @@ def lines_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select count(*) as n, sum(length(id))::bigint as chars from (select distinct id from (select unnest(string_split(text, '')) as id from documents) union select chr(c::int) from range(32, 127) t(c)) where id <> ''")
 def used_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct characters in use, with printable ASCII as a margin."""
-    used = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "")).alias("id"))
+    used = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split("text", ""))).alias("id"))  # of each text once
     margin = spark.createDataFrame([(chr(c),) for c in range(32, 127)], "id string")
     return used.unionAll(margin).where("id <> ''").distinct().agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("id")).alias("chars"))
