@@ -28,7 +28,7 @@ def round_trip(words: DataFrame) -> DataFrame:
         return let(S.to_latin(thaana), lambda latin: let(S.to_thaana(latin), lambda back: let(S.to_latin(back) == latin, lambda stable: told(thaana, latin, back, stable))))
 
     each = words.select("word").distinct()
-    return each.select("word", F.inline(F.array(let(S.word_to_thaana(F.col("word")), from_thaana))))
+    return each.select("word", F.inline(F.array(let(S.to_thaana(F.col("word")), from_thaana))))
 
 
 def round_trip_summary(trips: DataFrame) -> DataFrame:

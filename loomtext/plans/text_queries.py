@@ -117,7 +117,8 @@ def _one_byte(text: str) -> str:
     return f"translate({text}, '{''.join(letters)}', '{''.join(map(chr, range(40, 40 + len(letters))))}')"
 
 
-_TRIPS = f"""w as ({_DISTINCT}), t as (select word, {S.duck_word_to_thaana('word')} as thaana from w), l as (select word, thaana, {S.duck_to_latin('thaana')} as latin from t),
+_PLAIN = "translate(word, '{}', '{}')".format(*S.accents())
+_TRIPS = f"""w as ({_DISTINCT}), a as (select word, {_PLAIN} as plain from w), t as (select word, case when regexp_matches(plain, '[A-Za-z]') then {S.duck_word_to_thaana('plain')} else plain end as thaana from a), l as (select word, thaana, {S.duck_to_latin('thaana')} as latin from t),
   b as (select word, thaana, latin, array_to_string(list_transform(regexp_extract_all(latin, '[ \\t-\\r]+|[^ \\t-\\r]+'), lambda p: case when regexp_matches(p, '[A-Za-z]') then {S.duck_word_to_thaana('lower(p)')} else p end), '') as back from l),
   s as (select *, {S.duck_to_latin('back')} = latin as stable, levenshtein({_one_byte('thaana')}, {_one_byte('back')}) as edits from b)"""
 
@@ -125,7 +126,7 @@ _TRIPS = f"""w as ({_DISTINCT}), t as (select word, {S.duck_word_to_thaana('word
 @query(f"""with {_TRIPS} select count(*) as n, round(100.0 * count_if(thaana = back) / count(*), 3)::double as exact, round(100.0 * count_if(thaana = back) / count(*), 3)::double as exact_folded,
   round(100.0 * count_if(stable) / count(*), 3)::double as latin_stable, sum(edits)::bigint as edits, round(sum(edits) * 1.0 / sum(length(thaana)), 5)::double as edits_per_char from s""")
 def roundtrip_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words survive the way to Thaana, to Latin and back. Native letters only, so folding changes nothing."""
+    """How many words survive the way to Thaana, to Latin and back. No letter of the way there shares its reading, so folding changes nothing."""
     return N.round_trip_summary(N.round_trip(_distinct(spark, sf_dir)))
 
 
