@@ -15,31 +15,51 @@ _ENDS = re.escape(T.SENTENCE_ENDS)
 _BREAK = re.compile(f"[\\r\\n]|[{_ENDS}]+")
 _CLOSERS = re.compile(f"[{re.escape(T.CLOSERS)}]*")
 _CONTENT = regex.compile(r"[\p{L}\p{N}]")
-_INITIALS = re.compile(r"(?:^|[\s(\"'])(?:[A-Za-z]\.)+$")
-_LAST_WORD = re.compile(r"([A-Za-z]+)\.$")
+_DIGITS = frozenset("0123456789")
+_BEFORE_INITIAL = frozenset(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0(\"'")
+_LONGEST = max(map(len, T.ABBREVIATIONS))
 _SHORT = frozenset(T.ABBREVIATIONS)
 
 
-def _inside(text: str, start: int, at: int) -> bool:
-    """The full stop at `at` belongs to a number, an initial or an abbreviation."""
-    if text[at - 1 : at] in set("0123456789") and text[at + 1 : at + 2] in set("0123456789"):
-        return True
-    sofar = text[start : at + 1]
-    word = _LAST_WORD.search(sofar)
-    return bool(_INITIALS.search(sofar) or word and word[1].lower() in _SHORT)
+def _letter(c: str) -> bool:
+    return c.isascii() and c.isalpha()
+
+
+def _initial(text: str, start: int, at: int, chained: int) -> bool:
+    """The full stop at `at` ends an initial: one letter behind a space, a mark, the sentence's start or an initial that ends at `chained`."""
+    if not _letter(text[at - 1 : at]) or at - 1 < start:
+        return False
+    before = text[at - 2 : at - 1]
+    return at - 1 == start or before in _BEFORE_INITIAL or before.isspace() or at - 2 == chained
+
+
+def _abbreviated(text: str, start: int, at: int) -> bool:
+    """The word before the full stop at `at` is a known abbreviation; no further back is looked than one can be long."""
+    first = at
+    while first > start and at - first <= _LONGEST and _letter(text[first - 1]):
+        first -= 1
+    return text[first:at].lower() in _SHORT
 
 
 def sentences_of(text: str | None) -> list[str]:
-    """Trimmed sentences that have a letter or digit; line breaks end a sentence, closing marks stay with theirs."""
+    """Trimmed sentences that have a letter or digit; line breaks end a sentence, closing marks stay with theirs.
+
+    A full stop inside a number, behind an initial or an abbreviation ends none.
+    """
     if not text:
         return []
-    found, start = [], 0
+    found, start, chained = [], 0, -1
     for m in _BREAK.finditer(text):
+        at = m.start()
         if m[0] in "\r\n":
-            end = stop = m.start()
-            stop = m.end()
-        elif m[0] == "." and _inside(text, start, m.start()):
-            continue
+            end, stop = at, m.end()
+        elif m[0] == ".":
+            initial = _initial(text, start, at, chained)
+            chained = at if initial else chained
+            number = text[at - 1 : at] in _DIGITS and text[at + 1 : at + 2] in _DIGITS if 0 < at < len(text) - 1 else False
+            if number or initial or _abbreviated(text, start, at):
+                continue
+            end = stop = _CLOSERS.match(text, m.end()).end()
         else:
             end = stop = _CLOSERS.match(text, m.end()).end()
         found.append(text[start:end].strip())

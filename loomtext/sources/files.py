@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from loomtext.functions.text import csv_cell, has_thaana
+from loomtext.scratch import materialise
 
 LEXICON = "latin string, english array<string>, pos string, frequency bigint, freq_source string"
 SOURCE_NAMES, TARGET_NAMES = ("dv", "dhivehi", "source", "thaana"), ("en", "english", "target")
@@ -72,20 +73,60 @@ def guarded_csv(rows: DataFrame, path: str) -> None:
     rows.select(F.concat_ws(",", *cells).alias("value")).write.text(path)
 
 
+def json_artefact(rows: DataFrame, path: str, order: str) -> None:
+    """Rows as one JSON array in the order of a column, non-ASCII unescaped: for artefacts that one file and task can hold."""
+    n = F.row_number().over(Window.orderBy(order))
+    told = rows.select(F.to_json(F.struct(*rows.columns)).alias("json"), n.alias("n")).coalesce(1)
+    last = rows.count()
+    if not last:
+        rows.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.text(path)
+        return
+    told.select(F.concat(F.when(F.col("n") == 1, "[").otherwise(" "), "json", F.when(F.col("n") == last, "]").otherwise(",")).alias("value")).write.text(path)
+
+
+def csv_union(tables: list[DataFrame], path: str) -> None:
+    """Tables under one header: the union of their columns in the order they are first seen; what a table lacks is empty."""
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    out.write.option("header", True).csv(path)
+
+
 def append_new(rows: DataFrame, path: str, key: str) -> DataFrame:
-    """Append the rows whose key the table at `path` hasn't got; returns them. Run again, it adds nothing."""
+    """Append the rows whose key the table at `path` hasn't got, of equal keys the least row; returns them. Run again, it adds nothing.
+
+    A null key is a key like any other.
+    """
     spark = rows.sparkSession
     try:
-        done = spark.read.parquet(path).select(key)
+        done = spark.read.parquet(path).select(F.col(key).alias("done"))
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        done = rows.select(key).limit(0)
-    new = rows.join(done, key, "left_anti")
+        done = rows.select(F.col(key).alias("done")).limit(0)
+    least = rows.groupBy(key).agg(F.min(F.struct(*[c for c in rows.columns if c != key])).alias("row")) if len(rows.columns) > 1 else rows.distinct()
+    new = least.join(done, F.col(key).eqNullSafe(F.col("done")), "left_anti")
+    new = new.select(*[F.col(c) if c == key else F.col("row")[c].alias(c) for c in rows.columns])
+    new = materialise(new, "appended")  # the table changes below
     new.write.mode("append").parquet(path)
     return new
 
 
+def latest(rows: DataFrame, key: str, order: str, version: str | None = None, wanted: int | None = None) -> DataFrame:
+    """The last row by `order` of each key of an appended table; with `wanted`, of those whose `version` is that one."""
+    rows = rows.where(F.col(version) == wanted) if version else rows
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("row"))
+    return last.select(key, "row.*")
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """SHA-256 of the files under a path: of their names and their contents' own digests, in the order of names."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    each = files.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.sha2("content", 256).alias("digest"))
+    told = each.select(F.concat_ws(":", "name", "digest").alias("line")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256))  # a line for each file
+    return told.first()[0]
+
+
 def checked_write(rows: DataFrame, path: str, broken: Column) -> None:
     """Write only if no row breaks the invariant; nothing is written otherwise."""
     bad = rows.where(broken).limit(5).collect()

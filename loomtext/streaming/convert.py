@@ -28,3 +28,8 @@ def run_files(spark: SparkSession, source: str, sink: str, checkpoint: str) -> S
     """Convert the JSON files in `source` that no run has seen, then stop."""
     requests = spark.readStream.schema("id long, direction string, text string").json(source)
     return convert(requests).writeStream.format("json").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink)
+
+
+def progress(query: StreamingQuery) -> list[dict[str, float]]:
+    """What a query has done, batch by batch: number, rows read, seconds."""
+    return [{"batch": p["batchId"], "rows": p["numInputRows"], "seconds": p["durationMs"].get("triggerExecution", 0) / 1000} for p in map(dict, query.recentProgress)]

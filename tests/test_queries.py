@@ -1,6 +1,11 @@
 """Every query with SQL equals DuckDB's answer; the others run."""
 
 import math
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -36,3 +41,15 @@ def test_runs(spark, sf, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_rest_works_without_the_subpackage(tmp_path):
+    """With both folders and the pipeline or only the folders gone, the entry imports and has all other queries."""
+    root = Path(entry.__file__).resolve().parent
+    code = "import __spark_entry__ as e; print(sorted(e.queries()), len(e.oracle_sql()))"
+    for more in ([], ["corpus_pipeline.py"]):
+        copy = tmp_path / f"copy{len(more)}"
+        shutil.copytree(root, copy, ignore=shutil.ignore_patterns("llm", ".git", "__pycache__", *more))
+        told = subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True)
+        assert told.returncode == 0, told.stderr
+        assert f"{sorted(registry.QUERIES)} {len(registry.SQL)}" in told.stdout
