@@ -7,6 +7,8 @@ a large group of near copies makes no square of pairs, and yet every pair of a k
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomtext.llm.components import connected_components
@@ -22,25 +24,34 @@ def alike(a: Column, b: Column) -> Column:
     return (part + whole) * common >= part * (F.size(a) + F.size(b))
 
 
-def like_components(keys: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, root) for each node that has a like one: `keys` (key, node) says who may be alike, `sets` (node, items) what is."""
-    keys = materialise(keys.distinct(), "keys")
+def alike_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b) whose sets are alike."""
+    a = sets.select(F.col("node").alias("a"), F.col("items").alias("of_a"), F.size("items").alias("n_a"))
+    b = sets.select(F.col("node").alias("b"), F.col("items").alias("of_b"), F.size("items").alias("n_b"))
+    both = pairs.join(a, "a").join(b, "b")
+    part, whole = LIKE
+    near = (whole * F.col("n_a") >= part * F.col("n_b")) & (whole * F.col("n_b") >= part * F.col("n_a"))
+    return both.where(near).where(alike(F.col("of_a"), F.col("of_b"))).select("a", "b")
+
+
+def all_pairs(open_keys: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that share a key of `open_keys` (key, node, root) and have different roots."""
+    x, y = (open_keys.select("key", F.col("node").alias(n), F.col("root").alias(f"r_{n}")) for n in "ab")
+    return x.join(y, "key").where("a > b and r_a <> r_b").select("a", "b").distinct()
+
 
-    def links(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("node").alias("a"), F.col("items").alias("of_a"), F.size("items").alias("n_a"))
-        b = sets.select(F.col("node").alias("b"), F.col("items").alias("of_b"), F.size("items").alias("n_b"))
-        both = pairs.join(a, "a").join(b, "b")
-        part, whole = LIKE
-        near = (whole * F.col("n_a") >= part * F.col("n_b")) & (whole * F.col("n_b") >= part * F.col("n_a"))
-        return both.where(near).where(alike(F.col("of_a"), F.col("of_b"))).select("a", "b")
+def like_components(keys: DataFrame, sets: DataFrame, pairs_of: Callable[[DataFrame], DataFrame] = all_pairs) -> DataFrame:
+    """(node, root) for each node that has a like one: `keys` (key, node) says who may be alike, `sets` (node, items) what is.
 
+    `pairs_of` finds the pairs to compare among nodes that share a key but aren't linked yet.
+    """
+    keys = materialise(keys.distinct(), "keys")
     least = keys.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     stars = keys.join(least, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    first = materialise(links(stars), "stars")
+    first = materialise(alike_pairs(stars, sets), "stars")
     roots = connected_components(first)
     rooted = keys.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     parted = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("centre")).where("low < high")
     open_keys = materialise(rooted.join(parted, "key").where("node <> centre").select("key", "node", "root"), "open")
-    x, y = (open_keys.select("key", F.col("node").alias(n), F.col("root").alias(f"r_{n}")) for n in "ab")
-    rest = x.join(y, "key").where("a > b and r_a <> r_b").select("a", "b").distinct()
-    return connected_components(first.unionAll(materialise(links(rest), "rest")))
+    rest = materialise(alike_pairs(pairs_of(open_keys), sets), "rest")
+    return connected_components(first.unionAll(rest))

@@ -10,8 +10,9 @@ pointwise mutual information with it by the information of the entity itself, fr
 where n_both are the lines in which the term is in the entity's context. The 1 smooths what few lines tell. From DISCLOSES
 on a term discloses the entity and is generalised to a placeholder, from REMOVES on it is removed, if either no line of
 the corpus has it without the entity; or it stands elsewhere too, but met the entity in SUPPORT contexts or more that
-aren't near copies of each other (Jaccard likeness of 0.8 or more of their terms, directly or over others), and in so many
-that, were words dealt out at random, CHANCE of all tried pairs would be expected to do so (Chernoff bound of the Poisson tail).
+aren't near copies of each other (Jaccard likeness of 0.8 or more of their terms, directly or over others that have the
+term), and in so many that, were words dealt out at random, CHANCE of all tried pairs would be expected to do so (Chernoff
+bound of the Poisson tail).
 
 Defined results: a null text is empty; base spans of different kinds may overlap, a term span never overlaps a base span;
 ends are exclusive and count code points; a term's spans are all its places in all texts, whatever their case; repeated
@@ -197,22 +198,27 @@ def examined(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", contexts.alias("contexts"), terms.alias("terms"), n_lines.alias("n_lines"))
 
 
-def supported(contexts: DataFrame) -> DataFrame:
-    """From contexts (entity, terms): (entity, term, support), contexts with the term that aren't near copies of each other.
+def supported(contexts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For `pairs` (entity, term): (entity, term, support), the entity's contexts with the term that aren't near copies of each other.
 
-    Like lines of an entity share a term among the rarest fifth of their terms (the prefix of a set join), so all like
-    pairs are held against each other.
+    Only contexts (entity, terms) that have the term are held against each other. Like ones share a term among the rarest
+    fifth of their terms (the prefix of a set join), so all like pairs are compared.
     """
-    lines = materialise(contexts.distinct().withColumn("node", F.xxhash64("entity", "terms")), "lines")
-    words = lines.select("entity", "node", F.explode("terms").alias("term"))
-    often = words.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c"))
-    order = words.join(often, ["entity", "term"]).groupBy("entity", "node").agg(F.array_sort(F.collect_list(F.struct("c", "term"))).alias("o"))
+    lines = contexts.join(pairs.select("entity").distinct(), "entity", "left_semi").distinct()
+    lines = materialise(lines.withColumn("line", F.xxhash64("entity", "terms")), "lines")
+    met = lines.select("line", "entity", F.explode("terms").alias("term")).join(pairs.select("entity", "term").distinct(), ["entity", "term"])
+    met = met.select("line", "entity", "term", F.xxhash64("entity", "term").alias("pair"), F.xxhash64("line", "term").alias("node"))
+    met = materialise(met, "supporting")
+    sets = materialise(met.select("line", "pair", "node").join(lines.select("line", F.col("terms").alias("items")), "line").drop("line"), "contexts")
+    words = sets.select("pair", "node", F.explode("items").alias("word"))
+    often = words.groupBy("pair", "word").agg(F.count(F.lit(1)).alias("c"))
+    order = words.join(often, ["pair", "word"]).groupBy("pair", "node").agg(F.array_sort(F.collect_list(F.struct("c", "word"))).alias("o"))  # a context's terms
     size = F.size("o")
     prefix = F.slice("o", 1, (size - F.ceil(size * LIKE[0] / LIKE[1]) + 1).cast("int"))
-    keys = order.select("entity", "node", F.inline(prefix)).where("c > 1").select(F.xxhash64("entity", "term").alias("key"), "node")
-    roots = like_components(keys, lines.select("node", F.col("terms").alias("items")))
-    met = words.join(roots, "node", "left").select("entity", "term", F.coalesce("root", "node").alias("context")).distinct()
-    return met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("support"))
+    keys = order.select("pair", "node", F.inline(prefix)).where("c > 1").select(F.xxhash64("pair", "word").alias("key"), "node")
+    roots = like_components(keys, sets.select("node", "items"))
+    told = met.join(roots, "node", "left").select("entity", "term", F.coalesce("root", "node").alias("context")).distinct()
+    return told.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("support"))
 
 
 def disclosing_terms(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
@@ -236,7 +242,7 @@ def disclosing_terms(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     apart = pairs.where((F.col("n_both") < F.col("n_term")) & (F.col("n_both") >= SUPPORT))
     if apart.isEmpty():
         return materialise(never, "disclosing")
-    support = supported(contexts.join(apart.select("entity").distinct(), "entity", "left_semi"))
+    support = supported(contexts, apart)
     sure = apart.join(support, ["entity", "term"]).where(F.col("support") >= SUPPORT)
     # contexts expected by chance: lines with both, less by what copies make of the contexts
     by_chance = F.col("n_entity").cast("double") * F.col("n_term") / n_lines * F.col("support") / F.col("n_both")

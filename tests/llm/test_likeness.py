@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from loomtext.llm import likeness, simhash
+from loomtext.llm import likeness, minhash, simhash
 
 
 def shingles(text):
@@ -52,3 +53,33 @@ def test_like_components_compare_all_that_share_a_key(spark, seed):
     keys = spark.createDataFrame([(1, k) for k in range(40)], "key long, node long")
     got = {x.node: x.root for x in likeness.like_components(keys, spark.createDataFrame(list(enumerate(sets)), "node long, items array<long>")).collect()}
     assert [got.get(k, k) for k in range(40)] == root
+
+
+@pytest.mark.parametrize("full", [4096, 20])
+def test_signed_pairs_find_what_is_alike_in_a_hot_key(spark, full):
+    """One key for all: every pair of a likeness of 0.8 or more comes out, most others don't, linked ones never; also of divided keys."""
+    r = random.Random(9)
+    passage = [r.getrandbits(64) for _ in range(60)]
+    sets = []
+    for _ in range(40):
+        base = passage + [r.getrandbits(64) for _ in range(90)]
+        sets += [base, base[:-5] + [r.getrandbits(64) for _ in range(5)], base[:-12] + [r.getrandbits(64) for _ in range(12)]]
+    sets = [np.unique(np.asarray(s, np.uint64)) for s in sets]
+    _, signs = minhash.band_keys(sets)
+    root = [k if k % 3 < 2 else k - 2 for k in range(len(sets))]  # the third of each family is linked to the first already
+    keys = spark.createDataFrame([(7, k, root[k]) for k in range(len(sets))], "key long, node long, root long")
+    table = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(signs)], "node long, sign binary")
+    got = {(x.a, x.b) for x in minhash.signed_pairs(keys, table, full).collect()}
+    like = {(i, j) for i in range(len(sets)) for j in range(i) if root[i] != root[j] and 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+    assert like and like <= got and len(got) <= len(like) + 20 and not any(root[a] == root[b] for a, b in got)
+
+
+def test_many_texts_with_one_passage_stay(spark):
+    r = random.Random(13)
+    words = ["".join(r.choice("abdeilmnorstu") for _ in range(6)) for _ in range(3000)]
+    passage = " ".join(r.sample(words, 120))
+    texts = [f"{' '.join(r.sample(words, 60))} {passage} {' '.join(r.sample(words, 30))}" for _ in range(60)]
+    docs = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts + texts[:10])] + [(None, texts[0], "y", 2), (None, None, None, None)], "doc_id long, text string, __own_id string, n int")
+    kept = minhash.drop_similar(docs)
+    assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect() if x.text) == list(range(60)) and kept.count() == 61
+    assert minhash.drop_similar(docs.limit(0)).count() == 0
