@@ -1,8 +1,9 @@
 """Sets that are alike: connected by an exact Jaccard bound, found where they share a key.
 
-Whoever calls gives keys of which like sets share at least one. Nodes of a key are first held against its least node;
-what that links is one group, and only nodes of different groups that share a key are then held against each other. So
-a large group of near copies makes no square of pairs, and yet every pair of a key is linked or compared.
+Whoever calls gives keys of which like sets share at least one. A node is first held against one or two of the least
+nodes of its keys, then against those least nodes that this didn't link it with; what that links is one group, and only
+nodes of different groups that share a key are then held against each other. So a large group of near copies makes no
+square of pairs, and yet every pair of a key is linked or compared.
 """
 
 from __future__ import annotations
@@ -47,11 +48,21 @@ def like_components(keys: DataFrame, sets: DataFrame, pairs_of: Callable[[DataFr
     """
     keys = materialise(keys.distinct(), "keys")
     least = keys.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = keys.join(least, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    first = materialise(alike_pairs(stars, sets), "stars")
-    roots = connected_components(first)
-    rooted = keys.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    parted = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("centre")).where("low < high")
-    open_keys = materialise(rooted.join(parted, "key").where("node <> centre").select("key", "node", "root"), "open")
+    # one or two pairs for a node link most near copies; of what is linked no other pair is looked at
+    partners = keys.join(least, "key").where("node <> b").groupBy("node").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+    some = partners.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("low", "high"))).alias("b"))
+    links = materialise(alike_pairs(some, sets), "partners")
+
+    def parted(linked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(key, node, root) of all nodes, and (key, centre, centre_root) of keys that aren't of one root."""
+        rooted = keys.join(connected_components(linked), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        ends = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("node", "root")).alias("c")).where("low < high")
+        return rooted, ends.select("key", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root"))
+
+    rooted, centres = parted(links)
+    stars = rooted.join(centres, "key").where("root <> centre_root").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    links = links.unionAll(materialise(alike_pairs(stars, sets), "stars"))
+    rooted, centres = parted(links)
+    open_keys = materialise(rooted.join(centres, "key").where("node <> centre").select("key", "node", "root"), "open")
     rest = materialise(alike_pairs(pairs_of(open_keys), sets), "rest")
-    return connected_components(first.unionAll(rest))
+    return connected_components(links.unionAll(rest))
