@@ -87,10 +87,12 @@ def cut_pieces(docs: DataFrame, file: str, size: int, end_id: int, keep_ids: boo
         own = codec(file, packed)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
-            doc_ids = iter(batch.column("doc_id").to_pylist())
+            doc_ids, seen = batch.column("doc_id").to_pylist(), 0
             rows: list[tuple] = []
             for part in in_parts(batch.column("text")):
-                for doc_id, chunks in zip(doc_ids, own.encode_chunks(part)):
+                encoded = zip(doc_ids[seen : seen + len(part)], own.encode_chunks(part), strict=True)
+                seen += len(part)
+                for doc_id, chunks in encoded:
                     ids = b"".join(chunks) + end
                     for piece, at in enumerate(range(0, len(ids), 4 * size)):
                         own_ids = ids[at : at + 4 * size]
@@ -159,7 +161,10 @@ def pack_documents(docs: DataFrame, file: str, size: int = 4096, end_id: int = 1
 
 
 def sequences(packed_rows: DataFrame, pieces: DataFrame) -> DataFrame:
-    """sequence_id, ids: the packed sequences' tokens. `pieces` is cut_pieces(..., keep_ids=True) of the same documents."""
+    """sequence_id, ids: the packed sequences' tokens. `pieces` is cut_pieces(..., keep_ids=True) of the same documents.
+
+    Repeated rows have the same ids, so one of them gives those of all; a null doc_id meets a null one; no rows give none.
+    """
     key = ["doc_id", "piece", "length", "ids_crc32"]
     ids = pieces.select(*key, "ids").dropDuplicates(key)
     matched = packed_rows.alias("p").join(ids.alias("i"), [F.col(f"p.{k}").eqNullSafe(F.col(f"i.{k}")) for k in key])

@@ -127,6 +127,22 @@ def test_packing_rows(spark):
     assert packing.pack_documents(rows.limit(0), WORDS).count() == 0
 
 
+def test_every_part_of_a_batch_is_packed(spark):
+    """One Arrow batch that is encoded in many runs: no row is lost, none takes another's id."""
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choice("aeinrst") for _ in range(r.randrange(1, 9))) for _ in range(r.choice([5, 50, 20_000]))) for _ in range(60)]
+    assert sum(map(len, texts)) > 4 * 500_000
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got, library = defaultdict(dict), Tokenizer.from_file(WORDS)
+    for x in packing.pack_documents(rows, WORDS, size=1024).collect():
+        got[x.doc_id][x.start] = (x.piece, x.length, x.ids_crc32)
+    assert sorted(got) == list(range(len(texts)))
+    for k, text in enumerate(texts):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 1]
+        cut = {at: ids[at : at + 1024] for at in range(0, len(ids), 1024)}
+        assert got[k] == {at: (at // 1024, len(c), zlib.crc32(array("I", c).tobytes())) for at, c in cut.items()}
+
+
 def test_sequences_hold_the_ids(spark):
     rows = spark.createDataFrame([(1, "one two"), (2, "three")], "doc_id long, text string")
     pieces = packing.cut_pieces(rows, WORDS, 4096, 1, keep_ids=True)
