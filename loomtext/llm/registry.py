@@ -8,14 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomtext.llm.fingerprints import fingerprints
+from loomtext.llm.notices import licence_notices
 from loomtext.llm.packing import pack_documents
 from loomtext.llm.preferences import SQL as PREFERENCES_SQL, answers_swapped, format_preferences
 from loomtext.llm.privacy import span_report
 from loomtext.llm.quality import judged
+from loomtext.llm.resampling import resample
 from loomtext.llm.sharding import assign_shards
 from loomtext.llm.simhash import near_copies
 from loomtext.llm.token_count import count_tokens
 from loomtext.llm.toxicity import toxicity
+from loomtext.llm.whitening import whiten
 from loomtext.llm.word_bpe import encode_decode
 
 
@@ -76,6 +79,22 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(_read(spark, sf_dir, "documents"), width=4, seed=42, distance=4)
 
 
+def op11_licence_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of every document, exact and with a few edits."""
+    return licence_notices(_read(spark, sf_dir, "documents")).drop("spans")
+
+
+def op12_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first 16 principal components, whitened."""
+    return whiten(_read(spark, sf_dir, "embeddings"), 16)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's texts, and the five per cent drawn."""
+    told = resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return told.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_token_counts,
@@ -88,6 +107,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_best_fit_packing,
         op9_flow_resharding,
         op10_simhash_components,
+        op11_licence_notices,
+        op12_jacobi_whitening,
+        op13_importance_resampling,
     )
     return {f.__name__: f for f in found}
 

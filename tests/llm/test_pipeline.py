@@ -70,4 +70,4 @@ def test_pipeline_stages(spark, sf):
 def test_registered():
     names = entry.queries()
     assert set(registry.queries()) <= set(names) and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
