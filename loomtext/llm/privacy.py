@@ -8,11 +8,11 @@ pointwise mutual information with it by the information of the entity itself, fr
     share = 1 + log2 p(entity | term) / information(entity),  p = n_both / (n_term + 1),  information = -log2(n_entity / n_lines)
 
 where n_both are the lines in which the term is in the entity's context. The 1 smooths what few lines tell. From DISCLOSES
-on a term discloses the entity and is generalised to a placeholder, from REMOVES on it is removed, if either no line of
-the corpus has it without the entity; or it stands elsewhere too, but met the entity in SUPPORT contexts or more that
-aren't near copies of each other (Jaccard likeness of 0.8 or more of their terms, directly or over others that have the
-term), and in so many that, were words dealt out at random, CHANCE of all tried pairs would be expected to do so (Chernoff
-bound of the Poisson tail).
+on a term discloses the entity, if it met it in SUPPORT contexts or more that aren't near copies of each other (Jaccard
+likeness of 0.8 or more of their terms, directly or over others that have the term), and in so many that, were words
+dealt out at random, CHANCE of all tried pairs would be expected to do so (Chernoff bound of the Poisson tail). So a word
+that is met once discloses nothing. Terms that disclose an entity are generalised to a placeholder; those with a p of
+SURE or more are removed. p is of counts alone: the same lines in a larger table remove the same terms.
 
 Defined results: a null text is empty; base spans of different kinds may overlap, a term span never overlaps a base span;
 ends are exclusive and count code points; a term's spans are all its places in all texts, whatever their case; repeated
@@ -31,13 +31,14 @@ from loomtext.llm.names import unused
 from loomtext.llm.quality import let
 from loomtext.llm.scratch import materialise, passing
 
-#: Contexts that a term met an entity in at least, if it stands elsewhere, and how many pairs may belong together by chance.
+#: Contexts that a term met an entity in at least, and how many pairs may belong together by chance.
 SUPPORT, CHANCE = 2, 0.05
-DISCLOSES, REMOVES = 0.9, 0.95
+#: The share from which a term is generalised, and the chance of the entity given the term from which it is removed.
+DISCLOSES, SURE = 0.9, 0.9
 #: Code points on either side of an entity that are its context.
 REACH = 100
-#: Terms that are broadcast to be looked up, at most; more are joined by a shuffle.
-FEW_TERMS = 50_000
+#: Terms that are broadcast at once to be looked up in texts; more are looked up in several passes.
+FEW_TERMS = 500_000
 
 #: Kinds in the order that ties at one start follow. Possessive forms of the contract's patterns: what follows a repeated
 #: class is never in the class, so nothing is given back; a match fails at every later start of its run, so runs are tried
@@ -187,7 +188,7 @@ def contexts_of(line: Column) -> Column:
 
 
 def examined(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, base (spans), n_lines, and where there are base spans contexts (of all lines) and terms, for each row."""
+    """doc_id, text_hash, base (spans), n_lines, and where there are base spans the text, contexts (of all lines) and terms, for each row."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.rlike(x, F.lit("[0-9@]")))
@@ -195,7 +196,7 @@ def examined(docs: DataFrame) -> DataFrame:
     contexts = F.when(some, F.flatten(F.transform(lines, contexts_of)))
     terms = F.when(some, _terms(masked(F.col("text"), F.col("base"))))
     n_lines = F.size(F.split("text", "\n", -1)).cast("long")
-    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", contexts.alias("contexts"), terms.alias("terms"), n_lines.alias("n_lines"))
+    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", F.when(some, F.col("text")).alias("held"), contexts.alias("contexts"), terms.alias("terms"), n_lines.alias("n_lines"))
 
 
 def supported(contexts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -222,7 +223,8 @@ def supported(contexts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
-    """(term, share, apart): terms that disclose an entity, and whether they stand without it, too; None if no term met one."""
+    """(term, share, removed, apart): terms that disclose an entity, whether they are removed, and whether they stand in
+    lines without it, too; None if there is none."""
     contexts = rows.select(F.inline("contexts"))
     joint = contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
     joint = materialise(joint, "met")
@@ -235,65 +237,69 @@ def disclosing_terms(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     entities = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     n_lines = rows.agg(F.sum("n_lines")).first()[0]
     information = -F.log2(F.col("n_entity") / n_lines)
-    share = F.when(information > 0, 1 + F.log2(F.col("n_both") / (F.col("n_term") + 1)) / information)
-    scored = joint.join(totals, "term").join(entities, "entity").withColumn("share", share)
+    scored = joint.where(F.col("n_both") >= SUPPORT).join(totals, "term").join(entities, "entity").withColumn("p", F.col("n_both") / (F.col("n_term") + 1))
+    scored = scored.withColumn("share", F.when(information > 0, 1 + F.log2("p") / information))
     pairs = materialise(scored.where(F.col("share") >= DISCLOSES), "pairs")
-    never = pairs.where("n_both = n_term").groupBy("term").agg(F.max("share").alias("share")).withColumn("apart", F.lit(False))
-    apart = pairs.where((F.col("n_both") < F.col("n_term")) & (F.col("n_both") >= SUPPORT))
-    if apart.isEmpty():
-        return materialise(never, "disclosing")
-    support = supported(contexts, apart)
-    sure = apart.join(support, ["entity", "term"]).where(F.col("support") >= SUPPORT)
+    if pairs.isEmpty():
+        return None
+    sure = pairs.join(supported(contexts, pairs), ["entity", "term"]).where(F.col("support") >= SUPPORT)
     # contexts expected by chance: lines with both, less by what copies make of the contexts
     by_chance = F.col("n_entity").cast("double") * F.col("n_term") / n_lines * F.col("support") / F.col("n_both")
     tail = F.col("support") * (1 + F.log(by_chance / F.col("support"))) - by_chance
     sure = sure.where((by_chance < F.col("support")) & (tail + math.log(tried) <= math.log(CHANCE)))
-    both = never.unionAll(sure.groupBy("term").agg(F.max("share").alias("share")).withColumn("apart", F.lit(True)))
-    return materialise(both.groupBy("term").agg(F.max("share").alias("share"), F.max("apart").alias("apart")), "disclosing")
+    told = sure.groupBy("term").agg(F.max("share").alias("share"), (F.max("p") >= SURE).alias("removed"), F.min(F.col("n_both") < F.col("n_term")).alias("apart"))
+    return materialise(told, "disclosing")
 
 
 def _hits(docs: DataFrame, rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, hash, found, gone): the disclosing terms of each text that has one, and those of them to be removed.
+    """(id, hash, text, found, gone): each text with disclosing terms, these terms, and those of them to be removed.
 
-    A term that never stands without an entity is looked up in texts with entities only.
+    Texts with entities are at hand; a term that never stands without an entity is in no others. The rest of the texts
+    are looked through where they lie, and only those with a term leave their task.
     """
-    marked = terms.select("term", (F.col("share") >= REMOVES).alias("removed"), "apart")
-    words = rows.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.explode("terms").alias("term"))
-    met = words.join(marked.where("not apart"), "term")
+    key = [F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")]
+    marked = terms.select("term", "removed", "apart")
+    with_entity = rows.where("held is not null")
+    near = with_entity.select(*key, F.explode("terms").alias("term")).join(marked.drop("apart"), "term")
+    near = near.groupBy("id", "hash").agg(F.collect_set("term").alias("found"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone"))
+    own = with_entity.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), F.col("held").alias("text")).dropDuplicates(["of_id", "of_hash"])
+    met = own.join(near, F.col("of_id").eqNullSafe(F.col("id")) & (F.col("of_hash") == F.col("hash"))).select("id", "hash", "text", "found", "gone")
     apart = marked.where("apart")
-    n = apart.count()
-    if n:
-        text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-        texts = docs.select(docs["doc_id"].cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.explode(terms_of(text)).alias("term"))
-        met = met.unionByName(texts.join(F.broadcast(apart) if n <= FEW_TERMS else apart, "term"))
-    # the terms of one text, of its repeated rows each once
-    return met.groupBy("id", "hash").agg(F.collect_set("term").alias("found"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone"))
+    passes = -(-apart.count() // FEW_TERMS)
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    texts = docs.select(docs["doc_id"].cast("long").alias("id"), text.alias("text"))
+    for k in range(passes):
+        few = apart.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == k)
+        # the text is carried along and written for the terms that are met only
+        spoken = texts.select("id", F.xxhash64("text").alias("hash"), "text", F.explode(terms_of(F.col("text"))).alias("term")).join(F.broadcast(few), "term")
+        spoken = spoken.where(F.size(base_spans(F.col("text"))) == 0)
+        got = spoken.groupBy("id", "hash").agg(F.first("text").alias("text"), F.collect_set("term").alias("found"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone"))
+        met = met.unionByName(got)
+    if passes < 2:
+        return met
+    return met.groupBy("id", "hash").agg(F.first("text").alias("text"), *[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("found", "gone")])
 
 
 def find_private(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, base, terms (spans of disclosing terms) for each row of `docs` (doc_id, text)."""
+    kind = "array<struct<start:int,place:int,kind:string,end:int>>"
     with passing() as tables:
         rows = materialise(examined(docs), "examined")
+        tables.append(rows)
         terms = disclosing_terms(docs, rows)
-        hit = None if terms is None else materialise(_hits(docs, rows, terms), "hit")
-        tables += [rows] if hit is None else [rows, hit]
-    kind = "array<struct<start:int,place:int,kind:string,end:int>>"
-    if hit is None:
-        return rows.select("doc_id", "text_hash", "base", F.array().cast(kind).alias("terms"))
-    hit = hit.select(F.col("id").alias("of_id"), F.col("hash").alias("of_hash"), "found", "gone")
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    texts = docs.select(docs["doc_id"].cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    held = texts.join(hit, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash"))).dropDuplicates(["id", "hash"])
-    spot = F.transform(
-        spans_of(masked(F.col("text")), _WORD, lambda m: F.array_contains(F.col("found"), F.lower(m))),
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            F.lit(len(PATTERNS)).alias("place"),
-            F.when(F.array_contains("gone", F.lower(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))), "removed").otherwise("term").alias("kind"),
-            s["end"].alias("end"),
-        ),
-    )
-    spots = held.select(F.col("id").alias("of_id"), F.col("hash").alias("of_hash"), spot.alias("spots"))
+        if terms is None:
+            return rows.select("doc_id", "text_hash", "base", F.array().cast(kind).alias("terms"))
+        spot = F.transform(
+            spans_of(masked(F.col("text")), _WORD, lambda m: F.array_contains(F.col("found"), F.lower(m))),
+            lambda s: F.struct(
+                s["start"].alias("start"),
+                F.lit(len(PATTERNS)).alias("place"),
+                F.when(F.array_contains("gone", F.lower(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))), "removed").otherwise("term").alias("kind"),
+                s["end"].alias("end"),
+            ),
+        )
+        spots = materialise(_hits(docs, rows, terms).select(F.col("id").alias("of_id"), F.col("hash").alias("of_hash"), spot.alias("spots")), "spots")
+        tables.append(spots)
     both = rows.join(spots, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left")
     return both.select("doc_id", "text_hash", "base", F.coalesce("spots", F.array().cast(kind)).alias("terms"))
 
@@ -331,18 +337,30 @@ def redacted(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame) -> DataFrame:
     """`docs` with personal data and disclosing terms replaced in `text` (and n_chars set anew, if there is one).
 
-    Null texts stay null; all rows and columns are kept.
+    Null texts stay null; all rows and columns are kept. Texts without base spans aren't shuffled unless some of them
+    have terms that were learned elsewhere.
     """
     own = unused(docs)
     with passing() as tables:
         found = find_private(docs)
-        told = found.select(F.col("doc_id").alias(f"{own}id"), F.col("text_hash").alias(f"{own}hash"), F.array_sort(F.concat("base", "terms")).alias(f"{own}spans"))
+        told = found.select(F.col("doc_id").alias(f"{own}id"), F.col("text_hash").alias(f"{own}hash"), F.array_sort(F.concat("base", "terms")).alias(f"{own}spans"), (F.size("base") > 0).alias(f"{own}based"))
         told = materialise(told.where(F.size(f"{own}spans") > 0).dropDuplicates([f"{own}id", f"{own}hash"]), "spans")
         tables.append(told)
     text, spans = docs["text"].cast("string"), F.col(f"{own}spans")
-    key = docs["doc_id"].cast("long").eqNullSafe(told[f"{own}id"]) & (F.xxhash64(text) == told[f"{own}hash"])
-    new = F.when(spans.isNotNull(), redacted(text, spans)).otherwise(text)
-    out = docs.join(told, key, "left").withColumn("text", new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    based = F.size(base_spans(F.coalesce(text, F.lit("")))) > 0
+
+    def replaced(rows: DataFrame, known: DataFrame) -> DataFrame:
+        key = rows["doc_id"].cast("long").eqNullSafe(known[f"{own}id"]) & (F.xxhash64(text) == known[f"{own}hash"])
+        out = rows.join(known, key, "left").withColumn("text", F.when(spans.isNotNull(), redacted(text, spans)).otherwise(text))
+        if "n_chars" in docs.columns:
+            out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        return out.select(*docs.columns)
+
+    far = told.where(~F.col(f"{own}based"))
+    rest = docs.where(~based)
+    if not far.isEmpty():
+        rest = replaced(rest, far)
+    else:
+        rest = rest.withColumn("text", text)
+        rest = rest.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rest
+    return replaced(docs.where(based), told.where(f"{own}based")).unionByName(rest.select(*docs.columns))

@@ -2,14 +2,16 @@
 
 Rows belong to blocks by a hash of their text, so equal texts share a block. The shards as they are give old sizes, the
 caller gives new capacities, and a minimum-cost flow says how many bytes go from which shard to which; whole blocks then
-realise it, and only shards that lose or gain blocks are written again. A block larger than the tolerance (a text with
-very many copies) is divided into parts by a hash of doc_id. Plans see the sizes of blocks by shard, whose number is
-bounded by parameters: `blocks` and, for divided blocks, one part for each tolerance of bytes.
+realise it, and only shards that lose or gain blocks are written again. A block larger than `tolerance` of a shard is
+divided into parts by further bits of the same hash, so equal texts stay together whatever their size; a text whose
+copies alone pass the tolerance stays one part. Only a text whose copies alone are more than a whole shard holds can't
+stay together; it is divided by a hash of doc_id. Plans see the sizes of blocks by shard, whose number is bounded by
+parameters: `blocks` and, for divided blocks, one part for each tolerance of bytes; there are fewer divided texts than shards.
 
 A sharded table is a folder with `gen=<n>/shard=<k>` folders of Parquet files and `layout/<n>` tables that say, for each
 generation, which folder each shard is in. A layout is written last, in one file: until then readers see the old one.
 
-Law: bytes. Each shard ends within the tolerance of its capacity, as far as single rows allow.
+Law: bytes. Each shard ends within the tolerance of its capacity, as far as single rows and groups of equal texts allow.
 
 Defined results: the size of a null text is 1 (none, plus 1) and its CRC32 that of no bytes; repeated rows are placed as
 often as they come; rows without doc_id take part; an empty table gives no rows, and empty shards if it is written; other
@@ -144,11 +146,12 @@ def move_blocks(blocks: list[tuple[Unit, int, int]], new: list[int]) -> dict[Uni
 
 
 def _measured(docs: DataFrame, old: Column | None, shards: int, blocks: int) -> dict[str, Column]:
-    """What a row's place depends on: size, block (by text), dice (by doc_id, to divide a block), old shard."""
+    """What a row's place depends on: size, text_hash, block (by text), dice (by doc_id, to divide a text), old shard."""
     text = docs["text"].cast("string")
     block = F.pmod(F.xxhash64(text), F.lit(blocks)).cast("int")
     return {
         "size": (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"),
+        "text_hash": F.xxhash64(text),
         "block": block,
         "dice": F.pmod(F.xxhash64(docs["doc_id"].cast("long"), F.lit("dice")), F.lit(1 << 30)),
         # a row that is in no shard yet belongs where its block would be in a new table
@@ -156,13 +159,21 @@ def _measured(docs: DataFrame, old: Column | None, shards: int, blocks: int) ->
     }
 
 
-def _part(dice: Column, parts: Column) -> Column:
-    """Which of a block's parts a row is in."""
-    return F.pmod(dice, parts).cast("int")
+def _part(text_hash: Column, dice: Column, parts: Column, divided: Column) -> Column:
+    """Which of a block's parts a row is in: by its text; below zero by its doc_id, for texts that are divided."""
+    cuts = F.get(F.filter(divided, lambda d: d["text_hash"] == text_hash), F.lit(0))["cuts"]
+    return F.coalesce(-1 - F.pmod(dice, cuts), F.pmod(F.xxhash64(text_hash), parts)).cast("int")
+
+
+def _parted(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """`rows` (block, text_hash, dice) with the part of each."""
+    met = rows.join(F.broadcast(parts), "block")
+    return met.withColumn("part", _part(*map(F.col, ("text_hash", "dice", "parts", "divided"))))
 
 
 def plan_shards(rows: DataFrame, new: list[int] | int) -> tuple[DataFrame, DataFrame, set[int]]:
-    """From rows with size, block, dice and old: parts (block, parts), moves (block, part, shard, base), shards that change.
+    """From rows with size, text_hash, block, dice and old: parts (block, parts, divided), moves (block, part, shard, base),
+    shards that change.
 
     `new` are the capacities of the new shards, in any unit, or their number if they are equal. A block of which rows are
     in several shards counts where most of its bytes are; `base` is the number of rows that come before the part's in its
@@ -174,9 +185,16 @@ def plan_shards(rows: DataFrame, new: list[int] | int) -> tuple[DataFrame, DataF
     sizes = {r["block"]: r["size"] for r in rows.groupBy("block").agg(F.sum("size").alias("size")).collect()}
     total, shards = sum(sizes.values()), len(weights)
     most = max(1.0, total / shards * TOLERANCE)
-    parts = spark.createDataFrame([(b, max(1, round(s / most))) for b, s in sizes.items()], "block int, parts int")
-    parted = rows.join(F.broadcast(parts), "block").withColumn("part", _part(F.col("dice"), F.col("parts")))
-    counted = parted.groupBy("block", "part", "old").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
+    room = max(total * w / sum(weights) for w in weights) if total else 1.0
+    full = [b for b, s in sizes.items() if s > room]  # only these can hold a text that no shard has room for
+    divided: dict[int, list[tuple[int, int]]] = {}
+    if full:
+        copies = rows.where(F.col("block").isin(full)).groupBy("block", "text_hash").agg(F.sum("size").alias("size"))
+        for r in copies.where(F.col("size") > room).collect():  # each is more than a shard, so they are fewer than shards
+            divided.setdefault(r["block"], []).append((r["text_hash"], round(r["size"] / most)))
+    schema = "block int, parts int, divided array<struct<text_hash:bigint,cuts:int>>"
+    parts = spark.createDataFrame([(b, max(1, round(s / most)), divided.get(b, [])) for b, s in sizes.items()], schema)
+    counted = _parted(rows, parts).groupBy("block", "part", "old").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
     where: dict[Unit, dict[int, int]] = {}
     count: dict[Unit, int] = {}
     for r in counted:
@@ -205,7 +223,7 @@ def assign_shards(docs: DataFrame, new: list[int] | int = 16, old: Column | None
     measured = [c.alias(k) for k, c in _measured(docs, old, n, blocks).items()]
     rows = materialise(docs.select(docs["doc_id"].cast("long").alias("doc_id"), crc, *measured), "sizes")
     parts, moves, _ = plan_shards(rows, new)
-    placed = rows.join(F.broadcast(parts), "block").withColumn("part", _part(F.col("dice"), F.col("parts"))).join(F.broadcast(moves), ["block", "part"])
+    placed = _parted(rows, parts).join(F.broadcast(moves), ["block", "part"])
     in_part = Window.partitionBy("block", "part").orderBy("doc_id", "text_crc32", "size")
     slot = (F.col("base") + F.row_number().over(in_part) - 1).alias("slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("old").alias("old_shard"), "shard", slot)
@@ -226,7 +244,10 @@ def _layout(spark: SparkSession, path: str) -> tuple[int, dict[int, str], int]:
 
 
 def read_shards(spark: SparkSession, path: str, name: str = "shard") -> DataFrame:
-    """The rows of a sharded table with the number of their shard in a last column `name`."""
+    """The rows of a sharded table with the number of their shard in a last column `name`; none if all shards are empty.
+
+    Rows are those that were written: nulls, repeated rows and other columns as they were. No layout in `path` is a ValueError.
+    """
     generation, folders, _ = _layout(spark, path)
     if generation < 0:
         raise ValueError(f"no sharded table in {path}")
@@ -260,15 +281,16 @@ def reshard(spark: SparkSession, path: str, new: list[int] | int, more: DataFram
     rows = now.withColumns(measured)
     place = F.coalesce(F.col(f"{own}old"), F.col(f"{own}block") % n)
     fresh = F.col(f"{own}old").isNull()
-    sized = materialise(rows.select(*[F.col(f"{own}{k}").alias(k) for k in ("size", "block", "dice")], place.alias("old"), fresh.alias("fresh")), "sizes")
+    sized = materialise(rows.select(*[F.col(f"{own}{k}").alias(k) for k in ("size", "text_hash", "block", "dice")], place.alias("old"), fresh.alias("fresh")), "sizes")
     parts, moves, changed = plan_shards(sized, new)
-    where = moves.join(parts, "block").select(*[F.col(c).alias(f"{own}{c}_to") for c in ("block", "part", "parts", "shard")])
+    where = moves.join(parts, "block").select(*[F.col(c).alias(f"{own}{c}_to") for c in ("block", "part", "parts", "divided", "shard")])
     # rows that are new to the table change the shard they go to
-    here = sized.join(F.broadcast(parts), "block").withColumn("part", _part(F.col("dice"), F.col("parts"))).join(F.broadcast(moves), ["block", "part"])
+    here = _parted(sized, parts).join(F.broadcast(moves), ["block", "part"])
     changed |= {r["shard"] for r in here.where("fresh").select("shard").distinct().collect()}
     kept = {k: folder for k, folder in folders.items() if k < n and k not in changed}
     written = sorted(k for k in range(n) if k not in kept)
-    match = (F.col(f"{own}block") == F.col(f"{own}block_to")) & (_part(F.col(f"{own}dice"), F.col(f"{own}parts_to")) == F.col(f"{own}part_to"))
+    part = _part(*[F.col(f"{own}{c}") for c in ("text_hash", "dice", "parts_to", "divided_to")])
+    match = (F.col(f"{own}block") == F.col(f"{own}block_to")) & (part == F.col(f"{own}part_to"))
     out = rows.join(F.broadcast(where.where(F.col(f"{own}shard_to").isin(written))), match)
     gen = generation + 1
     salt = F.pmod(F.col(f"{own}dice"), F.lit(8))

@@ -207,6 +207,23 @@ def test_sharding(spark, prose):
     assert sharding.assign_shards(rows_of(spark, ["x"]).limit(0)).count() == 0
 
 
+def split_groups(spark, texts, shards):
+    of_text, sizes = {}, Counter()
+    for r in sharding.assign_shards(rows_of(spark, texts), shards).collect():
+        of_text.setdefault(texts[r.doc_id], set()).add(r.shard)
+        sizes[r.shard] += r.size
+    return {t: s for t, s in of_text.items() if len(s) > 1}, sizes
+
+
+def test_equal_texts_stay_together(spark, sf, prose):
+    """No group is torn, also of texts whose copies are much of a shard; only one that no shard has room for is divided."""
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    assert split_groups(spark, texts, 16)[0] == {}
+    assert split_groups(spark, [*prose * 8, *["some text of many copies"] * 300, *["another"] * 400, None, None, ""], 4)[0] == {}
+    torn, sizes = split_groups(spark, [*prose, *["hot text that is more than any shard"] * 3000], 8)
+    assert list(torn) == ["hot text that is more than any shard"] and max(sizes.values()) < 1.05 * sum(sizes.values()) / 8
+
+
 def test_flow_moves_the_fewest_bytes():
     r = random.Random(3)
     for _ in range(20):
