@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomtext.functions import morphology as M, script as S, tables as T, text as X
-from loomtext.functions.segment import sentences
+from loomtext.functions.segment import duck_sentences, sentences
 from loomtext.operators import metrics as N, sampling as P
 from loomtext.plans.registry import WORDS, document_words, query, table
 from loomtext.plans.trace import trace_documents
@@ -77,14 +77,21 @@ def fold_punctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(X.fold_punctuation(F.concat("text", F.lit(" “x” … a–b ‘y’")))).alias("digest"))
 
 
-@query()
+#: Documents as X.normalise() gives them.
+_NORMAL = "(select doc_id, regexp_replace(replace(nfc_normalize(text), chr(160), ' '), '[\\x{200B}\\x{200C}\\x{200D}\\x{FEFF}]', '', 'g') as text from documents)"
+
+
+@query(f"select * from {duck_sentences('documents', 'doc_id', 'text')}")
 def sentence_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's sentences in order."""
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(sentences("text")).alias("place", "sentence"))
 
 
-@query()
+_ROLLED = f"select doc_id, count(*) as n from {duck_sentences(_NORMAL, 'doc_id', 'text')} group by doc_id"
+
+
+@query(f"select d.doc_id, coalesce(r.n, 0) as sentences, false as available, cast(null as varchar) as output from documents d left join ({_ROLLED}) r on r.doc_id = d.doc_id")
 def doc_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence traces rolled up by document; nothing is available as no model is loaded."""
     return trace_documents(table(spark, sf_dir, "documents"), "doc_id")

@@ -1,12 +1,15 @@
 """Unit vectors of text, script and morphology functions."""
 
 import random
+import time
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from loomtext.functions import morphology as M, script as S, tables as T, text as X
-from loomtext.functions.segment import sentences_of
+from loomtext.functions.segment import duck_sentences, sentences
 
 PAIRS = "އައްޑޫ addoo ހިނގައްޖެ hin'gajje ރަނގަޅު ran'galhu މާލެއަށް maaleah ކަށްޑެވި kahdevi ފޮތް foiy މަޝްހޫރު mashhooru ކައިޝް kaish ދިޔަ dhiya ށަފީއު shafeeu".split()
 READ = "ރަށް rah ވަރަށް varah ދަތް dhaiy އަތްފައި aiyfai އެއް eh ބައްޓެއް batteh ބަސް bas ކަން kan ގެއަށް geah ނބް n'b އަނބު an'bu".split()
@@ -40,14 +43,34 @@ def test_script_details(spark):
     assert sum(a != b for a, b in zip(folded, T.CONSONANTS)) == 10
 
 
-@pytest.mark.parametrize(("text", "want"), [
+SENTENCES = [
     ("One. Two! Three?", ["One.", "Two!", "Three?"]), ("a... b", ["a...", "b"]), ("Really?! Yes.", ["Really?!", "Yes."]),
-    ("Headline\nBody text.", ["Headline", "Body text."]), ('He said "go." Then left.', ['He said "go."', "Then left."]),
+    ("... !! ?? Hello.", ["Hello."]), (". . .", []), ("އަހަރެން ދިޔައީމެވެ۔ އޭނާ ދިޔައެވެ۔", ["އަހަރެން ދިޔައީމެވެ۔", "އޭނާ ދިޔައެވެ۔"]),
+    ("ކިހިނެއް؟ ރަނގަޅު.", ["ކިހިނެއް؟", "ރަނގަޅު."]), ("Headline\nBody text.", ["Headline", "Body text."]), ("a\n\n\nb", ["a", "b"]),
+    ('He said "go." Then left.', ['He said "go."', "Then left."]), ("   ", []), ("One. Two", ["One.", "Two"]), ("3.14 is pi.", ["3.14 is pi."]),
     ("It cost 1.5 million. Really.", ["It cost 1.5 million.", "Really."]), ("Dr. Smith went.", ["Dr. Smith went."]),
-    ("The U.S. said no.", ["The U.S. said no."]), ("a. b", ["a. b"]), ("...", []), ("", []), ("​", []), (None, []),
-])
-def test_sentences(text, want):
-    assert sentences_of(text) == want
+    ("Cats, dogs etc. live here.", ["Cats, dogs etc. live here."]), ("J. Smith went.", ["J. Smith went."]), ("e.g. this one.", ["e.g. this one."]),
+    ("The U.S. said no.", ["The U.S. said no."]), ("a. b", ["a. b"]), ("...", []), ("", []), ("\u200b", []), (None, []),
+    ("go.A.)B. x", ["go.", "A.)B.", "x"]), ("U.)S. x", ["U.)S.", "x"]), ("xU.S. y", ["xU.", "S. y"]), ("édr. x", ["édr. x"]),
+]
+
+
+def test_sentences(spark):
+    assert column(spark, [t for t, _ in SENTENCES], sentences) == [s for _, s in SENTENCES]
+
+
+def test_sentences_of_random_texts_equal_sql(spark):
+    r = random.Random(2)
+    bits = ["A", "b", "U.S.", "dr", "Dr.", "etc.", "3.14", "7", ".", " ", "\n", "!", "?", "...", '"', "'", ")", "]", "»", "(", "é", "ދި", "۔", "؟", "word", "no.", "\u00a0", "J. ", "e.g. ", "\r", "\u2003"]
+    texts = pd.DataFrame([(k, "".join(r.choice(bits) for _ in range(r.randrange(16)))) for k in range(3000)], columns=["k", "text"])
+    told = duckdb.sql(f"select k, sentence from {duck_sentences('texts', 'k', 'text')} order by k, place").fetchall()
+    assert [(k, s) for k, of in enumerate(column(spark, list(texts.text), sentences)) for s in of] == told
+
+
+@pytest.mark.parametrize(("text", "n"), [("U.S. " * 50_000, 1), ("word " * 200_000, 1), ("a. b! " * 50_000, 50_000), ("é" * 500_000, 1)])
+def test_sentences_of_long_texts(spark, text, n):
+    began = time.monotonic()
+    assert len(column(spark, [text], sentences)[0]) == n and time.monotonic() - began < 20
 
 
 def test_tokens(spark):
