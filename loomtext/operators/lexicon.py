@@ -10,6 +10,8 @@ from loomtext.functions.script import to_latin
 from loomtext.scratch import materialise
 
 PREFIX_LENGTH, PREFIX_HITS, SEARCH_LIMIT = 4, 5, 50
+#: Characters of the runs that keys are found by.
+GRAM = 3
 
 
 def vocabulary(words: DataFrame, least: int = 2, extra: list[str] | None = None) -> DataFrame:
@@ -155,6 +157,49 @@ def search(lexicon: DataFrame, needle: str, limit: int = SEARCH_LIMIT) -> DataFr
     return top.crossJoin(F.broadcast(shown.agg(F.count(F.lit(1)).alias("total"))))
 
 
+def _grams(key: Column, n: int) -> Column:
+    """The distinct runs of `n` characters of a key."""
+    starts = F.when(F.length(key) >= n, F.sequence(F.lit(1), F.length(key) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(key, i, F.lit(n))))
+
+
+def contained(needles: DataFrame, keys: DataFrame) -> DataFrame:
+    """(needle, key) for each distinct `needles` (needle) and `keys` (key) of which the key contains the needle.
+
+    Keys stand under each of their runs of GRAM characters, a needle is looked up under the one of its own that the fewest
+    keys have, and what shares it is compared. Shorter needles are a run by themselves: keys stand under runs of one and
+    two characters, too. So all joins are of equal runs; no needle is held against all keys.
+    """
+    asked = materialise(needles.select("needle").where("needle <> ''").distinct(), "needles")
+    known = keys.select("key").where("key <> ''").distinct()
+    runs = F.flatten(F.array(*[_grams(F.col("key"), n) for n in range(1, GRAM + 1)]))
+    posted = materialise(known.select("key", F.explode(runs).alias("gram")), "postings")
+    often = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    own = asked.select("needle", F.explode(F.when(F.length("needle") < GRAM, F.array("needle")).otherwise(_grams(F.col("needle"), GRAM))).alias("gram"))
+    # a run that no key has: no key contains the needle
+    rarest = own.join(often, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return rarest.join(posted, "gram").where(F.contains("key", F.col("needle"))).select("needle", "key")
+
+
+def search_many(needles: DataFrame, lexicon: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
+    """(needle, place, latin, kind, side, total): search() for each of `needles` (needle), which share one pass over the lexicon.
+
+    Needles are trimmed and in lower case, empty and null ones find nothing. Rows of one headword are one hit.
+    """
+    asked = needles.select(F.lower(F.btrim("needle")).alias("needle")).distinct()
+    sides = F.transform("english", lambda g: F.struct(F.lit(1).alias("at"), F.lower(g).alias("key")))
+    keyed = lexicon.select("latin", F.inline(F.concat(F.array(F.struct(F.lit(0).alias("at"), F.lower("latin").alias("key"))), F.coalesce(sides, F.array()))))
+    keyed = materialise(keyed.where("key <> ''").distinct(), "keys")
+    kind = F.when(F.col("key") == F.col("needle"), 0).when(F.startswith("key", F.col("needle")), 1).otherwise(2)
+    hits = contained(asked, keyed).withColumn("kind", kind).join(keyed, "key")
+    best = hits.groupBy("needle", "latin").agg(F.min(F.struct("kind", "at")).alias("b"))
+    shown = materialise(best.select("needle", "latin", "b.kind", F.when(F.col("b.at") == 0, "headword").otherwise("gloss").alias("side")), "hits")
+    totals = shown.groupBy("needle").agg(F.count(F.lit(1)).alias("total"))
+    order = Window.partitionBy("needle").orderBy("kind", F.desc("side"), F.length("latin"), "latin")
+    top = shown.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    return top.join(totals, "needle").select("needle", "place", "latin", "kind", "side", "total")
+
+
 def merge_sources(rows: DataFrame) -> DataFrame:
     """(latin, english, pos, frequency) from (latin, english, pos, frequency, source): the base source's part of speech unless weak.
 

@@ -141,6 +141,24 @@ def search_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.search(_parts(spark, sf_dir), "ring")
 
 
+#: Runs of letters of every word of the conversations, at every place, of two and four letters, and the words themselves.
+_NEEDLES = f"select distinct unnest([word, word[1:2], word[-4:], word[2:5]]) as needle from ({_ASKED})"
+_OTHER_KIND = "case when lower({0}) = needle then 0 when starts_with(lower({0}), needle) then 1 when contains(lower({0}), needle) then 2 end"
+
+
+@query(f"""with n as (select needle from ({_NEEDLES}) where needle <> ''), l as (select latin, [reverse(latin), latin[1:3]] as english from ({_LEXICON})),
+  h as (select needle, latin, {_OTHER_KIND.format("latin")} as own, list_min([k for k in [{_OTHER_KIND.format("english[1]")}, {_OTHER_KIND.format("english[2]")}] if k is not null]) as gloss
+    from n join l on contains(lower(latin), needle) or contains(lower(english[1]), needle) or contains(lower(english[2]), needle)),
+  s as (select needle, latin, least(own, gloss)::int as kind, case when own = least(own, gloss) then 'headword' else 'gloss' end as side from h)
+  select needle, place, latin, kind, side, total from (select *, row_number() over (partition by needle order by kind, side desc, length(latin), latin)::int as place, count(*) over (partition by needle) as total from s) where place <= 50""")
+def search_needles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of words, thousands at once, searched in a lexicon that has words backwards and beginnings as glosses."""
+    word = F.col("word")
+    needles = _asked(spark, sf_dir).select(F.explode(F.array(word, F.left(word, F.lit(2)), F.right(word, F.lit(4)), F.substring(word, 2, 4))).alias("needle"))
+    lexicon = _lexicon(spark, sf_dir).select("latin", F.array(F.reverse("latin"), F.left("latin", F.lit(3))).alias("english"))
+    return L.search_many(needles, lexicon)
+
+
 @query(f"with recursive {_stems_sql(_ASKED, _LEXICON)} select word, root, array_to_string(suffixes, '+') as suffixes, array_to_string(hints, ' ') as hints from stem")
 def stem_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems of words by the lexicon of the documents."""

@@ -148,11 +148,6 @@ def honorifics(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("latin", listed.alias("english"), "register", "kind", plain.alias("plain_form"))
 
 
-def database_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A table of a relational database by JDBC; the driver's jar must be on the class path."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-
-
 def file_sizes(spark: SparkSession, path: str) -> DataFrame:
     """(name, bytes) of the files under a folder, contents unread."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
