@@ -154,8 +154,30 @@ def fold_letters(text: Column) -> Column:
     return F.translate(text, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
 
 
+#: The key that takes back a letter.
+BACKSPACE = "\u232b"
+
+
+def typed(keys: Column) -> Column:
+    """struct<text, latin>: what an input method shows after an array of keys, and the Latin letters it is composing.
+
+    Latin letters and apostrophes compose: the run of them is converted anew at each key. Backspace takes back the last
+    of its letters, not a Thaana sign; with none it takes the last character of the text. Any other key ends the run.
+    """
+    text = lambda s: F.concat(s["done"], to_thaana(s["latin"]))
+    state = lambda done, latin: F.struct(done.alias("done"), latin.alias("latin"))
+    less = lambda c: F.substring(c, F.lit(1), F.length(c) - 1)
+
+    def step(s: Column, key: Column) -> Column:
+        back = F.when(s["latin"] != "", state(s["done"], less(s["latin"]))).otherwise(state(less(s["done"]), F.lit("")))
+        return F.when(F.rlike(key, F.lit("^[a-zA-Z']$")), state(s["done"], F.concat(s["latin"], key))).when(key == BACKSPACE, back).otherwise(state(F.concat(text(s), key), F.lit("")))
+
+    shown = lambda s: F.struct(text(s).alias("text"), s["latin"].alias("latin"))
+    return F.aggregate(F.filter(keys, lambda k: k.isNotNull()), state(F.lit(""), F.lit("")), step, shown)
+
+
 def typed_prefixes(word: Column) -> Column:
-    """What an input method shows after each key: the conversion of every prefix."""
+    """What an input method shows after each key of a word without backspaces: the conversion of every prefix."""
     return F.transform(F.sequence(F.lit(1), F.length(word)), lambda n: to_thaana(F.substring(word, F.lit(1), n)))
 
 

@@ -145,6 +145,28 @@ def roundtrip_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.round_trip(_distinct(spark, sf_dir)).where("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Keys for a word: its characters, two of them taken back, a space, the word from its end, and what runs on into the space.
+_BACK = f"'{S.BACKSPACE}'"
+_KEYED = f"""select word, list_concat(string_split(word, ''), [{_BACK}, {_BACK}, ' '], list_reverse(string_split(word, '')), [{_BACK}, chr(39), {_BACK}],
+  list_transform(range(0, length(word)), lambda i: {_BACK}), ['A', 'n', '.', {_BACK}, {_BACK}, 'e']) as keys from (select distinct unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}'']+')) as word from conversations)"""
+_COMPOSED = "case when regexp_matches(latin, '[A-Za-z]') then " + S.duck_word_to_thaana("lower(latin)") + " else latin end"
+
+
+@query(f"""with recursive k as ({_KEYED}), s(word, keys, i, done, latin) as (select word, keys, 0, '', '' from k union all
+  select word, keys, i + 1, case when regexp_matches(keys[i + 1], '^[a-zA-Z'']$') or keys[i + 1] = {_BACK} and latin <> '' then done when keys[i + 1] = {_BACK} then done[1:length(done) - 1] else done || {_COMPOSED} || keys[i + 1] end,
+    case when regexp_matches(keys[i + 1], '^[a-zA-Z'']$') then latin || keys[i + 1] when keys[i + 1] = {_BACK} and latin <> '' then latin[1:length(latin) - 1] else '' end from s where i < len(keys))
+  select word, done || {_COMPOSED} as shown, latin as composing from s where i = len(keys)""")
+def ime_keystrokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an input method shows after the keys of each word of the conversations, with letters taken back."""
+    turns = table(spark, sf_dir, "conversations")
+    words = turns.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{M}']+"), F.lit(0))).alias("word")).distinct()
+    each = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(F.col("word"), i, F.lit(1)))
+    b = F.lit(S.BACKSPACE)
+    more = F.array(b, F.lit("'"), b), F.array_repeat(b, F.length("word")), F.array(F.lit("A"), F.lit("n"), F.lit("."), b, b, F.lit("e"))
+    keys = F.concat(each, F.array(b, b, F.lit(" ")), F.reverse(each), *more)
+    return words.select("word", S.typed(keys).alias("typed")).select("word", F.col("typed.text").alias("shown"), F.col("typed.latin").alias("composing"))
+
+
 @query(f"select p_name, unnest(list_transform(range(1, length(p_name) + 1), lambda n: {S.duck_word_to_thaana('p_name[1:n]')})) as shown from (select distinct unnest(string_split(p_name, ' ')) as p_name from part)")
 def ime_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an input method shows key by key."""

@@ -43,6 +43,18 @@ def test_script_details(spark):
     assert sum(a != b for a, b in zip(folded, T.CONSONANTS)) == 10
 
 
+def test_keystrokes(spark):
+    back = S.BACKSPACE
+    typed = lambda *keys: spark.createDataFrame([(list(keys),)], "keys array<string>").select(S.typed(F.col("keys")).alias("t")).first().t
+    thaana = lambda word: column(spark, [word], S.to_thaana)[0]
+    aharen = typed(*"aharen")
+    assert (aharen.text, aharen.latin) == (thaana("aharen"), "aharen") and not any(c.isascii() for c in aharen.text)
+    assert tuple(typed("a", " ", "m")) == (f"{thaana('a')} {thaana('m')}", "m")
+    assert tuple(typed("a", "h", back)) == (thaana("a"), "a") != tuple(typed("a", "h"))
+    assert tuple(typed("a", back, back, back)) == ("", "") and tuple(typed("a", ".", back, "h")) == (thaana("a") + thaana("h"), "h")
+    assert tuple(typed("ފެން", back, "N", None)) == ("ފެނ" + thaana("n"), "N") and tuple(typed()) == ("", "")
+
+
 SENTENCES = [
     ("One. Two! Three?", ["One.", "Two!", "Three?"]), ("a... b", ["a...", "b"]), ("Really?! Yes.", ["Really?!", "Yes."]),
     ("... !! ?? Hello.", ["Hello."]), (". . .", []), ("އަހަރެން ދިޔައީމެވެ۔ އޭނާ ދިޔައެވެ۔", ["އަހަރެން ދިޔައީމެވެ۔", "އޭނާ ދިޔައެވެ۔"]),
