@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loomtext.functions import tables as T, text as X
 from loomtext.functions.morphology import stems
 from loomtext.functions.script import to_latin
+from loomtext.operators.sampling import numbered
 from loomtext.scratch import materialise
 
 PREFIX_LENGTH, PREFIX_HITS, SEARCH_LIMIT = 4, 5, 50
@@ -226,6 +227,13 @@ def export_order(lexicon: DataFrame, by: str = "frequency") -> DataFrame:
     return lexicon.orderBy(F.desc(F.coalesce("frequency", F.lit(0))), *key) if by == "frequency" else lexicon.orderBy(*key)
 
 
+def export_places(lexicon: DataFrame) -> DataFrame:
+    """(latin, frequency, place) in the order of export, from 1: places within ranges plus what lies before, in no one task."""
+    order = F.struct((-F.coalesce("frequency", F.lit(0))).alias("f"), F.lower("latin").alias("low"), F.col("latin").alias("latin"))
+    placed = numbered(lexicon.select("latin", "frequency", order.alias("order")), "order")
+    return placed.select("latin", "frequency", (F.col("place") + 1).alias("place"))
+
+
 def rewrite_expanded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Repaired entries (latin, english, pos, frequency) and rewrites (old, new) of rows (place, latin, english, pos, frequency).
 
@@ -314,10 +322,10 @@ def closure(rewrites: DataFrame) -> DataFrame:
     return hops.select("old", F.when(~circle & (F.col("final") != ""), F.col("final")).alias("final"), F.when(~circle, F.col("steps")).alias("steps"))
 
 
-def collisions(pairs: DataFrame) -> DataFrame:
-    """(reading, canonical, n, members) from (letter, reading, place): readings that several letters share."""
+def collisions(pairs: DataFrame, between: str = "") -> DataFrame:
+    """(reading, canonical, n, members) from (letter, reading, place): readings that several letters, or words, share."""
     g = pairs.groupBy("reading").agg(F.min_by("letter", "place").alias("canonical"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("place", "letter"))).alias("m"))
-    return g.where("n > 1").select("reading", "canonical", "n", F.array_join(F.transform("m", lambda x: x["letter"]), "").alias("members"))
+    return g.where("n > 1").select("reading", "canonical", "n", F.array_join(F.transform("m", lambda x: x["letter"]), between).alias("members"))
 
 
 def lost_keys(old: DataFrame, new: DataFrame) -> DataFrame:

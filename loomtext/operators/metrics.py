@@ -162,16 +162,16 @@ def unpivot(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return rows.unpivot(keys, [F.col(v).cast("double").alias(v) for v in values], "metric", "value").where("value is not null")
 
 
-def most_precise(rows: DataFrame, fingerprint: list[str], cell: str, precision: str, most: int = 1000) -> DataFrame:
+def most_precise(rows: DataFrame, fingerprint: list[str], cell: str, precision: str, most: int | None = None) -> DataFrame:
     """One row for each fingerprint, the most precise, with the cells it was seen in, sorted, and `n_cells`, their number.
 
-    A fingerprint seen in more than `most` cells lists none of them (null): cells_of() has them all, as rows.
+    With `most`, a fingerprint seen in more cells lists none of them (null): cells_of() has them all, as rows.
     """
     whole = F.struct(precision, *[c for c in rows.columns if c != precision])
     best = rows.groupBy(*fingerprint).agg(F.max(whole).alias("b"))
     cells = cells_of(rows, fingerprint, cell)
     sizes = cells.groupBy(*fingerprint).agg(F.count(F.lit(1)).alias("n_cells"))
-    few = cells.join(sizes.where(F.col("n_cells") <= most).drop("n_cells"), fingerprint)
+    few = cells.join(sizes.where(F.col("n_cells") <= most).drop("n_cells"), fingerprint) if most else cells
     listed = few.groupBy(*fingerprint).agg(F.array_join(F.sort_array(F.collect_list("cell")), ",").alias("cells"))
     return best.join(sizes, fingerprint).join(listed, fingerprint, "left").select("b.*", "cells", "n_cells")
 

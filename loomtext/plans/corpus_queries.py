@@ -212,38 +212,46 @@ def first_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.first_examples(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 3)
 
 
+#: Pairs made for each label around a word W of the data; those of one word are told apart from other words' by it.
+_DV = "ދިވެހި ބަސް މިއީ"
 _SHOWN = [
-    ("", "a b c", "empty_side"), ("abc", "a b c", "no_thaana_in_source"), ("ދިވެހި ބަސް މިއީ", "a b ދިވެހި", "thaana_in_english"),
-    ("ދިވެހި ބަސް މިއީ x", "one two three", "latin_in_dhivehi"), ("ދިވެހި ބަސް މިއީ", "5 minutes long ago", "timestamp_fragment"), ("ދިވެހި ބަސް މިއީ", "a %s b c", "ui_string"),
-    ("ދިވެހި ބަސް މިއީ", "one two", "too_few_words"), ("ދިވެހި ބަސް މިއީ", "one two " + "x" * T.MAX_CHARS, "length_bounds"), ("ދިވެހި ބަސް މިއީ ☺", "one two three four", "non_ascii_latin"),
-    ("ދިވެހި ބަސް މިއީ", "one two three " + "word " * 30, "length_ratio"), ("ދިވެހި ބަސް މިއީ", "one two three four", "kept"), ("ދިވެހި ބަސް މިއީ", "one two three four", "duplicate_exact"),
-    ("ދިވެހި  ބަސް މިއީ", "One two, three four!", "duplicate_near"), ("ދިވެހި ބަސް މިއީ " * 14, "one two three four " * 14, "over_max_tokens"),
+    ("", "W b c", "empty_side"), ("W", "a b W", "no_thaana_in_source"), (_DV, "W b ދިވެހި", "thaana_in_english"), (_DV + " W", "W two three", "latin_in_dhivehi"),
+    (_DV, "5 minutes W ago", "timestamp_fragment"), (_DV, "W %s b c", "ui_string"), (_DV, "one W", "too_few_words"), (_DV, "W two " + "x" * T.MAX_CHARS, "length_bounds"),
+    (_DV + " ☺", "W two three four", "non_ascii_latin"), (_DV, "W two three " + "word " * 30, "length_ratio"), (_DV, "W two three four", "kept"), (_DV, "W two three four", "duplicate_exact"),
+    ("ދިވެހި  ބަސް މިއީ", "W two, Three four!", "duplicate_near"), ((_DV + " ") * 14, "W two three four " * 14, "over_max_tokens"),
 ]
+#: Words of the conversations as eight letters each, of any script before.
+_CODE = "translate(md5(word)[:8], '0123456789', 'ghijklmnop')"
+_CODES = f"select distinct {_CODE} as code from (select unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}'']+')) as word from conversations)"
 
 
-@query("select k, reason from (values " + ", ".join(f"({k}, '{r}')" for k, (_, _, r) in enumerate(_SHOWN)) + ") t(k, reason)")
+@query(f"select code, k, reason from ({_CODES}) cross join (values " + ", ".join(f"({k}, '{r}')" for k, (_, _, r) in enumerate(_SHOWN)) + ") t(k, reason)")
 def reject_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each label of the pair funnel on the pair made for it."""
-    rows = spark.createDataFrame([(k, dv, en) for k, (dv, en, _) in enumerate(_SHOWN)], "k int, dv string, en string")
-    return C.pair_funnel(rows, "k").select("k", F.coalesce("reason", F.lit("kept")).alias("reason"))
+    """Each label of the pair funnel on the pairs made for it around each word of the conversations."""
+    turns = table(spark, sf_dir, "conversations")
+    words = turns.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{M}']+"), F.lit(0))).alias("word")).distinct()
+    codes = words.select(F.translate(F.left(F.md5("word"), F.lit(8)), "0123456789", "ghijklmnop").alias("code")).distinct()
+    made = [F.struct(F.lit(k).alias("k"), F.replace(F.lit(dv), F.lit("W"), F.col("code")).alias("dv"), F.replace(F.lit(en), F.lit("W"), F.col("code")).alias("en")) for k, (dv, en, _) in enumerate(_SHOWN)]
+    rows = codes.select("code", F.inline(F.array(*made))).withColumn("place", F.struct("code", "k"))
+    return C.pair_funnel(rows, "place").select("code", "k", F.coalesce("reason", F.lit("kept")).alias("reason"))
 
 
 _CLEAN = "trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 _ONE = "trim(regexp_replace({0}, '[ \\t-\\r]+', ' ', 'g'))"
 
 
-@query(f"""with p as (select conv_id * 1000 + turn as k, {_CLEAN.format('latin')} as dv, {_CLEAN.format('english')} as en from ({_PAIRS})),
+@query(f"""with p as (select struct_pack(c := conv_id, t := turn) as k, {_CLEAN.format('latin')} as dv, {_CLEAN.format('english')} as en from ({_PAIRS})),
   r as (select *, case when dv = '' or en = '' then 'empty_side' when regexp_matches(en, '%[sdifg@]|%[0-9]+\\$[sdifg@]|\\{{[0-9]+\\}}|</?[a-z][a-z0-9]*>') then 'ui_string'
     when len(string_split({_ONE.format('en')}, ' ')) < 3 then 'too_few_words' when length(dv) not between 2 and 600 or length(en) not between 2 and 600 then 'length_bounds'
     when regexp_matches(dv, '[^\\x00-\\x7f]') then 'non_ascii_latin' when length(dv) * 1.0 / length(en) not between 0.4 and 2.5 then 'length_ratio' end as rule from p),
   n as (select *, md5(lower(regexp_replace(dv, '[ \\t-\\r]+', ' ', 'g')) || chr(1) || regexp_replace(lower(regexp_replace(en, '[ \\t-\\r]+', ' ', 'g')), '[^a-z0-9 ]+', '', 'g')) as near from r where rule is null),
   d as (select *, case when k = min(k) over w then null when (dv, en) = arg_min((dv, en), k) over w then 'duplicate_exact' else 'duplicate_near' end as dup from n window w as (partition by near)),
   f as (select k, rule as reason from r where rule is not null union all select k, coalesce(dup, case when greatest(strlen(dv) + 36, strlen(en) + 36) > 1000 then 'over_max_tokens' end) from d)
-  select k, reason from f""")
+  select k.c as conv_id, k.t as turn, reason from f""")
 def pair_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question and answer pairs under the label that rejects them, null for those kept."""
-    pairs = _pairs(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), F.col("latin").alias("dv"), F.col("english").alias("en"))
-    return C.pair_funnel(pairs, "k", in_thaana=False, most_tokens=1000).select("k", "reason")
+    pairs = _pairs(spark, sf_dir).select(F.struct("conv_id", "turn").alias("k"), F.col("latin").alias("dv"), F.col("english").alias("en"))
+    return C.pair_funnel(pairs, "k", in_thaana=False, most_tokens=1000).select("k.conv_id", "k.turn", "reason")
 
 
 _TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t-\\r]+'), lambda t: regexp_matches(t, '[wx]|c([^h]|$)')))"

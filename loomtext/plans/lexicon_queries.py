@@ -78,7 +78,7 @@ def _stems_sql(words: str, lexicon: str) -> str:
   l0 as (select word, lower(trim(word)) as s, []::int[] as path, []::varchar[] as taken, []::varchar[] as hints from ({words}) where trim(word) <> ''),
   l1 as ({cut.format("l0")}), l2 as ({cut.format("l1")}), l3 as ({cut.format("l2")}),
   ls as (select * from l0 union all select * from l1 union all select * from l2 union all select * from l3),
-  sp(s, v, p) as (select distinct s, s, []::int[] from ls union all select s, replace(v, a, b), list_append(p, k) from sp join lx on contains(v, a) where len(p) < 6),
+  sp(s, v, p) as (select distinct s, s, []::int[] from ls union all select s, replace(v, a, b), list_append(p, k) from sp join lx on contains(v, a) where len(p) < 64),
   sr as (select s, v, row_number() over (partition by s order by min(struct_pack(n := len(p), p := p))) as r from sp group by s, v),
   en as (select s, r, k, v[1:length(v) - length(a)] || b as v from sr join ex on ends_with(v, a)
     union all select s, r, 90, v[1:length(v) - 1] from sr where length(v) > 1 and v[-1] = v[-2] and regexp_matches(v, '[b-df-hj-np-tv-z]$')
@@ -88,20 +88,24 @@ def _stems_sql(words: str, lexicon: str) -> str:
     (select word, ca.v, taken, hints, struct_pack(n := len(path), path := path, phase := phase, r := r, k := k) as o from ls join ca using (s) join (select distinct lower(trim(latin)) as v from ({lexicon})) lk on lk.v = ca.v) group by word)"""
 
 
+#: The words as they are and in Thaana.
+_MIXED = f"select word from ({_ASKED}) union select {S.duck_word_to_thaana('word')} from ({_ASKED})"
+
+
 @query(f"""with recursive {_stems_sql(_ASKED, _LEXICON)}, h as (select lower(trim(latin)) as key, arg_max(latin, struct_pack(f := frequency, l := latin)) as latin from ({_LEXICON}) group by 1),
   cl(key, closed) as ({_values(sorted(T.CLOSED_LATIN.items()))}), px as (select latin, frequency, unnest(list_transform(range(4, length(latin) + 1), lambda n: latin[1:n])) as word from ({_LEXICON}) where length(latin) >= 4),
   pf as (select word, arg_min(latin, struct_pack(n := length(latin), f := -frequency, l := latin)) as latin from px group by word),
-  w as (select distinct word, lower(trim(word)) as key from ({_ASKED}) where not regexp_matches(word, '[^\\x00-\\x7f]')),
-  m as (select w.word, h.latin as exact, cl.closed, st.root, st.suffixes, hs.latin as stem_latin, pf.latin as longer from w left join h on h.key = w.key left join cl on cl.key = w.key
-    left join stem st on st.word = w.key and st.root <> w.key left join h hs on hs.key = st.root left join pf on pf.word = w.key)
+  w as (select distinct word, not regexp_matches(word, '[^\\x00-\\x7f]') as own, lower(trim(case when regexp_matches(word, '[^\\x00-\\x7f]') then {S.duck_to_latin('word')} else word end)) as key from ({_MIXED})),
+  m as (select w.word, w.own, w.key, h.latin as exact, case when own then cl.closed end as closed, st.root, st.suffixes, hs.latin as stem_latin, pf.latin as longer from w left join h on h.key = w.key left join cl on cl.key = w.key
+    left join stem st on own and st.word = w.key and st.root <> w.key left join h hs on hs.key = st.root left join pf on pf.word = w.key)
   select word, case when exact is not null then 'exact' when closed is not null then 'closed_class' when stem_latin is not null then 'stem' when longer is not null then 'prefix' else 'unknown' end as found,
-    coalesce(exact, case when closed is not null then word end, stem_latin, longer, word) as latin, case when exact is null and closed is null and stem_latin is null then 'low' else 'high' end as confidence,
-    case when exact is not null then null when closed is not null then 'closed_class' when stem_latin is not null then null when longer is not null then 'prefix' else 'transliteration_only' end as fallback,
+    coalesce(exact, case when closed is not null then word end, stem_latin, longer, case when own then word else {S.duck_to_latin('word')} end) as latin, case when exact is null and closed is null and stem_latin is null then 'low' when own then 'high' else 'medium' end as confidence,
+    case when not own and (exact is not null or longer is not null) then 'transliteration_lookup' when exact is not null then null when closed is not null then 'closed_class' when stem_latin is not null then null when longer is not null then 'prefix' else 'transliteration_only' end as fallback,
     case when exact is null and closed is null and stem_latin is not null then array_to_string(suffixes, '+') end as suffixes from m""")
 def lookup_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words in ASCII by the first of exact hit, closed class, stem and prefix."""
-    asked = _asked(spark, sf_dir).where(~F.rlike("word", F.lit("[^\\x00-\\x7f]")))
-    found = L.translate_words(asked, _lexicon(spark, sf_dir))
+    """Words of any script by the first of exact hit, closed class, stem and prefix; each word is asked in Thaana, too."""
+    asked = _asked(spark, sf_dir)
+    found = L.translate_words(asked.unionAll(asked.select(S.word_to_thaana(F.col("word")).alias("word"))), _lexicon(spark, sf_dir))
     return found.select("word", "found", "latin", "confidence", "fallback", F.array_join("suffixes", "+").alias("suffixes"))
 
 
@@ -284,14 +288,13 @@ def rewrite_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.closure(table(spark, sf_dir, "customer").select(key.cast("string").alias("old"), new.alias("new")))
 
 
-_LETTERS = ", ".join(f"('{c}', '{r}', {i})" for i, (c, r) in enumerate(T.CONSONANTS.items()))
-
-
-@query(f"select reading, arg_min(letter, place) as canonical, count(*) as n, array_to_string(list(letter order by place), '') as members from (values {_LETTERS}) t(letter, reading, place) group by reading having count(*) > 1")
+@query(f"""select reading, arg_min(word, struct_pack(n := -frequency, w := word)) as canonical, count(*) as n, array_to_string(list(word order by -frequency, word), ' ') as members
+  from (select latin as word, frequency, {S.duck_word_to_thaana('latin')} as reading from ({_LEXICON})) group by reading having count(*) > 1""")
 def collision_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Letters that share a reading."""
-    rows = [(c, r, i) for i, (c, r) in enumerate(T.CONSONANTS.items())]
-    return L.collisions(spark.createDataFrame(rows, "letter string, reading string, place int"))
+    """Headwords that are written alike in Thaana, the most frequent first."""
+    place = F.struct((-F.col("frequency")).alias("n"), F.col("latin").alias("w"))
+    rows = _lexicon(spark, sf_dir).select(F.col("latin").alias("letter"), S.word_to_thaana(F.col("latin")).alias("reading"), place.alias("place"))
+    return L.collisions(rows, " ")
 
 
 @query(f"""select latin, greatest(frequency, coalesce(seen, 0)) as frequency, case when seen > frequency then 'corpus' end as freq_source
@@ -302,10 +305,10 @@ def frequency_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.raise_frequency(_lexicon(spark, sf_dir), seen).select("latin", "frequency", "freq_source")
 
 
-@query(f"select latin, frequency, row_number() over (order by frequency desc, lower(latin), latin) as place from ({_LEXICON}) order by place limit 200")
+@query(f"select latin, frequency, row_number() over (order by frequency desc, lower(latin), latin) as place from ({_LEXICON})")
 def export_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 200 entries of the lexicon as it is exported."""
-    return P.numbered_top(L.export_order(_lexicon(spark, sf_dir)), 200)
+    """All entries of the lexicon with their places as it is exported."""
+    return L.export_places(_lexicon(spark, sf_dir))
 
 
 @query(f"select latin from ({_LEXICON}) where latin not in (select word from ({_SAID}))")
@@ -331,8 +334,14 @@ def english_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", X.english_phrase(F.col("text")).alias("phrase"), F.round(X.overlap_ratio(X.alpha_tokens(F.col("text")), T.STOPWORDS), 6).alias("overlap"))
 
 
-@query(f"select word, {S.duck_word_to_thaana('word')} as thaana from (values " + ", ".join(f"('{w}')" for w in sorted(T.CLOSED_LATIN)) + ") t(word)")
+_FUNCTION_WORDS = ", ".join(f"'{w}'" for w in sorted(T.CLOSED_LATIN))
+
+
+@query(f"select word, {S.duck_word_to_thaana('word')} as thaana, n from (select word, count(*) as n from (select word from ({WORDS}) union all {_SAID} union all select unnest([split_part(p_name, ' ', 1), left(p_name, 2), right(p_name, 2), left(p_name, 3)]) from part) where word in ({_FUNCTION_WORDS}) group by word)")
 def closed_class_thaana(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Function words in Thaana."""
-    words = spark.createDataFrame([(w,) for w in sorted(T.CLOSED_LATIN)], "word string")
-    return words.select("word", S.to_thaana(F.col("word")).alias("thaana"))
+    """Function words that documents, conversations and names of parts have, in Thaana, and how often."""
+    name = F.col("p_name")
+    parts = table(spark, sf_dir, "part").select(F.explode(F.array(F.split_part(name, F.lit(" "), F.lit(1)), F.left(name, F.lit(2)), F.right(name, F.lit(2)), F.left(name, F.lit(3)))).alias("word"))
+    every = document_words(spark, sf_dir).select("word").unionAll(_said(spark, sf_dir)).unionAll(parts)
+    found = every.where(F.col("word").isin(*sorted(T.CLOSED_LATIN))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return found.select("word", S.to_thaana(F.col("word")).alias("thaana"), "n")

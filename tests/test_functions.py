@@ -127,6 +127,22 @@ def test_variants(spark):
     assert {"dhakh", "dhhakh", "dhah", "dhas", "dhahun"} <= set(got[3]) and len(set(got[3])) == len(got[3])
 
 
+def test_letter_rules_go_on_until_nothing_is_new(spark):
+    def plain(word):
+        seen = [word]
+        for w in seen:
+            for a, b in T.LETTER_VARIANTS:
+                if a in w and (n := w.replace(a, b)) not in seen and len(seen) < T.MAX_VARIANTS:
+                    seen.append(n)
+        return seen
+
+    words = ["ghhhhhhhh", "qghqgh", "fen", "ghaqee" * 6, "dhhhhh" * 3]
+    for word, got in zip(words, column(spark, words, M.variants)):
+        want = plain(word)
+        assert got[: len(want)] == want and len(got) <= T.MAX_VARIANTS
+    assert len(plain("ghhhhhhhh")) > 7
+
+
 def test_known_bases_stay_whole(spark):
     lexicon = spark.createDataFrame([("geyga",), ("beynunkamah",)], "latin string")
     words = spark.createDataFrame([(w,) for w in ["beynunkamah", "indhukamah", "nu-malegai", "geygaeve"]], "word string")
