@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import unicodedata
 from functools import cache
 
 from pyspark.sql import Column, functions as F
 
 from loomtext.functions import tables as T
+from loomtext.functions.text import unmarked
 
 #: Private marks: a coda h, a barrier between letters, a y between vowels, and sh before a vowel.
 CODA, BARRIER, GLIDE, SOFT = "\ue000", "\ue001", "\ue002", "\ue003"
@@ -103,14 +103,6 @@ MARKS = [
 ]
 
 
-@cache
-def accents() -> tuple[str, str]:
-    """Accented Latin letters up to U+024F and their base letters."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250)]
-    pairs = [(a, b) for a, b in pairs if a != b and b.isascii()]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
 def _mapped(text: Column, pattern: str, table: dict[str, str]) -> Column:
     known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda t: F.coalesce(F.try_element_at(known, t), t)), "")
@@ -137,13 +129,8 @@ def word_to_thaana(word: Column) -> Column:
 
 
 def to_thaana(text: Column) -> Column:
-    """Latin words of a text in Thaana; white space and words without Latin letters as they are.
-
-    Accents go first, unless the text has Thaana, whose vowel signs are marks too.
-    """
-    plain = F.translate(text, *accents())
-    plain = F.when(F.rlike(plain, F.lit("[ހ-޿]")), plain).otherwise(F.regexp_replace(plain, "\\p{M}", ""))
-    parts = F.regexp_extract_all(plain, F.lit("[ \\t-\\r]+|[^ \\t-\\r]+"), F.lit(0))
+    """Latin words of a text in Thaana, without their accents; white space and words without Latin letters as they are."""
+    parts = F.regexp_extract_all(unmarked(text), F.lit("[ \\t-\\r]+|[^ \\t-\\r]+"), F.lit(0))
     return F.array_join(F.transform(parts, lambda p: F.when(F.rlike(p, F.lit("[A-Za-z]")), word_to_thaana(F.lower(p))).otherwise(p)), "")
 
 

@@ -1,13 +1,10 @@
-"""Text columns: normalising, tokens, predicates, keys and domains. JVM expressions, but for NFC of texts beyond Latin-1."""
+"""Text columns: normalising, tokens, predicates, keys and domains, all as JVM expressions."""
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 from loomtext.functions import tables as T
 
@@ -21,15 +18,30 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-@F.pandas_udf(StringType())
-def _nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+def _in_form(text: Column, way: str) -> Column:
+    """Text in a canonical form, by the Unicode library that comes with Spark, in the JVM; null stays null."""
+    told = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit(way), F.coalesce(text, F.lit("")), F.lit(False))
+    return F.when(F.rlike(text, F.lit("[^\\x00-\\x7f]")), told).otherwise(text)
+
+
+def composed(text: Column) -> Column:
+    """NFC: canonical composition."""
+    return _in_form(text, "compose")
+
+
+def decomposed(text: Column) -> Column:
+    """NFD: canonical decomposition, marks in their canonical order."""
+    return _in_form(text, "decompose")
+
+
+def unmarked(text: Column) -> Column:
+    """Letters without their marks; Thaana, whose vowel signs are marks, stays."""
+    return F.regexp_replace(decomposed(text), f"[\\p{{M}}&&[^{THAANA[1:-1]}]]", "")
 
 
 def normalise(text: Column) -> Column:
-    """NFC, no invisible marks, no-break space as space; null stays null. Composed Latin-1 text needs no NFC."""
-    composed = F.when(F.rlike(text, F.lit("[^\\x00-\\xff]")), _nfc(text)).otherwise(text)
-    return F.translate(composed, "\u00a0" + INVISIBLE, " ")
+    """NFC, no invisible marks, no-break space as space; null stays null."""
+    return F.translate(composed(text), "\u00a0" + INVISIBLE, " ")
 
 
 def fold_punctuation(text: Column) -> Column:

@@ -30,7 +30,7 @@ def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select doc_id, source, status from ({_DEDUP})")
 def dedup_exact_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as kept, exact or near duplicate of the first of its near key."""
-    rows = _keyed(spark, sf_dir).select("doc_id", "source", "exact", "near")
+    rows = materialise(_keyed(spark, sf_dir).select("doc_id", "source", "exact", "near"), "keyed")
     return C.mark_duplicates(rows, F.col("exact"), F.col("near"), "doc_id").select("doc_id", "source", "status")
 
 

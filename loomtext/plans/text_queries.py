@@ -9,6 +9,7 @@ from loomtext.functions.segment import duck_sentences, sentences
 from loomtext.operators import metrics as N, sampling as P
 from loomtext.plans.registry import WORDS, document_words, query, table
 from loomtext.plans.trace import trace_documents
+from loomtext.spread import spread
 
 _WORD = T.WORD.replace("'", "''")
 _ONE_LINE = "trim(regexp_replace(text, '[ \\t-\\r]+', ' ', 'g'))"
@@ -101,7 +102,7 @@ _DISTINCT = f"select distinct word from ({WORDS})"
 
 
 def _distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_words(spark, sf_dir).select("word").distinct()
+    return spread(document_words(spark, sf_dir).select("word").distinct())
 
 
 @query(f"select word, {S.duck_word_to_thaana('word')} as thaana from ({_DISTINCT})")
@@ -124,7 +125,7 @@ def _one_byte(text: str) -> str:
     return f"translate({text}, '{''.join(letters)}', '{''.join(map(chr, range(40, 40 + len(letters))))}')"
 
 
-_PLAIN = "translate(word, '{}', '{}')".format(*S.accents())
+_PLAIN = "strip_accents(word)"
 _TRIPS = f"""w as ({_DISTINCT}), a as (select word, {_PLAIN} as plain from w), t as (select word, case when regexp_matches(plain, '[A-Za-z]') then {S.duck_word_to_thaana('plain')} else plain end as thaana from a), l as (select word, thaana, {S.duck_to_latin('thaana')} as latin from t),
   b as (select word, thaana, latin, array_to_string(list_transform(regexp_extract_all(latin, '[ \\t-\\r]+|[^ \\t-\\r]+'), lambda p: case when regexp_matches(p, '[A-Za-z]') then {S.duck_word_to_thaana('lower(p)')} else p end), '') as back from l),
   s as (select *, {S.duck_to_latin('back')} = latin as stable, levenshtein({_one_byte('thaana')}, {_one_byte('back')}) as edits from b)"""

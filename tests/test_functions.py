@@ -2,6 +2,7 @@
 
 import random
 import time
+import unicodedata
 
 import duckdb
 import pandas as pd
@@ -43,6 +44,25 @@ def test_script_details(spark):
     assert sum(a != b for a, b in zip(folded, T.CONSONANTS)) == 10
 
 
+def test_canonical_forms(spark):
+    """Every assigned code point, alone between others, and sequences of marks in any order, as the standard library has them."""
+    r = random.Random(1)
+    every = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs")]
+    marks = [c for c in every if unicodedata.combining(c)]
+    texts = ["\n".join(every[k : k + 200]) for k in range(0, len(every), 200)]
+    texts += ["".join(r.choice(every) + "".join(r.choice(marks) for _ in range(r.randrange(4))) for _ in range(40)) for _ in range(1000)]
+    texts += ["".join(r.choice("aeioAEIO가ᄀެ") + r.choice(marks) + r.choice("ᅡᆨ\u0301\u0323ި") for _ in range(40)) for _ in range(500)] + [None, ""]
+    for ours, form in ((X.composed, "NFC"), (X.decomposed, "NFD")):
+        assert column(spark, texts, ours) == [t and unicodedata.normalize(form, t) if t else t for t in texts]
+    plan = spark.createDataFrame([("é",)], "t string").select(X.normalise(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_accents_of_any_letter(spark):
+    assert column(spark, ["Malé", "M\u0061\u0301lé\u0323", "ṃạḻḙ", "ǟ", "ދިވެހި é", "ĵ"], X.unmarked) == ["Male", "Male", "male", "a", "ދިވެހި e", "j"]
+    assert column(spark, ["ṃạḻḙ"], S.to_thaana) == column(spark, ["male"], S.to_thaana)
+
+
 def test_keystrokes(spark):
     back = S.BACKSPACE
     typed = lambda *keys: spark.createDataFrame([(list(keys),)], "keys array<string>").select(S.typed(F.col("keys")).alias("t")).first().t
