@@ -247,7 +247,12 @@ def char_recovery(expected: Column, got: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.levenshtein(expected, got) / F.nullif(F.length(expected), F.lit(0)))
 
 
-#: Tokens of a text by name of the counter; a subword tokenizer can be added as a column function.
+def decoded_exactly(expected: Column, got: Column) -> Column:
+    """The texts are equal but for the amount of white space between words and around them."""
+    return one_line(expected) == one_line(got)
+
+
+#: Tokens of a text by name of the counter; a tokenizer's (pieces.piece_counts) can be added as a column function.
 TOKEN_COUNTERS: dict[str, Callable[[Column], Column]] = {
     "words": lambda text: F.size(F.split(one_line(text), " ")),
     "marks": lambda text: F.size(tokens(text)),

@@ -11,6 +11,8 @@ from loomtext.operators.sampling import numbered
 from loomtext.scratch import materialise
 
 PREFIX_LENGTH, PREFIX_HITS, SEARCH_LIMIT = 4, 5, 50
+# Fixed value: the rank of a gloss that isn't literally the word.
+NOT_LITERAL = 99
 #: Characters of the runs that keys are found by.
 GRAM = 3
 
@@ -51,8 +53,12 @@ def lookup_prefix(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def lookup_gloss(words: DataFrame, lexicon: DataFrame, hits: int = PREFIX_HITS) -> DataFrame:
-    """(word, place, latin, rank): headwords with the word among their glosses, by the gloss's position, then frequency."""
-    glosses = lexicon.select("latin", "frequency", F.posexplode("english").alias("rank", "gloss")).withColumn("word", F.lower(F.btrim("gloss")))
+    """(word, place, latin, rank): headwords with the word among their glosses, by the gloss's position, then frequency.
+
+    A gloss that is the word only when it is trimmed has the rank NOT_LITERAL, behind all that are it as they are.
+    """
+    glosses = lexicon.select("latin", "frequency", F.posexplode("english").alias("at", "gloss")).withColumn("word", F.lower(F.btrim("gloss")))
+    glosses = glosses.withColumn("rank", F.when(F.lower("gloss") == F.col("word"), F.col("at")).otherwise(NOT_LITERAL))
     met = words.select("word").distinct().join(glosses, "word").groupBy("word", "latin", "frequency").agg(F.min("rank").alias("rank"))
     order = Window.partitionBy("word").orderBy("rank", F.desc("frequency"), "latin")
     return met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hits).select("word", "place", "latin", "rank")

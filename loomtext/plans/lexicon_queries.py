@@ -64,6 +64,55 @@ def lookup_gloss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.lookup_gloss(parts.select(F.explode("english").alias("word")), parts)
 
 
+_PADDED = "select p_name as latin, max(p_size)::bigint as frequency, [case when max(p_size) % 3 = 0 then upper(split_part(p_name, ' ', 1)) || ' ' else upper(split_part(p_name, ' ', 1)) end, split_part(p_name, ' ', 2)] as english from part group by p_name"
+
+
+@query(f"""with e as (select latin, frequency, english, unnest(english) as gloss from ({_PADDED})), g as (select latin, frequency, lower(trim(gloss)) as word, list_position(list_transform(english, lambda g: lower(g)), lower(trim(gloss))) as nth from e),
+  m as (select word, latin, frequency, coalesce(min(nullif(nth, 0)) - 1, 99)::int as rank from g group by all)
+  select word, place, latin, rank from (select word, latin, rank, row_number() over (partition by word order by rank, frequency desc, latin)::int as place from m) where place <= 5""")
+def lookup_gloss_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by the words of their names, some of which have a space too many: those stand last."""
+    one = F.upper(F.split_part("p_name", F.lit(" "), F.lit(1)))
+    size = F.max("p_size").cast("long")
+    rows = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("latin")).agg(size.alias("frequency"))
+    one, two = F.upper(F.split_part("latin", F.lit(" "), F.lit(1))), F.split_part("latin", F.lit(" "), F.lit(2))
+    parts = rows.withColumn("english", F.array(F.when(F.col("frequency") % 3 == 0, F.concat(one, F.lit(" "))).otherwise(one), two))
+    return L.lookup_gloss(parts.select(F.explode("english").alias("word")).select(F.lower(F.btrim("word")).alias("word")), parts)
+
+
+#: Glosses of several shapes: none, empty, a placeholder, a real one; headwords of which some are empty.
+_SHAPED = """select p_partkey, p_name as word, case when p_size % 5 = 0 then null when p_size % 5 = 1 then '' else p_type end as latin, case when p_size % 4 = 0 then []::varchar[] when p_size % 4 = 1 then ['[unknown: ' || p_name || ']', 'x'] when p_size % 4 = 2 then [''] else [p_brand, 'x'] end as english,
+  case when p_size % 7 = 0 then '' when p_size % 7 < 4 then null else p_container end as stem, case when p_size % 3 = 0 then '' else p_brand end as read from (select *, p_type || '!' as p_container from part)"""
+
+
+@query(f"""select p_partkey, case when len(english) > 0 and english[1] <> '' and not starts_with(english[1], '[unknown:') then english[1] when latin <> '' then latin else word end as gloss,
+  coalesce(nullif(stem, ''), nullif(read, ''), nullif(latin, ''), word) as value from ({_SHAPED})""")
+def gloss_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gloss and the Latin value that stand for a word, by what there is of them."""
+    n, name = F.col("p_size"), F.col("p_name")
+    latin = F.when(n % 5 == 0, None).when(n % 5 == 1, "").otherwise(F.col("p_type"))
+    english = F.when(n % 4 == 0, F.array().cast("array<string>")).when(n % 4 == 1, F.array(F.concat(F.lit("[unknown: "), name, F.lit("]")), F.lit("x"))).when(n % 4 == 2, F.array(F.lit(""))).otherwise(F.array(F.col("p_brand"), F.lit("x")))
+    stem = F.when(n % 7 == 0, "").when(n % 7 < 4, None).otherwise(F.concat("p_type", F.lit("!")))
+    read = F.when(n % 3 == 0, "").otherwise(F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", L.gloss_of(english, latin, name).alias("gloss"), L.latin_value(stem, read, latin, name).alias("value"))
+
+
+_HONOURED = f"select latin, case length(latin) % 4 when 0 then 'reverential' when 1 then 'informal' else 'written' end as register from ({_LEXICON}) where length(latin) % 4 < 3 and frequency % 2 = 0"
+
+
+@query(f"""with w as (select conv_id, turn, lower(unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}'']+'))) as word from conversations),
+  h as (select lower(trim(latin)) as word, bool_or(register in ('written', 'reverential', 'respectful')) as formal from ({_HONOURED}) group by 1),
+  f as (select conv_id, turn, bool_or(ends_with(word, 'eve') or coalesce(formal, false)) as written, count(formal) as honorific from w left join h using (word) group by all)
+  select c.conv_id, c.turn, case when written then 'written' else 'neutral' end as register, coalesce(honorific, 0) as honorific from conversations c left join f using (conv_id, turn)""".replace("\\\\", "\\"))
+def register_honorifics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The register of each turn, by a table of honorifics and by endings, and how many honorifics it has."""
+    length = F.length("latin") % 4
+    register = F.when(length == 0, "reverential").when(length == 1, "informal").otherwise("written")
+    honorifics = _lexicon(spark, sf_dir).where((length < 3) & (F.col("frequency") % 2 == 0)).select("latin", register.alias("register"))
+    turns = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("at"), F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{M}']+"), F.lit(0)).alias("words"))
+    return M.registers(turns, "at", "words", honorifics).select("at.conv_id", "at.turn", "register", "honorific")
+
+
 def _values(rows: list[tuple]) -> str:
     return "values " + ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
 

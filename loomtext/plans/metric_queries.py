@@ -151,6 +151,13 @@ def most_precise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.most_precise(rows, ["l_partkey"], "l_suppkey", "l_quantity").select("l_partkey", "l_orderkey", "l_quantity", "cells", "n_cells")
 
 
+@query("""with e as (select event_type, round_even(value * 7 / 3, 0)::bigint % 50 as rows_ from events) select event_type, count(*) as evaluations, array_to_string(list_sort(list(distinct rows_)), ',') as sizes from e group by all""")
+def eval_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluations by kind, and the sorted list of the distinct sizes they had."""
+    rows = table(spark, sf_dir, "events").select("event_type", (F.bround(F.col("value") * 7 / 3, 0).cast("long") % 50).alias("rows_"))
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("evaluations"), F.array_join(F.sort_array(F.collect_set("rows_")), ",").alias("sizes"))
+
+
 @query("select event_type, min(case when value < 1 then ts end) as boundary from events group by event_type")
 def population_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When the first small value came."""
@@ -179,6 +186,14 @@ def char_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(X.char_recovery(F.col("p_name"), F.col("p_type")), 6).alias("recovery"))
 
 
+@query("""select conv_id, turn, text = trim(regexp_replace(text, '[ \\t-\\r]+', ' ', 'g')) as plain, case when turn % 3 = 0 then false else true end as exact from conversations where text <> ''""")
+def decode_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns against themselves with other white space, and with a letter more."""
+    got = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit("x"))).when(F.col("turn") % 3 == 1, F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit(" \t\n")))).otherwise(F.col("text"))
+    turns = table(spark, sf_dir, "conversations").where("text <> ''")
+    return turns.select("conv_id", "turn", (X.one_line(F.col("text")) == F.col("text")).alias("plain"), X.decoded_exactly(F.col("text"), got).alias("exact"))
+
+
 _NAMED = "select case when source = 'src3' then 'conversational' else source end as name, count(*) as n from documents group by 1"
 
 
