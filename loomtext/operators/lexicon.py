@@ -309,6 +309,65 @@ def mirror_pairs(glosses: DataFrame) -> DataFrame:
     return met.select(loser.alias("loser"), winner.alias("winner"), F.when(tie, "tie").when(alone, "fixed").otherwise("review").alias("verdict")).distinct()
 
 
+def repair_mirrors(lexicon: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries (latin, english) after repairs, and what was done (latin, other, verdict), for entries (place, latin, english, frequency).
+
+    Entries are looked at in the order of `place`. The first gloss of one that is another entry, which has the one among
+    its glosses, decides: the less frequent of the two takes the other's glosses if it has no gloss but the other (fixed;
+    `latin` is the loser), else the pair is for review (latin < other), as it is if they are as frequent. A repair is seen
+    by all that come later. Keys of `latin` are one row each, as normal_key() gives them.
+
+    That is order-dependent, but only nearby: an entry reads and changes itself and what it glosses. So in each round all
+    entries are looked at that come before every other waiting one within three steps over glosses, in either direction.
+    Two such are four steps apart, so neither sees the other's doing; and what comes earlier but lies further off can
+    bring a link no nearer than four steps, as a repair only gives an entry the glosses of its neighbour. The result is
+    that of the plain loop. Entries that no repair can reach wait for nothing.
+    """
+    key = lambda g: X.normal_key(g)
+    state = lexicon.select("place", "latin", "frequency", "english", F.transform("english", key).alias("keys"))
+    known = materialise(state.select("latin"), "known")
+    state = materialise(state.withColumn("waits", F.size("english") > 0), "mirrors")
+    done: list[DataFrame] = []
+    while True:
+        steps = state.select(F.col("latin").alias("a"), F.posexplode("keys").alias("at", "b")).where("a <> b").join(known.withColumnRenamed("latin", "b"), "b", "left_semi")
+        steps = materialise(steps.groupBy("a", "b").agg(F.min("at").alias("at")), "steps")
+        pairs = steps.join(steps.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"])
+        ways = steps.select("a", "b").unionAll(steps.select("b", "a")).distinct()
+        # who may take part: has a mirror, or is next to an entry with nothing but one gloss, whose glosses may change
+        single = state.where(F.size(F.array_distinct("keys")) == 1).select(F.col("latin").alias("a"))
+        part = pairs.select("a").unionAll(ways.join(single, "a", "left_semi").select(F.col("b").alias("a"))).distinct()
+        waiting = state.where("waits").join(part, state["latin"] == part["a"], "left_semi").select(F.col("latin").alias("a"), F.col("place").alias("least"), "place")
+        if waiting.isEmpty():
+            break
+        near = waiting.select("a", "least")
+        for _ in range(3):
+            over = ways.join(near, "a").select(F.col("b").alias("a"), "least").unionAll(near)
+            near = over.groupBy("a").agg(F.min("least").alias("least"))
+        now = waiting.select("a", "place").join(near, "a").where("place = least").select("a")
+        first = pairs.join(now, "a").groupBy("a").agg(F.min_by("b", "at").alias("b"))
+        entry = lambda c: state.select(F.col("latin").alias(c), F.col("frequency").alias(f"f_{c}"), F.col("english").alias(f"e_{c}"), F.col("keys").alias(f"k_{c}"))  # noqa: B023, E731
+        met = first.join(entry("a"), "a").join(entry("b"), "b")
+        lower = F.col("f_a") < F.col("f_b")
+        loser, winner = (F.when(lower, F.col(x)).otherwise(F.col(y)) for x, y in (("a", "b"), ("b", "a")))
+        stub = F.forall(F.when(lower, F.col("k_a")).otherwise(F.col("k_b")), lambda k: k == winner)
+        fixed = (F.col("f_a") != F.col("f_b")) & stub
+        told = met.select(
+            F.when(fixed, loser).otherwise(F.least("a", "b")).alias("latin"), F.when(fixed, winner).otherwise(F.greatest("a", "b")).alias("other"), F.when(fixed, "fixed").otherwise("review").alias("verdict"),
+            F.when(fixed, F.when(lower, F.col("e_b")).otherwise(F.col("e_a"))).alias("given"),
+        )
+        told = materialise(told, "repairs")
+        done.append(told.select("latin", "other", "verdict"))
+        given = told.where("verdict = 'fixed'").select(F.col("latin").alias("to"), "given")
+        after = state.join(given, state["latin"] == given["to"], "left").join(now.withColumn("looked", F.lit(True)), F.col("latin") == F.col("a"), "left")
+        english = F.coalesce("given", "english")
+        state = materialise(after.select("place", "latin", "frequency", english.alias("english"), F.transform(english, key).alias("keys"), (F.col("waits") & F.col("looked").isNull()).alias("waits")), "mirrors")
+    none = lexicon.sparkSession.createDataFrame([], "latin string, other string, verdict string")
+    every = none
+    for more in done:
+        every = every.unionAll(more)
+    return state.select("latin", "english"), every.distinct()
+
+
 def closure(rewrites: DataFrame) -> DataFrame:
     """(old, final, steps) from rewrites (old, new), one for a key: where each key ends; null if it is quarantined or runs in a circle.
 
