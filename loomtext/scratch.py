@@ -7,14 +7,15 @@ import uuid
 import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 #: Where each scratch table lies, while somebody holds it.
 _PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-#: Tables written since each passing() that is open.
-_OPEN: list[list[DataFrame]] = []
+#: Tables written since each passing() that is open; each thread has its own, so queries side by side delete none of each other's.
+_OPEN: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("open", default=())
 
 
 def _file_system(spark: SparkSession, path: str) -> tuple[object, object]:
@@ -54,8 +55,8 @@ def _own_folder(spark: SparkSession) -> str:
 
 def _noted(table: DataFrame, path: str) -> DataFrame:
     _PLACES[table] = path
-    if _OPEN:
-        _OPEN[-1].append(table)
+    if open_ := _OPEN.get():
+        open_[-1].append(table)
     return table
 
 
@@ -63,15 +64,16 @@ def _noted(table: DataFrame, path: str) -> DataFrame:
 def passing() -> Iterator[list[DataFrame]]:
     """Scratch tables written inside are deleted at the end, but for those put into the list that this gives."""
     kept: list[DataFrame] = []
-    _OPEN.append([])
+    made: list[DataFrame] = []
+    token = _OPEN.set((*_OPEN.get(), made))
     try:
         yield kept
     finally:
-        made = _OPEN.pop()
+        _OPEN.reset(token)
         stay = {id(t) for t in kept}
         discard(*[t for t in made if id(t) not in stay])
-        if _OPEN:
-            _OPEN[-1].extend(t for t in made if id(t) in stay)
+        if outer := _OPEN.get():
+            outer[-1].extend(t for t in made if id(t) in stay)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

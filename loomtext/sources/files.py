@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from loomtext.functions.text import csv_cell, has_thaana
-from loomtext.scratch import materialise
+from loomtext.scratch import discard, materialise
 
 LEXICON = "latin string, english array<string>, pos string, frequency bigint, freq_source string"
 SOURCE_NAMES, TARGET_NAMES = ("dv", "dhivehi", "source", "thaana"), ("en", "english", "target")
@@ -128,11 +128,13 @@ def fingerprint(spark: SparkSession, path: str) -> str:
 
 
 def checked_write(rows: DataFrame, path: str, broken: Column) -> None:
-    """Write only if no row breaks the invariant; nothing is written otherwise."""
+    """Write only if no row breaks the invariant; nothing is written otherwise. Rows are computed once, aside, and checked there."""
+    rows = materialise(rows, "checked")
     bad = rows.where(broken).limit(5).collect()
     if bad:
         raise ValueError(f"not written, rows break the invariant: {bad}")
     rows.write.parquet(path)
+    discard(rows)
 
 
 def with_defaults(stored: DataFrame, defaults: dict[str, object]) -> DataFrame:

@@ -3,12 +3,14 @@
 import json
 import random
 import sqlite3
+import threading
 import time
 
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from loomtext.scratch import materialise, passing
 from loomtext.sources.database import SqliteTable, TableReader, database_table
 from loomtext.streaming import resume
 from loomtext.streaming.events import Event, progress_events
@@ -103,6 +105,36 @@ def test_append_goes_on_after_a_kill(spark, tmp_path, monkeypatch):
         resume.append_stream(rows(), path, "other", checkpoint)
 
 
+def test_scratch_tables_of_threads_are_apart(spark):
+    """A step that ends in one thread leaves the tables of another's alone, and of its own those that it keeps."""
+    opened, ended, left = threading.Event(), threading.Event(), []
+
+    def other():
+        with passing() as kept:
+            mine = materialise(spark.range(5), "mine")
+            kept.append(mine)
+            gone = materialise(spark.range(3), "gone")
+            opened.set()
+            ended.wait(60)
+            left.append((mine.count(), gone.count()))
+        left.append((mine, gone))
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    assert opened.wait(60)
+    with passing():
+        with passing() as inner:
+            held = materialise(spark.range(7), "held")
+            inner.append(held)
+        assert held.count() == 7
+    ended.set()
+    thread.join()
+    assert left[0] == (5, 3) and left[1][0].count() == 5
+    for table in (held, left[1][1]):
+        with pytest.raises(Exception, match="(?i)not.*exist|FILE_NOT_EXIST|FileNotFound"):
+            table.collect()
+
+
 def _until(told):
     for _ in range(200):
         if told():
