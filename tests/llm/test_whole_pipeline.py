@@ -45,7 +45,7 @@ def planted():
     for k in range(80, 95):
         lines = texts[k].split("\n")
         at = r.randrange(len(lines))
-        lines[at] = f"{lines[at]} zelmira{k % 3} once{k} {[f'ann{k}@corp.example', '10.2.3.4', '+1 (743) 555-3824', '4111 1111 1111 1111'][k % 4]} and on"
+        lines[at] = f"{lines[at]} zelmira{k % 4} once{k} {[f'ann{k}@corp.example', '10.2.3.4', '+1 (743) 555-3824', '4111 1111 1111 1111'][k % 4]} and on"
         texts[k] = "\n".join(lines)
     texts[96] = " ".join(r.choice(vocabulary) for _ in range(6000)).replace(" i", "\ni")  # longer than a sequence
     texts[97], texts[98] = None, ""
