@@ -104,8 +104,13 @@ MARKS = [
 
 
 def _mapped(text: Column, pattern: str, table: dict[str, str]) -> Column:
-    known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda t: F.coalesce(F.try_element_at(known, t), t)), "")
+    # a map is searched from its start, so tokens are looked up among those of their first character
+    first: dict[str, dict[str, str]] = {}
+    for token, put in table.items():
+        first.setdefault(token[0], {})[token] = put
+    known = F.create_map(*[x for c, own in first.items() for x in (F.lit(c), F.create_map(*[F.lit(y) for kv in own.items() for y in kv]))])
+    put = lambda t: F.try_element_at(F.try_element_at(known, F.left(t, F.lit(1))), t)
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda t: F.coalesce(put(t), t)), "")
 
 
 def to_latin(text: Column) -> Column:

@@ -8,6 +8,7 @@ from loomtext.functions import tables as T, text as X
 from loomtext.operators import corpus as C, sampling as P
 from loomtext.plans.registry import query, table
 from loomtext.scratch import materialise
+from loomtext.spread import spread
 
 _BARE = "trim(regexp_replace(coalesce(text, ''), '[ \\t-\\r]+', ' ', 'g'))"
 _REASON = f"""case when {_BARE} = '' then 'empty_side'
@@ -232,8 +233,9 @@ def reject_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = turns.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{M}']+"), F.lit(0))).alias("word")).distinct()
     codes = words.select(F.translate(F.left(F.md5("word"), F.lit(8)), "0123456789", "ghijklmnop").alias("code")).distinct()
     made = [F.struct(F.lit(k).alias("k"), F.replace(F.lit(dv), F.lit("W"), F.col("code")).alias("dv"), F.replace(F.lit(en), F.lit("W"), F.col("code")).alias("en")) for k, (dv, en, _) in enumerate(_SHOWN)]
-    rows = codes.select("code", F.inline(F.array(*made))).withColumn("place", F.struct("code", "k"))
-    return C.pair_funnel(rows, "place").select("code", "k", F.coalesce("reason", F.lit("kept")).alias("reason"))
+    # a few bytes of codes stand for much text: they are dealt over all tasks, and the text is judged once
+    told = materialise(C.pair_rules(spread(codes).select("code", F.inline(F.array(*made)))).select("code", "k", "judged"), "judged")
+    return C.pair_labels(told.withColumn("place", F.struct("code", "k")), "place").select("code", "k", F.coalesce("reason", F.lit("kept")).alias("reason"))
 
 
 _CLEAN = "trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
