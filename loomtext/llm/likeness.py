@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomtext.llm.components import connected_components
@@ -41,10 +42,43 @@ def all_pairs(open_keys: DataFrame) -> DataFrame:
     return x.join(y, "key").where("a > b and r_a <> r_b").select("a", "b").distinct()
 
 
-def like_components(keys: DataFrame, sets: DataFrame, pairs_of: Callable[[DataFrame], DataFrame] = all_pairs) -> DataFrame:
+def rest_links(open_keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes that share a key of `open_keys` and have different roots, by comparing every pair."""
+    return alike_pairs(all_pairs(open_keys), sets)
+
+
+def cell_links(may: Callable[[int], np.ndarray], root: np.ndarray, items: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (i, j) that connect whatever is alike among the sets of one cell: fewer than there are sets.
+
+    Sets of one root are connected already; `may` gives those before the i-th that may be alike with it.
+    """
+    part, whole = LIKE
+    size = np.asarray([len(x) for x in items], np.int64)
+    label = np.unique(root, return_inverse=True)[1]
+    _, told, many = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    own = [x[many[x] > 1] for x in np.split(told, np.cumsum(size)[:-1])]  # what only one set has is common to none
+    held, links = np.zeros(len(many), bool), []
+    for i in range(1, len(items)):
+        near = may(i)
+        near = near[(label[near] != label[i]) & (whole * size[near] >= part * size[i]) & (whole * size[i] >= part * size[near])]
+        if not len(near):
+            continue
+        held[own[i]] = True
+        ends = np.cumsum([len(own[j]) for j in near])
+        counted = np.concatenate([[0], np.cumsum(held[np.concatenate([own[j] for j in near])])])
+        common = np.diff(counted[ends], prepend=0)
+        held[own[i]] = False
+        near = near[(part + whole) * common >= part * (size[near] + size[i])]
+        found, first = np.unique(label[near], return_index=True)
+        links += [(i, int(near[k])) for k in first]
+        label[np.isin(label, found)] = label[i]
+    return links
+
+
+def like_components(keys: DataFrame, sets: DataFrame, links_of: Callable[[DataFrame, DataFrame], DataFrame] = rest_links) -> DataFrame:
     """(node, root) for each node that has a like one: `keys` (key, node) says who may be alike, `sets` (node, items) what is.
 
-    `pairs_of` finds the pairs to compare among nodes that share a key but aren't linked yet.
+    `links_of` finds links that connect what is alike among nodes that share a key but aren't linked yet.
     """
     keys = materialise(keys.distinct(), "keys")
     least = keys.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -64,5 +98,4 @@ def like_components(keys: DataFrame, sets: DataFrame, pairs_of: Callable[[DataFr
     links = links.unionAll(materialise(alike_pairs(stars, sets), "stars"))
     rooted, centres = parted(links)
     open_keys = materialise(rooted.join(centres, "key").where("node <> centre").select("key", "node", "root"), "open")
-    rest = materialise(alike_pairs(pairs_of(open_keys), sets), "rest")
-    return connected_components(links.unionAll(rest))
+    return connected_components(links.unionAll(links_of(open_keys, sets)))

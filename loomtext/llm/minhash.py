@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from loomtext.llm.batches import give_back, in_parts, small_batches
-from loomtext.llm.likeness import like_components
+from loomtext.llm.likeness import cell_links, like_components
 from loomtext.llm.scratch import materialise, passing
 from loomtext.llm.simhash import least_rows, near_links, rows_kept, shingle_hashes, voted
 
@@ -38,6 +38,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 DISTANCE, CHARS = 4, 200_000
 #: Bytes of signatures that agree at least; texts of a key compared at once; keys that a fuller one is divided by, how deep.
 AGREE, FULL, SPLITS, DEPTH = 60, 4096, 64, 3
+#: Texts of a key in one of the two blocks of a cell: what a task holds the shingles of.
+BLOCK = 512
 _CHOICES = [[_R.choice(BANDS * ROWS, 8, replace=False) for _ in range(SPLITS)] for _ in range(DEPTH)]
 
 
@@ -120,9 +122,26 @@ def candidate_keys(nodes: DataFrame) -> DataFrame:
     return bands.unionAll(same).unionAll(linked)
 
 
-def _signed_pass(rows: DataFrame, level: int, full: int) -> DataFrame:
+def _cells(node: np.ndarray, a: np.ndarray, b: np.ndarray, block: int) -> Iterator[np.ndarray]:
+    """Places of `node` in cells of up to two blocks, so that each pair of places (a, b) has a cell for both."""
+    used, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    of_a, of_b = flat[: len(a)] // block, flat[len(a) :] // block
+    told = np.minimum(of_a, of_b) * (len(used) // block + 1) + np.maximum(of_a, of_b)
+    for cell in np.unique(told).tolist():
+        own = np.unique(np.concatenate([a[told == cell], b[told == cell]]))
+        yield own[np.argsort(node[own])]
+
+
+def _agreeing(sign: np.ndarray, i: int, near: np.ndarray) -> np.ndarray:
+    return near[(sign[near] == sign[i]).sum(axis=1) >= AGREE]
+
+
+def _signed_pass(rows: DataFrame, level: int, full: int, block: int | None = None) -> DataFrame:
     """(a, b, key, root, sign) from rows (key, node, root, sign): pairs of a key that may be alike, key null; or, with b
-    null, a node a of a key that is too full, under one of its next keys."""
+    null, a node a of a key that is too full, under one of its next keys.
+
+    With `block` cells stand for pairs: a is a node, b its cell, which has the same number in every key with the same nodes.
+    """
     names = ["a", "b", "key", "root", "sign"]
 
     def divided(key: int, node: np.ndarray, root: np.ndarray, sign: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -140,14 +159,19 @@ def _signed_pass(rows: DataFrame, level: int, full: int) -> DataFrame:
             return
         a, b = [], []
         for i in range(1, len(node)):
-            near = np.flatnonzero(root[:i] != root[i])
-            near = near[(sign[near] == sign[i]).sum(axis=1) >= AGREE]
-            a.append(np.full(len(near), node[i]))
-            b.append(node[near])
-        if sum(map(len, a)):
-            a, b = np.concatenate(a), np.concatenate(b)
-            blank = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), *blank], names=names)
+            near = _agreeing(sign, i, np.flatnonzero(root[:i] != root[i]))
+            a.append(np.full(len(near), i))
+            b.append(near)
+        if not sum(map(len, a)):
+            return
+        a, b = np.concatenate(a), np.concatenate(b)
+        if not block:
+            a, b = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), t) for t in (pa.int64(), pa.int64(), pa.binary())]], names=names)
+            return
+        for own in _cells(node, a, b, block):
+            n, cell = len(own), np.asarray([_digest(node[own])], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(np.repeat(cell, n)), pa.nulls(n, pa.int64()), pa.array(root[own]), pa.nulls(n, pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # parts of the key that may go on in the next batch
@@ -182,20 +206,57 @@ def _signed_pass(rows: DataFrame, level: int, full: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, key long, root long, sign binary")
 
 
-def signed_pairs(open_keys: DataFrame, signs: DataFrame, full: int = FULL) -> DataFrame:
-    """Pairs (a, b) of nodes that share a key of `open_keys` (key, node, root), have different roots and like `signs` (node, sign)."""
+def _signed(open_keys: DataFrame, signs: DataFrame, full: int, block: int | None) -> DataFrame:
+    """What all passes over `open_keys` (key, node, root) and `signs` (node, sign) find, until no key is too full."""
     rows, found, level = open_keys.join(signs, "node"), None, 0
     while True:
         with small_batches(rows.sparkSession):
-            made = materialise(_signed_pass(rows, level, full), f"compared{level}")
-        pairs = made.where("b is not null").select("a", "b")
-        found = pairs if found is None else found.unionAll(pairs)
+            made = materialise(_signed_pass(rows, level, full, block), f"compared{level}")
+        told = made.where("b is not null").select("a", "b", "root")
+        found = told if found is None else found.unionAll(told)
         parts = made.where("b is null")
         if parts.isEmpty():
-            return found.distinct()
+            return found
         rows, level = parts.select("key", F.col("a").alias("node"), "root", "sign").distinct(), level + 1
 
 
+def signed_pairs(open_keys: DataFrame, signs: DataFrame, full: int = FULL) -> DataFrame:
+    """Pairs (a, b) of nodes that share a key of `open_keys` (key, node, root), have different roots and like `signs` (node, sign)."""
+    return _signed(open_keys, signs, full, None).select("a", "b").distinct()
+
+
+def signed_links(open_keys: DataFrame, sets: DataFrame, signs: DataFrame, full: int = FULL, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect what signed_pairs() would find and `sets` (node, items) shows to be alike."""
+
+    def told(held: list[tuple]) -> pa.RecordBatch:
+        node, root, sign = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
+        items = [x for h in held for x in h[4]]
+        links = np.asarray(cell_links(lambda i: _agreeing(sign, i, np.arange(i)), root, items), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(node[links[:, 0]]), pa.array(node[links[:, 1]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # parts of the cell that may go on in the next batch
+        for batch in batches:
+            cell, node, root = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "node", "root"))
+            sign = np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint8).reshape(len(cell), -1)
+            turns = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]]) if len(cell) else np.zeros(1, np.int64)
+            for start, end in zip(turns[:-1].tolist(), turns[1:].tolist()):
+                items = [np.array(x.values, np.int64) for x in batch.column("items").slice(start, end - start)]
+                if held and held[0][0] != cell[start]:
+                    yield told(held)
+                    held.clear()
+                held.append((cell[start], node[start:end], root[start:end], sign[start:end], items))
+        if held:
+            yield told(held)
+        give_back()
+
+    n = int(open_keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = _signed(open_keys, signs, full, block).select(F.col("b").alias("cell"), F.col("a").alias("node"), "root").distinct()
+    dealt = cells.join(signs, "node").join(sets, "node").select("cell", "node", "root", "sign", "items").repartition(n, "cell").sortWithinPartitions("cell", "node")
+    with small_batches(open_keys.sparkSession):
+        return materialise(dealt.mapInArrow(run, "a long, b long"), "linked")
+
+
 def similar_components(docs: DataFrame, prints: DataFrame, width: int, seed: int) -> DataFrame:
     """(fp, root) for each distinct shingle set of `prints`: what is alike, directly or over others, has one root."""
     first = F.min_by(F.struct("doc_id", "text_hash", "bits", "keys", "sign"), F.struct("doc_id", "text_hash"))
@@ -210,7 +271,7 @@ def similar_components(docs: DataFrame, prints: DataFrame, width: int, seed: int
     with small_batches(docs.sparkSession):
         sets = materialise(_with_items(held.dropDuplicates(["node"]), width, seed), "sets")
     signs = nodes.where("sign is not null").select(F.col("fp").alias("node"), "sign")
-    roots = like_components(keys, sets, lambda open_keys: signed_pairs(open_keys, signs))
+    roots = like_components(keys, sets, lambda open_keys, of: signed_links(open_keys, of, signs))
     return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 

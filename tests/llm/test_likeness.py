@@ -83,3 +83,34 @@ def test_many_texts_with_one_passage_stay(spark):
     kept = minhash.drop_similar(docs)
     assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect() if x.text) == list(range(60)) and kept.count() == 61
     assert minhash.drop_similar(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("full, block", [(4096, 512), (4096, 7), (20, 5)])
+def test_unlike_texts_of_one_key_make_no_square_of_pairs(spark, full, block, monkeypatch):
+    """Texts that agree on signatures, but aren't alike: what is joined grows with the texts, and no link is lost or made up."""
+    r = random.Random(17)
+    passage = [r.getrandbits(63) for _ in range(70)]
+    sets = [passage + [r.getrandbits(63) for _ in range(14)] for _ in range(90)]
+    sets += [s[:-3] + [r.getrandbits(63) for _ in range(3)] for s in sets[:20]]
+    sets = [np.unique(np.asarray(s, np.uint64)) for s in sets]
+    _, signs = minhash.band_keys(sets)
+    written = []
+    monkeypatch.setattr(minhash, "materialise", lambda df, label, real=minhash.materialise: written.append((label, real(df, label))) or written[-1][1])
+    keys = spark.createDataFrame([(7 + k, n, n) for k in range(3) for n in range(len(sets))], "key long, node long, root long")
+    of = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(signs)], "node long, sign binary")
+    items = spark.createDataFrame([(k, s.view(np.int64).tolist()) for k, s in enumerate(sets)], "node long, items array<long>")
+    got = {(x.a, x.b) for x in minhash.signed_links(keys, items, of, full, block).collect()}
+    like = {(i, j) for i in range(len(sets)) for j in range(i) if 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))}
+    assert len(like) >= 20 and {(max(x), min(x)) for x in got} <= like
+
+    def connected(links):
+        root = list(range(len(sets)))
+        for _ in sets:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert connected(got) == connected(like)
+    assert len(minhash.signed_pairs(keys, of).collect()) > 5000
+    cells = [df for label, df in written if label.startswith("compared")][0]
+    assert block < 512 or full < 4096 or cells.count() == 3 * len(sets)
