@@ -64,9 +64,14 @@ def sketch(rows: DataFrame, digest_column: str, cells: int, by: list[str]) -> Da
     return _summed(spread, [*by, "cell"])
 
 
-def subtract(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    """Cells of `left` less those of `right`."""
-    return _summed(left.unionByName(right.withColumn("n", -F.col("n"))), [*by, "cell"])
+def subtracted(rows: DataFrame, left: str, right: str, cells: int, by: list[str]) -> DataFrame:
+    """(*by, cell, n, key, chk): cells of each row's `left` digests less those of its `right` ones.
+
+    Both sides' entries come out of one row and are summed at once: a union of two sketches would forget how rows are partitioned.
+    """
+    signed = F.concat(*[F.transform(c, lambda d: F.struct(d.alias("digest"), F.lit(n).alias("sign"))) for c, n in ((left, 1), (right, -1))])
+    entries = rows.select(*by, F.inline(signed)).select(*by, F.inline(_spread(F.col("digest"), F.col("sign"), cells)))
+    return _summed(entries, [*by, "cell"])
 
 
 def peel(cells: DataFrame, size: int, by: list[str]) -> DataFrame:
@@ -106,8 +111,7 @@ def differences(rows: DataFrame, against: tuple[str, ...]) -> DataFrame:
     size, solved = CELLS, None
     waiting = _pairs(rows, {k: F.lit(True) for k in against})
     while True:
-        cells = subtract(sketch(waiting, "a", size, by), sketch(waiting, "b", size, by), by)
-        told = peel(cells, size, by).groupBy(*by).agg(
+        told = peel(subtracted(waiting, "a", "b", size, by), size, by).groupBy(*by).agg(
             F.count(F.when((F.col("left") == 0) & (F.col("sign") > 0), 1)).alias("only_a"),
             F.count(F.when((F.col("left") == 0) & (F.col("sign") < 0), 1)).alias("only_b"),
             F.sum("left").alias("left"),

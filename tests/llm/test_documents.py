@@ -359,3 +359,17 @@ def test_components(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got[2] == got[3] == 1 and got[9] == got[8] == got[7] == 6 and got[140] == 100 and 5 not in got and 1 not in got
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_fingerprints_are_peeled_where_their_rows_lie(spark, prose, monkeypatch):
+    """Sketches of a pair are subtracted and peeled in the buckets of their rows: no cell is shuffled."""
+    plans = {}
+
+    def noted(df, label, real=fingerprints.materialise):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, label)
+
+    monkeypatch.setattr(fingerprints, "materialise", noted)
+    frame = spark.createDataFrame(list(enumerate(prose[:20])), "doc_id long, text string")
+    assert fingerprints.fingerprints(frame).count() == 20
+    assert "peeled24" in plans and "Exchange" in plans["versions"] and "Exchange" not in plans["peeled24"]
